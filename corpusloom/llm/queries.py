@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import encode, split
+from corpusloom.llm import encode, residue, split
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -35,13 +35,18 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with template residue, filler, error text or a demand for scripts in place of content."""
+    return residue.cases(_read(spark, folder, "documents")).distinct()
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's text as ids of the public vocabulary."""
     return encode.encode_texts(_read(spark, folder, "documents"), "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p6_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
