@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import encode, residue, split
+from corpusloom.llm import encode, neardup, residue, split
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -40,13 +40,33 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.cases(_read(spark, folder, "documents")).distinct()
 
 
+def _near(spark: SparkSession, folder: str, without: DataFrame | None = None):
+    documents = _read(spark, folder, "documents")
+    without = residue.cases(documents) if without is None else without
+    yield "documents", neardup.similar(documents, "doc_id", "body", least=400, without=without)
+    posts = _read(spark, folder, "bookmarks").select(F.expr("try_cast(tweet_id AS bigint)").alias("tweet_id"), "text")
+    yield "bookmarks", neardup.similar(posts, "tweet_id", "text", least=160)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of documents by body, and of posts by text, that share half of their runs of ten characters."""
+    found = [neardup.expand(*parts).select(F.lit(table).alias("item_table"), "key_a", "key_b") for table, parts in _near(spark, folder)]
+    return found[0].unionByName(found[1])
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and post that can be compared: its class of copies and its links to other classes."""
+    found = [neardup.linked(*parts).select(F.lit(table).alias("item_table"), "*") for table, parts in _near(spark, folder)]
+    return found[0].unionByName(found[1])
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's text as ids of the public vocabulary."""
     return encode.encode_texts(_read(spark, folder, "documents"), "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p5_found, p5_groups, p6_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
