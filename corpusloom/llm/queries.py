@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import encode, neardup, residue, split
+from corpusloom.llm import encode, neardup, neighbours, residue, split
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -40,6 +40,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.cases(_read(spark, folder, "documents")).distinct()
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of chunks of which either is among the ten most similar to the other."""
+    return neighbours.pairs(neighbours.nearest(_read(spark, folder, "chunk_vec"), "chunk_id", "embedding"))
+
+
 def _near(spark: SparkSession, folder: str, without: DataFrame | None = None):
     documents = _read(spark, folder, "documents")
     without = residue.cases(documents) if without is None else without
@@ -66,7 +71,7 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p5_found, p5_groups, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p5_found, p5_groups, p6_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
