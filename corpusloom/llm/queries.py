@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import encode, neardup, neighbours, residue, split
+from corpusloom.llm import encode, language, neardup, neighbours, reading, residue, split
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -45,6 +45,36 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.pairs(neighbours.nearest(_read(spark, folder, "chunk_vec"), "chunk_id", "embedding"))
 
 
+def _languages(spark: SparkSession, folder: str):
+    documents, posts, chunks = (_read(spark, folder, t) for t in ("documents", "bookmarks", "chunks"))
+    posts = posts.withColumn("item_key", F.expr("try_cast(tweet_id AS bigint)"))
+    net = language.fit([(documents, "doc_id", "text", "lang"), (posts, "tweet_id", "text", "lang")])
+    for table, rows in (
+        ("documents", documents.withColumn("item_key", F.col("doc_id"))),
+        ("bookmarks", posts),
+        ("chunks", chunks.withColumn("item_key", F.col("id"))),
+    ):
+        yield table, language.identify(rows.withColumn("label", F.col("lang")), "text", net, ["item_key", "label"])
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The languages of texts whose label is missing, wrong or one for several."""
+    bad = residue.cases(_read(spark, folder, "documents"))
+    found = []
+    for table, rows in _languages(spark, folder):
+        cases = language.wrong(rows, "label").select("item_key", "lang")
+        if table == "documents":
+            cases = cases.join(bad.select(F.col("doc_id").alias("item_key")), "item_key", "left_anti")
+        found.append(cases.distinct().select(F.lit(table).alias("item_table"), "item_key", "lang"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def p4_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text with its letters, languages and confidence, and the segments of mixed texts."""
+    found = [rows.select(F.lit(table).alias("item_table"), "*") for table, rows in _languages(spark, folder)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def _near(spark: SparkSession, folder: str, without: DataFrame | None = None):
     documents = _read(spark, folder, "documents")
     without = residue.cases(documents) if without is None else without
@@ -70,8 +100,35 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode_texts(_read(spark, folder, "documents"), "doc_id")
 
 
+def _graded(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with at least a word: its languages, words, grade and band."""
+    documents = _read(spark, folder, "documents")
+    net = language.fit([(documents, "doc_id", "text", "lang")])
+    english = documents.where(language.label(F.col("lang")) == "en")
+    known = language.identify(residue.sampled(english, "doc_id", reading.TRAIN_TEXTS), "text", net, ["doc_id", "text", "source"])
+    trees = reading.fit(known.where((F.size("langs") == 1) & (F.col("langs")[0]["lang"] == "en")), "doc_id", "text", "source")
+    words = F.size(F.filter(F.split("text", r"(?U)\s+"), lambda w: w != ""))
+    rows = language.identify(documents.where(F.col("text").isNotNull()).withColumn("words", words), "text", net, ["doc_id", "text", "source", "words"])
+    return reading.grade(rows.withColumn("wholly", F.when(F.size("langs") == 1, F.col("langs")[0]["lang"])), "text", trees, ["doc_id", "source", "words", "wholly"])
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The band of each document that is wholly in English, no case of residue, and has at least 80 words."""
+    bad = residue.cases(_read(spark, folder, "documents"))
+    rows = _graded(spark, folder).where((F.col("wholly") == "en") & (F.col("words") >= 80))
+    return rows.join(bad, "doc_id", "left_anti").select("doc_id", "band")
+
+
+def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus by source, language and band: documents, words and mean grade."""
+    rows = _graded(spark, folder)
+    return rows.groupBy("source", F.coalesce("wholly", F.lit("mixed or none")).alias("lang"), "band").agg(
+        F.count("*").alias("documents"), F.sum("words").alias("words"), F.round(F.avg("grade"), 2).alias("grade")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p5_found, p5_groups, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p4_found, p4_languages, p5_found, p5_groups, p6_ids, p8_found, p8_profile)}
 
 
 def oracle_sql() -> dict[str, str]:
