@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import encode, language, neardup, neighbours, reading, residue, split
+from corpusloom.llm import encode, language, neardup, neighbours, packing, reading, residue, split
+from corpusloom.session import stored
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -100,6 +101,12 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode_texts(_read(spark, folder, "documents"), "doc_id")
 
 
+def p7_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text, or part of one that exceeds a container, with its container of 2,048 ids."""
+    sizes = stored(encode.encode_texts(_read(spark, folder, "documents"), "doc_id", counts_only=True), "sizes")
+    return packing.pack(sizes, "doc_id", "n_tokens")
+
+
 def _graded(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with at least a word: its languages, words, grade and band."""
     documents = _read(spark, folder, "documents")
@@ -128,7 +135,7 @@ def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p4_found, p4_languages, p5_found, p5_groups, p6_ids, p8_found, p8_profile)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p4_found, p4_languages, p5_found, p5_groups, p6_ids, p7_boxes, p8_found, p8_profile)}
 
 
 def oracle_sql() -> dict[str, str]:
