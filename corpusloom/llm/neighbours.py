@@ -20,10 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
+from corpusloom.llm.arrowtext import int_lists
 from corpusloom.session import stored
 
 #: Vectors of the training sample; links of each; vectors that a cell should get from its first choices; cells of each vector.
-SAMPLE, LINKS, CELL, CHOICES = 8192, 10, 512, 3
+SAMPLE, LINKS, CELL, CHOICES = 8192, 10, 512, 4
+#: Probability from which a cell that isn't the first choice gets the vector too.
+WORTH = 0.06
 #: Principal directions that the classifier sees, and the fewest sample vectors that may teach a cell.
 DIRECTIONS, TEACHERS = 96, 32
 #: Vectors of a crowded cell that one task compares at once, and classes that are broadcast at most.
@@ -37,11 +40,15 @@ class Router:
     weights: np.ndarray
     bias: np.ndarray
 
-    def choose(self, x: np.ndarray, choices: int) -> np.ndarray:
-        """The most probable cells of each row of ``x``."""
+    def choose(self, x: np.ndarray, choices: int, worth: float = WORTH) -> tuple[np.ndarray, np.ndarray]:
+        """The most probable cells of the rows of ``x`` (flat), and how many each row has: the first, and others worth it."""
         z = ((x - self.mean) @ self.directions) @ self.weights + self.bias
-        choices = min(choices, z.shape[1])
-        return np.argpartition(-z, choices - 1, axis=1)[:, :choices].astype(np.int32)
+        z = np.exp(z - z.max(1, keepdims=True))
+        z /= z.sum(1, keepdims=True)
+        top = np.argsort(-z, axis=1, kind="stable")[:, :choices]
+        good = np.take_along_axis(z, top, 1) >= worth
+        good[:, 0] = True
+        return top[good].astype(np.int32), good.sum(1)
 
 
 def graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -106,13 +113,13 @@ def learn(x: np.ndarray, cells: int, turns: int = 120) -> Router:
     return Router(mean.astype(np.float32), directions / np.float32(scale), w, b)
 
 
-def _units(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The usable rows' places, their vectors as stored, and the same with length 1."""
+def _units(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The usable rows' places, and their vectors with length 1."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, width)
     with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
         norm = np.sqrt((flat.astype(np.float64) ** 2).sum(1))
     good = np.flatnonzero(np.isfinite(norm) & (norm > 0))
-    return good, flat[good], (flat[good] / norm[good, None]).astype(np.float32)
+    return good, (flat[good] / norm[good, None]).astype(np.float32)
 
 
 def packed(x: np.ndarray) -> list[bytes]:
@@ -177,32 +184,26 @@ def nearest(df: DataFrame, key: str, vector: str, *, width: int = 768, k: int =
     """(id, near): the ids of the k most similar vectors of every usable vector, best first."""
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")).where(
-        (F.size("v") == width) & F.col("id").isNotNull() & ~F.exists("v", F.isnull)
+        (F.size("v") == width) & F.col("id").isNotNull() & ~F.exists("v", lambda x: F.isnull(x) | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     )
     count = rows.count()
     taught = rows.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(count, 1)))).limit(sample * 5 // 4)
     got = taught.select("v").toArrow().column(0).combine_chunks()
-    x = np.unique(_units(got, width)[2], axis=0) if len(got) else np.zeros((0, width), np.float32)
+    x = np.unique(_units(got, width)[1], axis=0) if len(got) else np.zeros((0, width), np.float32)
     cells = max(1, min(count // cell, len(x) // TEACHERS))
     router = spark.sparkContext.broadcast(learn(x, 1 << (cells.bit_length() - 1)))  # some megabytes, bounded by the sample
 
-    def route(batches):
+    def route(batches, whole=True):
         for batch in batches:
             for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
-                good, raw, unit = _units(part.column(1), width)
-                if not len(good):
-                    continue
-                own = router.value.choose(unit, choices)
-                offsets = pa.array(np.arange(len(good) + 1, dtype=np.int32) * own.shape[1])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(good)), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(packed(unit), pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(own.ravel()))],
-                    ["id", "raw", "payload", "cells"],
-                )
-
-    routed = rows.mapInArrow(route, "id bigint, raw binary, payload binary, cells array<int>").select("id", F.xxhash64("raw", F.md5("raw")).alias("same"), "payload", "cells")
+                good, unit = _units(part.column(1), width)
+                own, count = router.value.choose(unit, choices) if len(good) else (np.zeros(0, np.int32), good)
+                payload = pa.array(packed(unit), pa.binary()) if whole else pa.nulls(len(good), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(good)), payload, int_lists(own, count)], ["id", "payload", "cells"])
+
     # equal vectors become one class, named by its smallest id; the ids that can be anyone's neighbours are its first k + 1
-    routed = stored(routed, "routed")
-    ids = stored(routed.groupBy("id").agg(F.min("same").alias("same"), F.count("*").alias("rows")), "vector-ids")
+    rows = rows.withColumn("same", F.xxhash64("v"))
+    ids = stored(rows.groupBy("id").agg(F.min("same").alias("same"), F.count("*").alias("rows")), "vector-ids")
     classes = ids.groupBy("same").agg(F.min("id").alias("class"), F.count("*").alias("n"))
     copied = classes.where("n > 1").select("same", "class")
     rank = F.row_number().over(Window.partitionBy("same").orderBy("id"))
@@ -210,11 +211,13 @@ def nearest(df: DataFrame, key: str, vector: str, *, width: int = 768, k: int =
     first = members.withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("class").agg(F.array_sort(F.collect_list("id")).alias("first"))
     shut = members.where("id <> class").select("id")
     repeated = ids.where("rows > 1").select("id", "same")
-    again = routed.join(_few(repeated), ["id", "same"], "left_semi").dropDuplicates(["id"])
-    standing = routed.join(_few(repeated.select("id")), "id", "left_anti").unionByName(again)
-    standing = standing.join(_few(shut), "id", "left_anti").select("id", "payload", F.explode("cells").alias("cell"))
+    again = rows.join(_few(repeated), ["id", "same"], "left_semi").dropDuplicates(["id"])
+    standing_rows = rows.join(_few(repeated.select("id")), "id", "left_anti").unionByName(again).join(_few(shut), "id", "left_anti").select("id", "v")
+    routed = standing_rows.select("id", "v").mapInArrow(route, "id bigint, payload binary, cells array<int>")
+    standing = routed.select("id", "payload", F.explode("cells").alias("cell"))
     # a crowded cell is compared block by block
-    crowd = standing.groupBy("cell").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK)
+    cells_only = standing_rows.mapInArrow(lambda it: route(it, whole=False), "id bigint, payload binary, cells array<int>").select(F.explode("cells").alias("cell"))
+    crowd = cells_only.groupBy("cell").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK)
     blocks = F.coalesce(F.ceil(F.col("rows") / BLOCK).cast("int"), F.lit(1))
     placed = standing.join(F.broadcast(crowd), "cell", "left").withColumn("blocks", blocks)  # at most one row for each cell
     placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
