@@ -9,7 +9,7 @@ round places many of them at once. Units over half the capacity open a container
   free (its successor), as best fit would;
 * what a range leaves over is matched across ranges by rank: the counts of each range, which are few, say which ranks
   of unmatched units meet which ranks of free gaps;
-* gaps shrink by what they took; if units are left that the gaps can't hold, containers are opened for the largest.
+* gaps shrink by what they took; what the gaps can't hold opens containers, for the largest units that are left.
 
 A gap takes one unit in a round, so conflicts can't arise; the rounds end when every unit has its container. Null and
 empty items take no part; items of equal size are placed by key, so that a run can be repeated.
@@ -159,20 +159,24 @@ def pack(df: DataFrame, key: str, size: str, *, capacity: int = CAPACITY) -> Dat
     gaps = wide.select(F.col("rank").alias("box"), (capacity - F.col("size")).alias("room")).where("room > 0")
     left = units.where(F.col("size") <= capacity // 2).select("unit", "size")
     while True:
-        waiting, volume = left.agg(F.count("*"), F.sum("size")).first()
+        waiting = left.count()
         if not waiting:
             break
-        open_, room = gaps.agg(F.count("*"), F.sum("room")).first()
+        open_ = gaps.count()
         found, others = match(left, gaps, max(1, math.ceil((waiting + open_) / SWEEP)))
         found = stored(found, "found")
         others = stored(others.toDF("unit", "size"), "others")
         placed.append(found.select(F.col("id").alias("unit"), "box"))
         gaps = gaps.join(found.groupBy("box").agg(F.sum("size").alias("took")), "box", "left").select("box", (F.col("room") - F.coalesce("took", F.lit(0))).alias("room")).where("room > 0")
-        n, need = others.agg(F.count("*"), F.sum("size")).first()
+        gaps = stored(gaps, "gaps")
+        n, need, least = others.agg(F.count("*"), F.sum("size"), F.min("size")).first()
         if n:
-            # what the gaps can't hold opens containers, for the largest; if nothing fitted, one in eight units does
-            lack = math.ceil((need - ((room or 0) - (volume - need))) / capacity)
-            fresh = max(lack, 0 if n < waiting else max(1, math.ceil(need / capacity / 8)), 0)
+            # what the gaps that take any unit at all can't hold opens containers, for the largest units;
+            # if few found a place the gaps are too scattered, and half of the volume gets new ones
+            room = gaps.where(F.col("room") >= least).agg(F.coalesce(F.sum("room"), F.lit(0))).first()[0]
+            fresh = max(0, math.ceil((need - room) / capacity))
+            if n > 0.8 * waiting:
+                fresh = max(fresh, math.ceil(need / capacity / 2))
             if fresh:
                 order = _ranked(others.withColumn("down", -F.col("size")), "order", "down", "unit")
                 opened = order.where(F.col("rank") < fresh)
@@ -180,7 +184,7 @@ def pack(df: DataFrame, key: str, size: str, *, capacity: int = CAPACITY) -> Dat
                 gaps = gaps.unionByName(opened.select((F.col("rank") + boxes).alias("box"), (capacity - F.col("size")).alias("room")))
                 boxes += min(fresh, n)
                 others = order.where(F.col("rank") >= fresh).select("unit", "size")
-        gaps, left = stored(gaps, "gaps"), others
+        left = others
     in_box = placed[0]
     for more in placed[1:]:
         in_box = in_box.unionByName(more)
