@@ -2,10 +2,472 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpusloom.functions import text as tx
+from corpusloom.operators import chunking, documents as docs, indexing, normalize, queues, report, retrieval
+from corpusloom.sources.tables import latest_posts, live_posts, table
+from corpusloom.streaming import ingest
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+#: The query of the retrieval examples, their filters, and the time that splits old from new. Fixed values.
+ASKED, CUT, SOURCE = "the open model and the narrow network", "2022-01-01", "post"
+
+_LATEST = "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY tweet_id ORDER BY ingested_at DESC, last_seen_at DESC) AS rn FROM bookmarks) WHERE rn = 1"
+_LIVE = f"SELECT * FROM ({_LATEST}) WHERE removed_at IS NULL"
+_WS = r"[\s\x0b\x{85}\p{Z}]"
+_STRIP = rf"^{_WS}+|{_WS}+$"
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _live(spark: SparkSession, d: str) -> DataFrame:
+    return live_posts(table(spark, d, "bookmarks"))
+
+
+def _vector(vectors: DataFrame) -> list[float]:
+    """The vector of the smallest usable id, as the query of the examples."""
+    return list(vectors.agg(F.min_by("embedding", "chunk_id")).first()[0] or [0.0] * 768)
+
+
+# ---- posts ----
+
+
+@_query(f"""
+    SELECT p.tweet_id, w.captured_at, w.last_seen_at, p.favorite_count, p.lang, p.removed_at
+    FROM ({_LATEST}) p JOIN (SELECT tweet_id, min(captured_at) AS captured_at, max(last_seen_at) AS last_seen_at FROM bookmarks GROUP BY 1) w USING (tweet_id)""")
+def posts_upserted(spark, d):
+    return latest_posts(table(spark, d, "bookmarks")).select("tweet_id", "captured_at", "last_seen_at", "favorite_count", "lang", "removed_at")
+
+
+@_query(f"SELECT tweet_id, '2030-01-01T00:00:00+00:00' AS removed_at FROM ({_LIVE}) WHERE tweet_id NOT IN (SELECT tweet_id FROM bookmarks WHERE last_seen_at >= '{CUT}')")
+def posts_removed(spark, d):
+    rows = table(spark, d, "bookmarks")
+    return normalize.removed(latest_posts(rows), rows.where(F.col("last_seen_at") >= CUT), "2030-01-01T00:00:00+00:00").select("tweet_id", "removed_at")
+
+
+@_query("SELECT DISTINCT tweet_id FROM chunks WHERE tweet_id NOT IN (" + f"SELECT tweet_id FROM ({_LIVE}))")
+def posts_gone(spark, d):
+    return table(spark, d, "chunks").select("tweet_id").distinct().join(_live(spark, d), "tweet_id", "left_anti")
+
+
+@_query(f"""
+    SELECT tweet_id, sort_index FROM ({_LATEST})
+    WHERE sort_index::HUGEINT > (SELECT max(sort_index::HUGEINT) FROM bookmarks WHERE captured_at < '{CUT}')""")
+def posts_above_watermark(spark, d):
+    rows = table(spark, d, "bookmarks")
+    return ingest.above(latest_posts(rows), ingest.watermark(rows.where(F.col("captured_at") < CUT))).select("tweet_id", "sort_index")
+
+
+@_query("SELECT date_trunc('day', ingested_at)::TIMESTAMP AS start, count(*) AS arrivals FROM bookmarks WHERE ingested_at IS NOT NULL GROUP BY 1")
+def arrivals_by_day(spark, d):
+    return ingest.arrivals(table(spark, d, "bookmarks")).select(F.col("start").cast("timestamp_ntz").alias("start"), "arrivals")
+
+
+@_query(rf"""
+    SELECT tweet_id, CASE WHEN length(f) > 280 THEN f[:280] || '...' ELSE f END AS snippet, n AS words
+    FROM (SELECT tweet_id, regexp_replace(regexp_replace(text, '{_WS}+', ' ', 'g'), '^ | $', '', 'g') AS f,
+                 len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '')) AS n FROM ({_LIVE}))""")
+def post_snippets(spark, d):
+    return _live(spark, d).select("tweet_id", tx.snippet(F.col("text")).alias("snippet"), tx.word_count(F.col("text")).cast("bigint").alias("words"))
+
+
+@_query(rf"""
+    SELECT tweet_id FROM (
+      SELECT tweet_id, lower(coalesce(lang, '')) AS tag, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(text, '[^A-Za-zÀ-ɏ]', '', 'g')) AS latin
+      FROM ({_LIVE}))
+    WHERE CASE WHEN tag <> '' AND tag NOT IN ('zxx', 'qme', 'und', 'art') THEN tag NOT LIKE 'en%' ELSE letters >= 5 AND latin < letters * 0.7 END""")
+def foreign_posts(spark, d):
+    return _live(spark, d).where(tx.is_foreign(F.col("text"), F.col("lang"))).select("tweet_id")
+
+
+# ---- links and pages ----
+
+
+@_query(r"""
+    WITH u AS (SELECT DISTINCT url, lower(coalesce(nullif(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.\-]*):', 1), ''), 'https')) AS scheme,
+        regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)', 1)), '^www\.', '') AS host,
+        regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)', 1), ';[^/]*$', '') AS path,
+        list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(string_split(p, '=')[1], '(?i)^(?:utm_|ref_?$|ref_src|ref_url|s|t|si|feature|__twitter)')) AS q
+        FROM (SELECT url || '?utm_source=a&q=1&title=x#top' AS url FROM links UNION SELECT replace(url, '://', '://WWW.') FROM documents))
+    SELECT url, scheme || '://' || host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical, host AS domain FROM u""")
+def canonical_urls(spark, d):
+    tagged = table(spark, d, "links").select(F.concat("url", F.lit("?utm_source=a&q=1&title=x#top")).alias("url"))
+    rows = tagged.union(table(spark, d, "documents").select(F.replace("url", F.lit("://"), F.lit("://WWW.")))).distinct()
+    return rows.select("url", tx.canonical_url(F.col("url")).alias("canonical"), tx.url_host(F.col("url")).alias("domain"))
+
+
+@_query(r"SELECT DISTINCT url FROM (SELECT url FROM media UNION ALL SELECT url FROM links) WHERE regexp_matches(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '(?i)\.(?:pdf|zip|tar|gz|mp4|mp3|png|jpe?g|gif|webp|csv|xlsx?)$')")
+def binary_targets(spark, d):
+    rows = table(spark, d, "media").select("url").union(table(spark, d, "links").select("url"))
+    return rows.where(tx.is_binary(F.col("url"))).distinct()
+
+
+_LINK_ORDER = "coalesce(title, '') || '|' || coalesce(description, '') || '|' || coalesce(thumb_url, '') || '|' || from_card"
+
+
+@_query(f"""
+    SELECT tweet_id, url, min(domain) AS domain, arg_max(title, o) FILTER (title IS NOT NULL) AS title, arg_max(description, o) FILTER (description IS NOT NULL) AS description,
+           arg_max(thumb_url, o) FILTER (thumb_url IS NOT NULL) AS thumb_url, max(from_card) AS from_card
+    FROM (SELECT *, {_LINK_ORDER} AS o FROM links) GROUP BY 1, 2""")
+def links_merged(spark, d):
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    order = F.concat_ws("|", blank("title"), blank("description"), blank("thumb_url"), F.col("from_card").cast("string"))
+    return normalize.merged_links(table(spark, d, "links").withColumn("order", order))
+
+
+_OWNERS = "SELECT tweet_id, url FROM documents WHERE tweet_id IS NOT NULL UNION SELECT tweet_id, url FROM links WHERE url IN (SELECT url FROM documents)"
+
+
+@_query(f"SELECT url, count(*) AS owners FROM ({_OWNERS}) GROUP BY 1")
+def page_owners(spark, d):
+    return chunking.owners(table(spark, d, "documents"), table(spark, d, "links")).groupBy("url").agg(F.count("*").alias("owners"))
+
+
+@_query(rf"""
+    SELECT doc_id, word_count >= 60 OR (kind = 'video' AND word_count > 0) AS readable, len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '')) AS words,
+           CASE WHEN coalesce(error, '') <> '' AND coalesce(body, '') = '' THEN 'failed' WHEN coalesce(body, '') = '' THEN 'empty' ELSE 'ok' END AS outcome
+    FROM documents WHERE text IS NOT NULL""")
+def page_states(spark, d):
+    rows = table(spark, d, "documents").where("text IS NOT NULL")
+    good = (F.col("word_count") >= 60) | ((F.col("kind") == "video") & (F.col("word_count") > 0))
+    state = queues.outcome(F.when(F.coalesce("body", F.lit("")) == "", F.col("error")), F.col("body"), "empty")
+    return rows.select("doc_id", good.alias("readable"), tx.word_count(F.col("text")).cast("bigint").alias("words"), state.alias("outcome"))
+
+
+@_query(r"""
+    SELECT doc_id, count(*) AS rows FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+    WHERE regexp_matches(line, '^[ \t\n\x0b\f\r]*\|.*\|[ \t\n\x0b\f\r]*$') AND regexp_replace(line, '[\d\s\x0b\x{85}\p{Z}\p{Nd}|:.,%+\-—–]+', '', 'g') = '' GROUP BY 1""")
+def number_rows(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.where(tx.is_number_row(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("rows"))
+
+
+@_query()
+def page_prose(spark, d):
+    return table(spark, d, "documents").where("body IS NOT NULL").select("doc_id", tx.prose(F.col("body")).alias("prose"))
+
+
+@_query("""
+    SELECT doc_id, text[1:12000] AS page, CASE WHEN length(text) > 12000 THEN 12000 END AS next_offset, length(text) > 12000 AS has_more FROM documents WHERE text IS NOT NULL""")
+def document_pages(spark, d):
+    more = F.length("text") > docs.PAGE
+    rows = table(spark, d, "documents").where("text IS NOT NULL")
+    return rows.select("doc_id", F.substring("text", 1, docs.PAGE).alias("page"), F.when(more, docs.PAGE).alias("next_offset"), more.alias("has_more"))
+
+
+# ---- chunks and the index ----
+
+
+@_query("""
+    WITH t AS (SELECT doc_id, replace(text, chr(10) || chr(10), chr(10)) AS t FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, i AS position, left(sha256(t[i * 4600 + 1 : i * 4600 + 4800]), 16) AS hash
+    FROM (SELECT doc_id, t, unnest(range(0, 1 + greatest(0, ceil((length(t) - 4800) / 4600e0)::BIGINT))) AS i FROM t)""")
+def flat_pieces(spark, d):
+    flat = F.replace("text", F.lit("\n\n"), F.lit("\n"))
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(chunking.flat_pieces(flat)).alias("position", "p"))
+    return rows.select("doc_id", F.col("position").cast("bigint").alias("position"), tx.content_hash(F.col("p.text")).alias("hash"))
+
+
+@_query()
+def document_pieces(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(chunking.split(F.col("text"))).alias("position", "text"))
+    return rows.select("doc_id", "position", F.length("text").alias("length"), tx.content_hash(F.col("text")).alias("hash"))
+
+
+@_query(f"""
+    SELECT tweet_id, url AS ref, domain || ': ' || array_to_string(list_filter([title, description], lambda x: x IS NOT NULL AND x <> ''), ' — ') AS text
+    FROM links WHERE tweet_id IN (SELECT tweet_id FROM ({_LIVE})) AND (coalesce(title, '') <> '' OR coalesce(description, '') <> '')
+      AND url NOT IN (SELECT url FROM documents WHERE kind <> 'x_article' AND (word_count >= 60 OR (kind = 'video' AND word_count > 0)))""")
+def card_chunks(spark, d):
+    covered = chunking.readable(table(spark, d, "documents")).where("kind <> 'x_article'")
+    return chunking.card_chunks(table(spark, d, "links"), _live(spark, d), covered).select("tweet_id", "ref", "text")
+
+
+@_query(f"""
+    WITH p AS (SELECT p.*, '@' || coalesce(nullif(a.screen_name, ''), 'unknown') || ': ' AS h FROM ({_LIVE}) p LEFT JOIN authors a USING (author_id)),
+    c AS (SELECT tweet_id, h, lang, unnest([{{'o': 0, 's': 'post', 't': regexp_replace(text, '{_STRIP}', '', 'g')}}, {{'o': 1, 's': 'quote', 't': regexp_replace(quoted_text, '{_STRIP}', '', 'g')}},
+        {{'o': 2, 's': 'article', 't': CASE WHEN coalesce(article_title, '') <> '' THEN regexp_replace(article_title || chr(10) || chr(10) || coalesce(article_preview, ''), '{_STRIP}', '', 'g') END}}]) AS x FROM p)
+    SELECT tweet_id, s AS source, row_number() OVER (PARTITION BY tweet_id ORDER BY o, i) - 1 AS position, h || t[i * 4600 + 1 : i * 4600 + 4800] AS text, lang
+    FROM (SELECT tweet_id, h, lang, x.o AS o, x.s AS s, x.t AS t, unnest(range(0, 1 + greatest(0, ceil((length(x.t) - 4800) / 4600e0)::BIGINT))) AS i FROM c WHERE coalesce(x.t, '') <> '')""")
+def post_chunks(spark, d):
+    none = spark.createDataFrame([], "tweet_id string")
+    rows = chunking.post_chunks(_live(spark, d), table(spark, d, "authors"), none)
+    return rows.select("tweet_id", "source", F.col("position").cast("bigint").alias("position"), "text", "lang")
+
+
+@_query()
+def wanted_chunks(spark, d):
+    from corpusloom.engine import Engine
+
+    return Engine(spark, d).wanted_chunks().select("tweet_id", "source", "ref", "position", "hash")
+
+
+@_query("""
+    WITH w AS (SELECT tweet_id, list_sort(list(DISTINCT hash)) AS h FROM chunks WHERE source <> 'image' GROUP BY 1), o AS (SELECT tweet_id, list_sort(list(DISTINCT hash)) AS h FROM chunks WHERE source <> 'quote' GROUP BY 1)
+    SELECT tweet_id, CASE WHEN o.h IS NULL THEN 'add' WHEN w.h IS NULL THEN 'remove' ELSE 'rewrite' END AS change FROM w FULL JOIN o USING (tweet_id) WHERE w.h IS DISTINCT FROM o.h""")
+def index_changes(spark, d):
+    rows = table(spark, d, "chunks")
+    return indexing.changes(indexing.without_sources(rows, ["image"]), indexing.without_sources(rows, ["quote"]))
+
+
+@_query("SELECT DISTINCT id, tweet_id, hash FROM chunks WHERE id NOT IN (SELECT chunk_id FROM chunk_vec WHERE embedding IS NOT NULL)")
+def chunks_to_embed(spark, d):
+    return indexing.unembedded(table(spark, d, "chunks").select("id", "tweet_id", "hash").distinct(), table(spark, d, "chunk_vec"))
+
+
+@_query("""
+    WITH c AS (SELECT DISTINCT left(sha256(source_text), 16) AS h, text FROM chunks WHERE source_text <> ''), k AS (SELECT h, min(text) AS english FROM c GROUP BY 1)
+    SELECT DISTINCT tweet_id, left(sha256(coalesce(english, s)), 16) AS hash, english IS NOT NULL AS changed
+    FROM (SELECT tweet_id, coalesce(nullif(source_text, ''), text) AS s FROM chunks) LEFT JOIN k ON h = left(sha256(s), 16)""")
+def chunks_translated(spark, d):
+    rows = table(spark, d, "chunks")
+    cache = rows.where("source_text <> ''").groupBy(tx.content_hash(F.col("source_text")).alias("hash")).agg(F.min("text").alias("text"))
+    plain = rows.select("tweet_id", F.coalesce(tx.given(F.col("source_text")), F.col("text")).alias("text"))
+    made = indexing.translated(plain.withColumn("hash", tx.content_hash(F.col("text"))), cache)
+    return made.select("tweet_id", "hash", F.col("source_text").isNotNull().alias("changed")).distinct()
+
+
+@_query("""
+    SELECT tweet_id, hash, min(id) AS slot, arg_max(source, id) AS source FROM (SELECT DISTINCT tweet_id, hash, id, source FROM chunks) GROUP BY 1, 2""")
+def chunks_distinct(spark, d):
+    rows = table(spark, d, "chunks").select("tweet_id", "hash", F.col("id").alias("slot"), "source").distinct()
+    return indexing.distinct_within(rows).select("tweet_id", "hash", "slot", "source")
+
+
+# ---- retrieval ----
+
+_CHUNKS = "SELECT DISTINCT ON (id) * FROM chunks"
+_VECTORS = "SELECT DISTINCT ON (chunk_id) chunk_id, embedding::DOUBLE[] AS v FROM chunk_vec WHERE len(embedding) = 768"
+_AMONG = f"SELECT id FROM chunks WHERE source = '{SOURCE}' AND tweet_id IN (SELECT tweet_id FROM ({_LIVE}) WHERE created_at >= '{CUT}')"
+
+
+def _bm25(where: str = "") -> str:
+    terms = retrieval.query_terms(ASKED)
+    return f"""
+    WITH q AS (SELECT t, count(*) AS m FROM (SELECT unnest({terms}) AS t) GROUP BY 1),
+    c AS (SELECT id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_'']+') AS ts FROM ({_CHUNKS})), s AS (SELECT count(*) AS n, sum(len(ts)) / count(*)::DOUBLE AS mean FROM c),
+    tf AS (SELECT id, len(ts) AS dl, t, m, len(list_filter(ts, lambda x: x = t)) AS f FROM c, q), df AS (SELECT t, count(*) FILTER (f > 0) AS df FROM tf GROUP BY 1),
+    b AS (SELECT id AS chunk_id, round(sum(m * ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * f * 2.2e0 / (f + 1.2e0 * (0.25e0 + 0.75e0 * dl / mean))), 9) AS bm25 FROM tf JOIN df USING (t), s WHERE f > 0 {where} GROUP BY 1)
+    SELECT chunk_id, bm25, row_number() OVER (ORDER BY bm25 DESC, chunk_id) - 1 AS rank FROM b ORDER BY rank LIMIT 80"""
+
+
+def _knn(where: str = "") -> str:
+    return f"""
+    WITH v AS ({_VECTORS}), q AS (SELECT arg_min(v, chunk_id) AS q FROM v),
+    dist AS (SELECT chunk_id, list_distance(v, q) AS d FROM v, q {where})
+    SELECT chunk_id, round(d, 6) AS distance, row_number() OVER (ORDER BY d, chunk_id) - 1 AS rank FROM dist ORDER BY rank LIMIT 80"""
+
+
+def _fused(where_b: str = "", where_k: str = "") -> str:
+    return f"""
+    SELECT chunk_id, round(sum(1e0 / (rank + 61)), 12) AS score, max(d) AS dense_rank, max(l) AS lexical_rank FROM (
+      SELECT chunk_id, rank, rank AS d, NULL AS l FROM ({_knn(where_k)}) UNION ALL SELECT chunk_id, rank, NULL, rank FROM ({_bm25(where_b)})) GROUP BY 1"""
+
+
+def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return retrieval.index_chunks(table(spark, d, "chunks")), retrieval.index_vectors(table(spark, d, "chunk_vec"))
+
+
+def _among(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
+    return retrieval.allowed(chunks, _live(spark, d), table(spark, d, "authors"), source=SOURCE, after=CUT)
+
+
+@_query(_bm25())
+def bm25_topk(spark, d):
+    return retrieval.lexical_ranks(_index(spark, d)[0], ASKED)
+
+
+@_query(_bm25(f"AND id IN ({_AMONG})"))
+def bm25_filtered(spark, d):
+    chunks, _ = _index(spark, d)
+    return retrieval.lexical_ranks(chunks, ASKED, among=_among(spark, d, chunks))
+
+
+@_query(_knn())
+def knn_topk(spark, d):
+    _, vectors = _index(spark, d)
+    return retrieval.vector_ranks(vectors, _vector(vectors)).withColumn("distance", F.round("distance", 6))
+
+
+@_query(_knn(f"WHERE chunk_id IN ({_AMONG})"))
+def knn_filtered(spark, d):
+    chunks, vectors = _index(spark, d)
+    return retrieval.vector_ranks(vectors, _vector(vectors), among=_among(spark, d, chunks)).withColumn("distance", F.round("distance", 6))
+
+
+@_query(_fused())
+def rrf_fused(spark, d):
+    chunks, vectors = _index(spark, d)
+    return retrieval.fuse(retrieval.vector_ranks(vectors, _vector(vectors)), retrieval.lexical_ranks(chunks, ASKED))
+
+
+@_query(f"SELECT DISTINCT id AS chunk_id FROM ({_AMONG})")
+def allowed_chunks(spark, d):
+    return _among(spark, d, table(spark, d, "chunks")).distinct()
+
+
+@_query(f"""
+    WITH f AS ({_fused(f"AND id IN ({_AMONG})", f"WHERE chunk_id IN ({_AMONG})")}), c AS ({_CHUNKS}), p AS ({_LIVE}),
+    h AS (SELECT c.tweet_id, f.chunk_id, c.source, f.score, p.author_id, p.created_at, p.text AS post FROM f JOIN c ON c.id = f.chunk_id JOIN p USING (tweet_id)),
+    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tweet_id ORDER BY score DESC, chunk_id) AS r FROM h) WHERE r = 1 ORDER BY score DESC, chunk_id LIMIT 10),
+    n AS (SELECT tweet_id, count(*) AS n FROM c GROUP BY 1), k AS (SELECT tweet_id, array_to_string(list_sort(list(DISTINCT kind)), ',') AS k FROM media GROUP BY 1),
+    w AS (SELECT o.tweet_id, sum(word_count) AS w FROM ({_OWNERS}) o JOIN documents dd USING (url) GROUP BY 1)
+    SELECT b.tweet_id, chunk_id, source, score, '@' || coalesce(nullif(screen_name, ''), 'unknown') AS handle, created_at, n.n AS chunk_count,
+           coalesce(nullif(w.w, 0), len(list_filter(regexp_split_to_array(post, '{_WS}+'), lambda x: x <> '')))::BIGINT AS words, coalesce(k.k, '') AS media
+    FROM b LEFT JOIN n USING (tweet_id) LEFT JOIN k USING (tweet_id) LEFT JOIN w USING (tweet_id) LEFT JOIN authors USING (author_id)""")
+def hybrid_search(spark, d):
+    tables = {n: table(spark, d, n) for n in ("chunks", "authors", "documents", "links", "media")} | {"posts": _live(spark, d)}
+    tables["vectors"] = _index(spark, d)[1]
+    return retrieval.search(tables, ASKED, _vector(tables["vectors"]), source=SOURCE, after=CUT).drop("passage")
+
+
+_PASSAGES = "SELECT min(id) FROM chunks WHERE source IN ('article', 'link', 'video') AND ref IN (SELECT url FROM documents WHERE word_count >= 60 OR (kind = 'video' AND word_count > 0)) GROUP BY ref, position"
+
+
+@_query(f"""
+    WITH f AS ({_fused(f"AND id IN ({_PASSAGES})", f"WHERE chunk_id IN ({_PASSAGES})")})
+    SELECT chunk_id, tweet_id, source, ref, position, score FROM (SELECT * FROM f ORDER BY score DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST, chunk_id LIMIT 5) JOIN ({_CHUNKS}) c ON c.id = chunk_id""")
+def passage_search(spark, d):
+    chunks, vectors = _index(spark, d)
+    within = docs.passage_ids(chunks, chunking.readable(table(spark, d, "documents")))
+    return retrieval.passages(chunks, vectors, ASKED, _vector(vectors), within)
+
+
+# ---- work queues ----
+
+
+@_query(f"""
+    WITH p AS ({_LIVE}), done AS (SELECT url, arg_max(coalesce(error, ''), (fetched_at, doc_id)) AS error, sum(attempts) AS attempts FROM documents GROUP BY 1),
+    j AS (SELECT 'https://x.com/' || screen_name || '/status/' || tweet_id AS url, 'x_article' AS kind, tweet_id FROM p JOIN authors USING (author_id) WHERE article_id IS NOT NULL
+          UNION ALL SELECT DISTINCT url, 'link', NULL FROM links WHERE tweet_id IN (SELECT tweet_id FROM p))
+    SELECT url, kind, tweet_id FROM j LEFT JOIN done USING (url) WHERE attempts IS NULL OR (error <> '' AND attempts < 2)""")
+def pending_pages(spark, d):
+    rows = table(spark, d, "documents").withColumn("error", F.coalesce("error", F.lit("")))
+    return queues.pending_pages(_live(spark, d), table(spark, d, "authors"), table(spark, d, "links"), rows)
+
+
+@_query(f"""
+    SELECT 'https://x.com/' || coalesce(nullif(screen_name, ''), 'i') || '/status/' || tweet_id || '/video/' || (position + 1) AS url, small_url, duration_ms
+    FROM media JOIN ({_LIVE}) p USING (tweet_id) LEFT JOIN authors USING (author_id) WHERE kind = 'video' AND small_url IS NOT NULL""")
+def pending_videos(spark, d):
+    return queues.pending_videos(_live(spark, d), table(spark, d, "authors"), table(spark, d, "media").select("tweet_id", "kind", "small_url", "duration_ms", "position"), table(spark, d, "documents"))
+
+
+@_query(f"SELECT media_key, url FROM media WHERE kind = 'photo' AND coalesce(alt_text, '') = '' AND tweet_id IN (SELECT tweet_id FROM ({_LIVE}))")
+def pending_captions(spark, d):
+    media = table(spark, d, "media")
+    done = media.where("alt_text <> ''").select("media_key", F.lit(None).cast("string").alias("error"))
+    return queues.pending_captions(_live(spark, d), media, done)
+
+
+@_query(r"""
+    SELECT hash, min(text) AS text FROM (
+      SELECT hash, text, lower(coalesce(lang, '')) AS tag, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(text, '[^A-Za-zÀ-ɏ]', '', 'g')) AS latin FROM chunks WHERE source <> 'image')
+    WHERE CASE WHEN tag <> '' AND tag NOT IN ('zxx', 'qme', 'und', 'art') THEN tag NOT LIKE 'en%' ELSE letters >= 5 AND latin < letters * 0.7 END
+      AND hash NOT IN (SELECT left(sha256(source_text), 16) FROM chunks WHERE source_text <> '') GROUP BY 1""")
+def pending_translations(spark, d):
+    rows = table(spark, d, "chunks")
+    return queues.pending_translations(rows, rows.where("source_text <> ''").select(tx.content_hash(F.col("source_text")).alias("hash")), ["image"])
+
+
+# ---- report ----
+
+
+@_query(f"""
+    WITH p AS ({_LATEST}), l AS (SELECT * FROM p WHERE removed_at IS NULL)
+    SELECT (SELECT count(*) FROM p) AS total, (SELECT count(*) FROM p WHERE removed_at IS NOT NULL) AS removed, count(*) AS live, count(*) FILTER (is_long = 1) AS long,
+      count(*) FILTER (coalesce(quoted_tweet_id, '') <> '') AS quotes, count(*) FILTER (coalesce(article_id, '') <> '') AS articles,
+      count(*) FILTER (lang IS NOT NULL AND lang NOT IN ('en', 'und', 'qme', 'qst', 'zxx')) AS "foreign", min(created_at) AS oldest, max(created_at) AS newest,
+      trunc(median(length(text)) FILTER (length(text) > 0))::INT AS median_chars, (sum(length(text)) FILTER (length(text) > 0))::BIGINT AS chars FROM l""")
+def report_posts(spark, d):
+    return report.post_counts(latest_posts(table(spark, d, "bookmarks")))
+
+
+@_query(f"SELECT coalesce(lang, 'unknown') AS lang, count(*) AS posts FROM ({_LIVE}) GROUP BY 1")
+def report_languages(spark, d):
+    return report.languages(latest_posts(table(spark, d, "bookmarks")))
+
+
+@_query(f"SELECT kind, count(*) AS n, count(*) FILTER (coalesce(alt_text, '') <> '') AS with_alt, count(DISTINCT tweet_id) AS posts FROM media WHERE tweet_id IN (SELECT tweet_id FROM ({_LIVE})) GROUP BY 1")
+def report_media(spark, d):
+    return report.media_kinds(latest_posts(table(spark, d, "bookmarks")), table(spark, d, "media"))
+
+
+@_query(f"""
+    WITH v AS (SELECT duration_ms / 1000e0 AS s, bitrate AS b, coalesce(small_bitrate, bitrate) AS m FROM media WHERE kind = 'video' AND duration_ms > 0 AND tweet_id IN (SELECT tweet_id FROM ({_LIVE})))
+    SELECT count(*) AS videos, round(sum(s), 3) AS seconds, round(median(s), 3) AS median_s, round(max(s), 3) AS longest_s, count(*) FILTER (s > 600) AS long,
+      round(sum(coalesce(b, 0) * s / 8), 0) AS best_bytes, round(sum(coalesce(m, 0) * s / 8), 0) AS small_bytes FROM v""")
+def report_videos(spark, d):
+    return report.videos(latest_posts(table(spark, d, "bookmarks")), table(spark, d, "media"))
+
+
+@_query(f"SELECT domain, count(*) AS n FROM links WHERE tweet_id IN (SELECT tweet_id FROM ({_LIVE})) GROUP BY 1 ORDER BY n DESC, domain LIMIT 15")
+def top_domains(spark, d):
+    return report.top_domains(latest_posts(table(spark, d, "bookmarks")), table(spark, d, "links"))
+
+
+@_query(f"SELECT screen_name, n FROM (SELECT author_id, count(*) AS n FROM ({_LIVE}) GROUP BY 1) JOIN authors USING (author_id) ORDER BY n DESC, screen_name LIMIT 15")
+def top_authors(spark, d):
+    return report.top_authors(latest_posts(table(spark, d, "bookmarks")), table(spark, d, "authors"))
+
+
+@_query(f"""
+    SELECT (SELECT count(*) FROM ({_LIVE})) AS bookmarks, (SELECT count(*) FROM media WHERE kind = 'photo') AS photos, (SELECT count(*) FROM media WHERE kind = 'video') AS videos,
+      (SELECT count(*) FROM documents WHERE kind = 'video' AND error IS NULL) AS transcribed, (SELECT count(*) FROM documents WHERE kind = 'video' AND word_count > 0) AS speech,
+      (SELECT count(*) FROM documents WHERE kind <> 'video' AND coalesce(body, '') <> '') AS pages, (SELECT count(*) FROM documents WHERE coalesce(error, '') <> '' AND coalesce(body, '') = '') AS failed_pages,
+      (SELECT count(DISTINCT id) FROM chunks) AS chunks, (SELECT count(DISTINCT id) FROM chunks WHERE coalesce(source_text, '') <> '') AS translated,
+      (SELECT count(DISTINCT chunk_id) FROM chunk_vec WHERE embedding IS NOT NULL) AS embedded""")
+def status_counts(spark, d):
+    return report.status(latest_posts(table(spark, d, "bookmarks")), *(table(spark, d, n) for n in ("media", "documents", "chunks", "chunk_vec")))
+
+
+@_query("""
+    SELECT media_key, CASE WHEN s < 3600 THEN printf('%d:%02d', s // 60, s % 60) ELSE printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) END AS clock,
+      CASE WHEN s < 60 THEN printf('%ds', s) WHEN s < 3600 THEN printf('%dm %ds', s // 60, s % 60) ELSE printf('%dh %dm', s // 3600, s // 60 % 60) END AS duration
+    FROM (SELECT media_key, duration_ms // 1000 AS s FROM media WHERE duration_ms IS NOT NULL)""")
+def media_clocks(spark, d):
+    seconds = F.col("duration_ms") / 1000
+    return table(spark, d, "media").where("duration_ms IS NOT NULL").select("media_key", tx.clock(seconds).alias("clock"), tx.duration(seconds).alias("duration"))
+
+
+@_query(f"""
+    SELECT p.tweet_id, screen_name, coalesce(l.n, 0) AS links, l.first_url, coalesce(m.n, 0) AS media, m.keys FROM ({_LIVE}) p LEFT JOIN authors USING (author_id)
+    LEFT JOIN (SELECT tweet_id, count(*) AS n, min(url) AS first_url FROM links GROUP BY 1) l USING (tweet_id)
+    LEFT JOIN (SELECT tweet_id, count(*) AS n, string_agg(media_key, ',' ORDER BY position, media_key) AS keys FROM media GROUP BY 1) m USING (tweet_id)""")
+def bookmark_details(spark, d):
+    rows = docs.details(_live(spark, d), *(table(spark, d, n) for n in ("authors", "links", "media")))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
+    return rows.select(
+        "tweet_id", "author.screen_name", size("links").alias("links"), F.try_element_at("links", F.lit(1))["url"].alias("first_url"),
+        size("media").alias("media"), F.array_join(F.transform("media", lambda m: m["media_key"]), ",").alias("keys"),
+    )
+
+
+@_query()
+def session_transcripts(spark, d):
+    """The events of each user read as segments of a recording, as marked paragraphs."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("start"), F.col("event_type").alias("text"))
+    first = rows.groupBy("key").agg(F.min("start").alias("first"))
+    return chunking.transcript(rows.join(first, "key").withColumn("start", F.col("start") - F.col("first")))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
