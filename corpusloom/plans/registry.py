@@ -197,12 +197,7 @@ def card_chunks(spark, d):
     return chunking.card_chunks(table(spark, d, "links"), _live(spark, d), covered).select("tweet_id", "ref", "text")
 
 
-@_query(f"""
-    WITH p AS (SELECT p.*, '@' || coalesce(nullif(a.screen_name, ''), 'unknown') || ': ' AS h FROM ({_LIVE}) p LEFT JOIN authors a USING (author_id)),
-    c AS (SELECT tweet_id, h, lang, unnest([{{'o': 0, 's': 'post', 't': regexp_replace(text, '{_STRIP}', '', 'g')}}, {{'o': 1, 's': 'quote', 't': regexp_replace(quoted_text, '{_STRIP}', '', 'g')}},
-        {{'o': 2, 's': 'article', 't': CASE WHEN coalesce(article_title, '') <> '' THEN regexp_replace(article_title || chr(10) || chr(10) || coalesce(article_preview, ''), '{_STRIP}', '', 'g') END}}]) AS x FROM p)
-    SELECT tweet_id, s AS source, row_number() OVER (PARTITION BY tweet_id ORDER BY o, i) - 1 AS position, h || t[i * 4600 + 1 : i * 4600 + 4800] AS text, lang
-    FROM (SELECT tweet_id, h, lang, x.o AS o, x.s AS s, x.t AS t, unnest(range(0, 1 + greatest(0, ceil((length(x.t) - 4800) / 4600e0)::BIGINT))) AS i FROM c WHERE coalesce(x.t, '') <> '')""")
+@_query()
 def post_chunks(spark, d):
     none = spark.createDataFrame([], "tweet_id string")
     rows = chunking.post_chunks(_live(spark, d), table(spark, d, "authors"), none)
