@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.llm.arrowtext import mix, over_slices, prefix_hash, span_hash
@@ -132,8 +133,14 @@ def _sign(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def signed(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
     """(key, whole, bands, sketch) of each record with at least ``least`` letters and digits; ``whole`` names its text."""
-    rows = df.select(F.col(key).cast("bigint").alias("key"), normalised(F.col(text)).alias("text")).where((F.length("text") >= least) & F.col("key").isNotNull())
-    return rows.mapInArrow(over_slices(_sign, "text", 1 << 19), "key bigint, whole bigint, bands array<bigint>, sketch binary")
+
+    def sign(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        # here, since a test of the made text in the plan would make it twice
+        long = batch.filter(pc.greater_equal(pc.utf8_length(batch.column(1)), least))
+        return _sign(long) if long.num_rows else None
+
+    rows = df.where((F.length(text) >= least) & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), normalised(F.col(text)).alias("text"))
+    return rows.mapInArrow(over_slices(sign, "text", 1 << 19), "key bigint, whole bigint, bands array<bigint>, sketch binary")
 
 
 def met(representatives: DataFrame) -> DataFrame:
@@ -181,7 +188,7 @@ def similar(df: DataFrame, key: str, text: str, *, least: int, threshold: float
     pairs = stored(pairs.mapInArrow(lambda it: map(_agree, it), "a bigint, b bigint"), "agreeing")
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
     source = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).join(_few(wanted), "key", "left_semi")
-    texts = stored(source.select("key", normalised(F.col("text")).alias("text")).where(F.length("text") >= least).dropDuplicates(["key", "text"]), "texts")
+    texts = stored(source.select("key", normalised(F.col("text")).alias("text")).dropDuplicates(["key", "text"]), "texts")
 
     def check(batches):
         for batch in batches:
