@@ -183,9 +183,9 @@ def _few(df: DataFrame) -> DataFrame:
 def nearest(df: DataFrame, key: str, vector: str, *, width: int = 768, k: int = 10, choices: int = CHOICES, cell: int = CELL, sample: int = SAMPLE) -> DataFrame:
     """(id, near): the ids of the k most similar vectors of every usable vector, best first."""
     spark = df.sparkSession
-    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")).where(
-        (F.size("v") == width) & F.col("id").isNotNull() & ~F.exists("v", lambda x: F.isnull(x) | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    )
+    most, least = F.array_max("v"), F.array_min("v")
+    usable = (F.size(F.array_compact("v")) == width) & (F.size("v") == width) & ~F.isnan(most) & (most < float("inf")) & (least > float("-inf")) & ((most > 0) | (least < 0))
+    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & usable)
     count = rows.count()
     taught = rows.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(count, 1)))).limit(sample * 5 // 4)
     got = taught.select("v").toArrow().column(0).combine_chunks()
