@@ -157,7 +157,7 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Trees:
         for i in range(inner):
             rows = np.flatnonzero(node == i)
             best = 0.0
-            for f in range(x.shape[1]) if len(rows) >= 20 else ():
+            for f in range(1, x.shape[1]) if len(rows) >= 20 else ():  # the number of words says nothing about them
                 b = binned[rows, f]
                 n, s = np.bincount(b, minlength=BINS), np.bincount(b, left[rows], BINS)
                 n, s = np.cumsum(n)[:-1], np.cumsum(s)[:-1]

@@ -28,7 +28,7 @@ _PATTERNS = (
     (WORD, re.compile(r"\s(?=\S)")),
     (SENTENCE, re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+(?=\S)|(?<=[。！？])(?=[^\s。！？」』])")),
     (LINE, re.compile(r"\n(?=[^\n])|<br\s*/?>\s*", re.I)),
-    (ITEM, re.compile(r"\n(?=[ \t]*(?:[-*+•]|\d+[.)])[ \t])|(?=<(?:li|tr|dt|dd)\b)|(?=<p>\[\d+:\d\d)|(?=\[\d+:\d\d(?::\d\d)?\] )", re.I)),
+    (ITEM, re.compile(r"\n(?=[ \t]*(?:[-*+•]|\d+[.)])[ \t])|(?=<(?:li|tr|dt|dd)\b)|(?=<p>\[\d+:\d\d)|(?<!>)(?=\[\d+:\d\d(?::\d\d)?\] )", re.I)),
     (BLOCK, re.compile(r"\n[ \t]*\n\s*|(?=<(?:p|div|h[1-6]|ul|ol|table|blockquote|pre|section|article)\b)(?!<p>\[\d)", re.I)),
 )
 _TAG = re.compile(r"<[a-zA-Z/!][^<>]{0,2000}>|&#?\w{1,8};")
