@@ -113,7 +113,7 @@ def search(tables: dict[str, DataFrame], query: str, vector: list[float], *, lim
     return out.select(
         "tweet_id", "chunk_id", "source", "score", tx.handle(F.col("screen_name")).alias("handle"), "created_at", "chunk_count",
         F.coalesce(F.nullif("document_words", F.lit(0)), tx.word_count(F.col("post"))).cast("bigint").alias("words"), F.coalesce("media", F.lit("")).alias("media"), tx.snippet(F.col("text")).alias("passage"),
-    )
+    ).orderBy(F.desc("score"), "chunk_id")
 
 
 def passages(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float], within: DataFrame, limit: int = 5) -> DataFrame:
@@ -121,4 +121,5 @@ def passages(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[flo
     among = within.select("chunk_id")
     fused = fuse(vector_ranks(vectors, vector, among=among), lexical_ranks(chunks, query, among=among))
     top = fused.orderBy(F.desc("score"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("lexical_rank"), "chunk_id").limit(limit)
-    return chunks.join(F.broadcast(top), chunks["id"] == top["chunk_id"]).select("chunk_id", "tweet_id", "source", "ref", "position", "score")
+    order = (F.desc("score"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("lexical_rank"), "chunk_id")
+    return chunks.join(F.broadcast(top), chunks["id"] == top["chunk_id"]).orderBy(*order).select("chunk_id", "tweet_id", "source", "ref", "position", "score")

@@ -1,53 +1,12 @@
 import json
 
 import pytest
+from tests_pages import ALICE, BOB, CAROL, CURSOR, entry, page
 
 from corpusloom.operators import normalize
 from corpusloom.sources.tables import bottom_cursor, latest_posts, raw_pages
 
 
-def user(uid, name, **more):
-    return {"core": {"user_results": {"result": {"rest_id": uid, **({"core": {"screen_name": name, "name": name.title()}} if not more else more)}}}}
-
-
-def entry(tweet, at):
-    return {"entryId": f"tweet-{at}", "sortIndex": f"180000000000000000{at}", "content": {"entryType": "TimelineTimelineItem", "itemContent": {"itemType": "TimelineTweet", "tweet_results": {"result": tweet}}}}
-
-
-def page(*entries):
-    return {"data": {"bookmark_timeline_v2": {"timeline": {"instructions": [{"type": "TimelineAddEntries", "entries": list(entries)}]}}}}
-
-
-ALICE = {
-    "__typename": "Tweet", "rest_id": "1001", **user("1", "alice"),
-    "legacy": {
-        "full_text": "Look at t.co/a now t.co/m", "created_at": "Wed Oct 10 20:19:24 +0000 2018", "lang": "en", "conversation_id_str": "1001", "favorite_count": 120,
-        "entities": {"urls": [{"url": "t.co/a", "expanded_url": "https://www.example.com/p?utm_source=x"}]},
-        "extended_entities": {"media": [{"media_key": "m1", "type": "photo", "url": "t.co/m", "media_url_https": "https://i.test/1.jpg", "ext_alt_text": "alt", "original_info": {"width": 1200, "height": 800}}]},
-    },
-}
-BOB = {
-    "__typename": "Tweet", "rest_id": "1002", **user("2", "bob", legacy={"screen_name": "bob", "name": "Bob", "verified": True}),
-    "legacy": {
-        "full_text": "動画", "created_at": "bad", "lang": "ja",
-        "extended_entities": {"media": [{"media_key": "m2", "type": "video", "media_url_https": "https://i.test/2.jpg", "video_info": {"duration_millis": 92000, "variants": [
-            {"content_type": "application/x-mpegURL", "url": "https://v.test/x.m3u8"}, {"content_type": "video/mp4", "bitrate": 2176000, "url": "https://v.test/big.mp4"}, {"content_type": "video/mp4", "bitrate": 832000, "url": "https://v.test/small.mp4"}]}},
-            {"type": "video", "media_url_https": "https://i.test/3.jpg", "video_info": {"variants": []}}, {"type": "photo", "media_url_https": "https://i.test/4.jpg"}]},
-    },
-}
-DAVE = {"__typename": "Tweet", "rest_id": "999", **user("4", "dave"), "legacy": {"full_text": "quoted words"}}
-CAROL = {
-    "__typename": "TweetWithVisibilityResults",
-    "tweet": {
-        "rest_id": "1003", **user("3", "carol"), "legacy": {"full_text": "short", "lang": "en", "entities": {"urls": [{"url": "t.co/self", "expanded_url": "https://x.com/i/1"}]}},
-        "note_tweet": {"note_tweet_results": {"result": {"text": "a long note t.co/c", "entity_set": {"urls": [{"url": "t.co/c", "expanded_url": "https://card.test/page"}]}}}},
-        "card": {"legacy": {"url": "t.co/c", "binding_values": [{"key": "title", "value": {"string_value": "Card"}}, {"key": "thumbnail_image", "value": {"image_value": {"url": "https://i.test/t.jpg"}}}]}},
-        "quoted_status_result": {"result": DAVE},
-    },
-}
-CURSOR = {"entryId": "cursor-bottom", "content": {"entryType": "TimelineTimelineCursor", "cursorType": "Bottom", "value": "NEXT"}}
-
-
 @pytest.fixture(scope="module")
 def pages(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("raw")
