@@ -47,7 +47,7 @@ class Engine:
             if self.embedder is None:
                 raise ValueError("give a vector or an embedder")
             vector = self.embedder([f"task: search result | query: {query}"])[0]
-        chunks = retrieval.index_chunks(self.tables["chunks"])
+        chunks = self.tables["chunks"]
         return retrieval.passages(chunks, self.tables["vectors"], query, vector, documents.passage_ids(chunks, found))
 
     def wanted_chunks(self, captions: DataFrame | None = None, exclude: list[str] | None = None, translations: DataFrame | None = None) -> DataFrame:

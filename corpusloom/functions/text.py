@@ -150,22 +150,31 @@ def is_number_row(line: Column) -> Column:
     return line.rlike(r"^\s*\|.*\|\s*$") & (F.regexp_replace(line, r"(?U)[\d\s|:.,%+\-—–]+", "") == "")
 
 
+def once(made: Column) -> Column:
+    """A column that is made once a row however often it is used later: the plan can't copy its expression past the generator."""
+    return F.explode(F.array(made))
+
+
 def prose(body: Column) -> Column:
     """Markup to text: headings with #, list items with *, tables as | rows; links and images as their text; rows of numbers dropped."""
+    mark = "\u0001"  # stands before a heading's level until all tags are gone
     text = F.regexp_replace(body, r"(?is)<(script|style|head)\b[^>]*>.*?</\1\s*>", "")
-    for level in range(1, 7):
-        text = F.regexp_replace(text, rf"(?i)<h{level}\b[^>]*>", "\n\n" + "#" * level + " ")
+    text = F.regexp_replace(text, r"<[hH]([1-6])\b[^>]*>", f"\n\n{mark}$1 ")
     text = F.regexp_replace(text, r"(?i)<br\s*/?>|<tr\b[^>]*>", "\n")
-    text = F.regexp_replace(text, r"(?i)<li\b[^>]*>", "\n* ")
-    text = F.regexp_replace(text, r"(?i)</t[dh]\s*>\s*<t[dh]\b[^>]*>", " | ")
-    text = F.regexp_replace(text, r"(?i)<t[dh]\b[^>]*>", "| ")
-    text = F.regexp_replace(text, r"(?i)</t[dh]\s*>", " |")
+    text = F.regexp_replace(text, r"<[lL][iI]\b[^>]*>", "\n* ")
+    cells = F.regexp_replace(text, r"(?i)</t[dh]\s*>\s*<t[dh]\b[^>]*>", " | ")
+    cells = F.regexp_replace(F.regexp_replace(cells, r"(?i)<t[dh]\b[^>]*>", "| "), r"(?i)</t[dh]\s*>", " |")
+    text = F.when(body.rlike("(?i)<t[dh]"), cells).otherwise(text)
     text = F.regexp_replace(text, r"(?i)</?(?:p|div|h[1-6]|ul|ol|table|blockquote|pre|section|article|figure|hr)\b[^>]*>", "\n\n")
-    text = F.regexp_replace(text, r"(?i)</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>|<!--.*?-->", "")
+    text = F.regexp_replace(text, r"</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>|<!--.*?-->", "")
+    for level in range(1, 7):
+        text = F.replace(text, F.lit(f"{mark}{level}"), F.lit("#" * level))
+    text = F.when(body.contains("<"), text).otherwise(body)
     for entity, char in (("&nbsp;", " "), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
-    lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), lambda x: ~is_number_row(x))
-    return strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
+    lines = F.filter(F.split(text, r"\r?\n"), lambda x: ~(x.contains("|") & is_number_row(x)))
+    text = F.regexp_replace(F.array_join(lines, "\n"), r"(?U)[^\S\n]+(?=\n)", "")
+    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
 def created_at(text: Column) -> Column:

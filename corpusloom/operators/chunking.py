@@ -84,7 +84,7 @@ def owners(documents: DataFrame, links: DataFrame) -> DataFrame:
 
 def document_chunks(documents: DataFrame, owned: DataFrame, posts: DataFrame, authors: DataFrame) -> DataFrame:
     """Chunks of each readable document for each live post that has it; the head is inside the split text. Markup is removed once a page."""
-    body = documents.withColumn("body", tx.prose(F.col("body"))).where("body <> ''").drop("tweet_id", "text")
+    body = documents.select("url", "kind", "site", "title", "lang", tx.once(tx.prose(F.col("body"))).alias("body")).where("body <> ''")
     video = F.col("kind").isin("x_article", "video")
     who = posts.select("tweet_id", "author_id").join(authors.select("author_id", "screen_name"), "author_id", "left").select("tweet_id", "screen_name")
     rows = owned.join(who, "tweet_id").join(body, "url")
@@ -92,7 +92,8 @@ def document_chunks(documents: DataFrame, owned: DataFrame, posts: DataFrame, au
     label = F.when(video, tx.handle(F.col("screen_name"))).otherwise(site)
     head = F.concat(label, F.lit(":"), F.when(tx.given(F.col("title")).isNotNull(), F.concat(F.lit(" "), F.col("title"))).otherwise(""))
     source = F.when(F.col("kind") == "x_article", "article").when(F.col("kind") == "video", "video").otherwise("link")
-    made = rows.select("tweet_id", source.alias("source"), F.col("url").alias("ref"), "lang", F.posexplode(split(F.concat(head, F.lit("\n\n"), F.col("body")))).alias("position", "text"))
+    whole = rows.select("tweet_id", source.alias("source"), F.col("url").alias("ref"), "lang", tx.once(F.concat(head, F.lit("\n\n"), F.col("body"))).alias("whole"))
+    made = whole.select("tweet_id", "source", "ref", "lang", F.posexplode(split(F.col("whole"))).alias("position", "text"))
     return made.select(*COLUMNS)
 
 

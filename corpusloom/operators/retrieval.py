@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.functions.vector import l2
 
 CANDIDATES, FUSION, K1, B = 80, 60, 1.2, 0.75
 
@@ -23,8 +25,8 @@ def index_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def index_vectors(chunk_vec: DataFrame, width: int = 768) -> DataFrame:
-    """Usable vectors, a repeated row once."""
-    return chunk_vec.where(F.size("embedding") == width).dropDuplicates(["chunk_id"])
+    """Usable vectors. Rows may repeat: the rankers drop repeats after they have reduced a row to its distance."""
+    return chunk_vec.where(F.size("embedding") == width)
 
 
 def allowed(chunks: DataFrame, posts: DataFrame, authors: DataFrame, *, author: str | None = None, source: str | None = None, after: str | None = None, before: str | None = None) -> DataFrame | None:
@@ -46,11 +48,22 @@ def allowed(chunks: DataFrame, posts: DataFrame, authors: DataFrame, *, author:
 def vector_ranks(vectors: DataFrame, query: list[float], k: int = CANDIDATES, among: DataFrame | None = None) -> DataFrame:
     """(chunk_id, distance, rank) of the k nearest, rank from 0, ties by id."""
     rows = vectors if among is None else vectors.join(among, "chunk_id", "left_semi")
-    at = F.array(*(F.lit(float(x)) for x in query)) if len(query) <= 64 else F.from_json(F.lit(str([float(x) for x in query])), "array<double>")
-    near = rows.select("chunk_id", l2(F.col("embedding"), at).alias("distance")).orderBy("distance", "chunk_id").limit(k)
+    near = distances(rows.select("chunk_id", "embedding"), query).dropDuplicates(["chunk_id"]).orderBy("distance", "chunk_id").limit(k)
     return near.withColumn("rank", F.row_number().over(Window.orderBy("distance", "chunk_id")) - 1)
 
 
+def distances(vectors: DataFrame, query: list[float]) -> DataFrame:
+    """(chunk_id, distance) by Euclidean distance in double precision, a batch at a time; vectors of other lengths are left out."""
+    at = np.asarray(query, np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(at)).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.sqrt(((x - at) ** 2).sum(1)))], ["chunk_id", "distance"])
+
+    return vectors.where(F.size("embedding") == len(at)).mapInArrow(run, "chunk_id bigint, distance double")
+
+
 def query_terms(text: str) -> list[str]:
     """The terms of a query of more than one character; repeats are kept."""
     import regex
@@ -63,10 +76,10 @@ def lexical_scores(chunks: DataFrame, query: str, among: DataFrame | None = None
     terms = Counter(query_terms(query))
     if not terms:
         return chunks.select(F.col("id").alias("chunk_id"), F.lit(0.0).alias("bm25")).where("false")
-    words = chunks.select(F.col("id").alias("chunk_id"), tx.tokens(F.col("text")).alias("terms"))
+    words = chunks.select(F.col("id").alias("chunk_id"), tx.once(tx.tokens(F.col("text"))).alias("terms"))
     names = sorted(terms)
-    found = lambda name: F.size(F.filter("terms", lambda t: t == name))
-    tf = words.select("chunk_id", F.size("terms").alias("dl"), *(found(n).alias(f"tf{i}") for i, n in enumerate(names)))
+    found = lambda name: F.size("terms") - F.size(F.array_remove("terms", name))
+    tf = words.select("chunk_id", F.size("terms").alias("dl"), *(found(n).alias(f"tf{i}") for i, n in enumerate(names))).dropDuplicates(["chunk_id"])
     stats = tf.agg(F.count("*").alias("n"), F.sum("dl").alias("words"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(names)))).first()
     if not stats["n"] or not stats["words"]:
         return tf.select("chunk_id", F.lit(0.0).alias("bm25")).where("false")
@@ -96,14 +109,15 @@ def fuse(dense: DataFrame, lexical: DataFrame) -> DataFrame:
 
 def search(tables: dict[str, DataFrame], query: str, vector: list[float], *, limit: int = 10, **filters: str | None) -> DataFrame:
     """The best passage of each of the best posts, with what the post holds. ``tables``: chunks, vectors, posts (live), authors, documents, links, media."""
-    chunks, posts = index_chunks(tables["chunks"]), tables["posts"]
+    chunks, posts = tables["chunks"], tables["posts"]
     among = allowed(chunks, posts, tables["authors"], **filters)
     fused = F.broadcast(fuse(vector_ranks(tables["vectors"], vector, among=among), lexical_ranks(chunks, query, among=among)))
-    hits = chunks.join(fused, chunks["id"] == fused["chunk_id"]).join(posts.select("tweet_id", "author_id", "created_at", F.col("text").alias("post")), "tweet_id")
+    hits = index_chunks(chunks.join(fused, chunks["id"] == fused["chunk_id"])).join(posts.select("tweet_id", "author_id", "created_at", F.col("text").alias("post")), "tweet_id")
     best = F.row_number().over(Window.partitionBy("tweet_id").orderBy(F.desc("score"), "chunk_id"))
     hits = hits.withColumn("r", best).where("r = 1").orderBy(F.desc("score"), "chunk_id").limit(limit)
-    ids = F.broadcast(hits.select("tweet_id"))  # at most ``limit`` rows
-    counts = chunks.join(ids, "tweet_id", "left_semi").groupBy("tweet_id").agg(F.count("*").alias("chunk_count"))
+    hits = chunks.sparkSession.createDataFrame(hits.collect(), hits.schema)  # at most ``limit`` rows: ranked once, then looked up
+    ids = F.broadcast(hits.select("tweet_id"))
+    counts = chunks.join(ids, "tweet_id", "left_semi").groupBy("tweet_id").agg(F.count_distinct("id").alias("chunk_count"))
     kinds = tables["media"].join(ids, "tweet_id", "left_semi").groupBy("tweet_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("media"))
     attached = tables["documents"].select("url", F.col("tweet_id").alias("owner"), "word_count")
     links = tables["links"].join(ids, "tweet_id", "left_semi").select("tweet_id", "url")
@@ -122,4 +136,4 @@ def passages(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[flo
     fused = fuse(vector_ranks(vectors, vector, among=among), lexical_ranks(chunks, query, among=among))
     top = fused.orderBy(F.desc("score"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("lexical_rank"), "chunk_id").limit(limit)
     order = (F.desc("score"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("lexical_rank"), "chunk_id")
-    return chunks.join(F.broadcast(top), chunks["id"] == top["chunk_id"]).orderBy(*order).select("chunk_id", "tweet_id", "source", "ref", "position", "score")
+    return index_chunks(chunks.join(F.broadcast(top), chunks["id"] == top["chunk_id"])).orderBy(*order).select("chunk_id", "tweet_id", "source", "ref", "position", "score")

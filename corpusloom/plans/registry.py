@@ -274,7 +274,7 @@ def _fused(where_b: str = "", where_k: str = "") -> str:
 
 
 def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return retrieval.index_chunks(table(spark, d, "chunks")), retrieval.index_vectors(table(spark, d, "chunk_vec"))
+    return table(spark, d, "chunks"), retrieval.index_vectors(table(spark, d, "chunk_vec"))
 
 
 def _among(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
