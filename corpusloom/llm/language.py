@@ -216,6 +216,7 @@ def fit(sources: list[tuple[DataFrame, str, str, str]], *, most: int = TRAIN_TEX
         known = df.select(F.col(key).alias("key"), F.col(text).alias("text"), label(F.col(named)).alias("label"))
         known = known.where(F.col("label").isNotNull() & (F.length("text").between(40, TRAIN_CHARS)))
         sample = sampled(known, "key", most).select(prose(F.col("text")).alias("text"), "label").toArrow()
+        sample = sample.sort_by([("text", "ascending"), ("label", "ascending")])  # the same order in every run
         for batch in sample.combine_chunks().to_batches():
             for part in slices(batch, "text"):
                 w = windows_of(*byte_view(part.column(0)))

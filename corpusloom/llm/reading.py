@@ -178,6 +178,7 @@ def fit(df: DataFrame, key: str, text: str, source: str, *, most: int = TRAIN_TE
     """Train on at most ``most`` texts of ``df`` (of one language), cross-validated and calibrated by ``source``."""
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source"))
     sample = sampled(rows.where(F.length("text").between(200, TRAIN_CHARS)), "key", most).select("text", "source").toArrow()
+    sample = sample.sort_by([("text", "ascending"), ("source", "ascending")])  # the same order in every run
     parts = [features(*byte_view(p.column(0))) for b in sample.combine_chunks().to_batches() for p in slices(b, "text")]
     x = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)), np.float32)
     told = x[:, 12] > 0
