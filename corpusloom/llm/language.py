@@ -23,6 +23,8 @@ from corpusloom.llm.residue import sampled
 WINDOW, EMBED, FILTERS = 128, 8, 16
 #: Texts of the training sample for each table, the longest of them, and windows taken from all.
 TRAIN_TEXTS, TRAIN_CHARS, TRAIN_WINDOWS = 3000, 4000, 32_000
+#: Confidence that a further language of a text needs.
+SURE = 0.7
 #: Languages that the network knows; the last class is none.
 LANGUAGES = ("en", "es", "de", "fr", "pt", "nl", "ru", "ja")
 NONE = len(LANGUAGES)
@@ -39,6 +41,8 @@ NAMES = {
 }
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0xE0), *range(0xE3, 0xEE)]] = True
+_WORD = np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 47, 63]] = True
 
@@ -52,7 +56,7 @@ def label(named: Column) -> Column:
 
 def prose(text: Column) -> Column:
     """The text without links, handles and tags."""
-    return F.when(text.rlike(r"[@#]|://"), F.regexp_replace(text, r"https?://\S+|[@#][\p{L}\p{N}_]+", " ")).otherwise(text)
+    return F.when(text.rlike(r"[@#]|://"), F.regexp_replace(text, r"https?://\S+|[@#][\p{L}\p{N}_]+:?", " ")).otherwise(text)
 
 
 @dataclass
@@ -77,7 +81,9 @@ def windows_of(data: np.ndarray, offsets: np.ndarray) -> Windows:
     n = len(data)
     letter = _LETTER[data]
     letter[:-1] &= ~((data[:-1] == 0xE3) & (data[1:] == 0x80))  # ideographic punctuation
-    stop = np.flatnonzero(_STOP[data]) + 1
+    ends = _STOP[data]
+    ends[:-1] &= (data[:-1] == 10) | ~_WORD[data[1:]]  # not the dots within a host name
+    stop = np.flatnonzero(ends) + 1
     wide = np.flatnonzero((data[:-2] == 0xE3) & (data[1:-1] == 0x80) & (data[2:] == 0x82)) + 3 if n > 2 else stop[:0]
     begin = offsets[:-1][offsets[:-1] < offsets[1:]]
     cut = np.unique(np.concatenate([begin, stop, wide]))
@@ -276,6 +282,7 @@ def read(data: np.ndarray, offsets: np.ndarray, net: Network, share: float) -> t
     first = np.searchsorted(w.text, np.arange(n + 1))
     for i in range(n):
         found = [k for k in np.argsort(-part[i, :NONE], kind="stable") if part[i, k] >= share and part[i, k] > 0]
+        found = [k for k in found if k == found[0] or sure[i, k] >= SURE * held[i, k]]
         langs.append([{"lang": LANGUAGES[k], "share": float(part[i, k]), "confidence": float(sure[i, k] / held[i, k])} for k in found])
         s = slice(first[i], first[i + 1])
         segments.append(_runs(which[s], w.letters[s], p[np.arange(s.start, s.stop), which[s]]) if len(found) > 1 else None)
