@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from corpusloom.functions import text as tx
 
@@ -106,26 +106,38 @@ def image_chunks(captions: DataFrame, media: DataFrame, posts: DataFrame, author
     return made.select("tweet_id", F.lit("image").alias("source"), F.col("media_key").alias("ref"), "position", F.concat(tx.handle(F.col("screen_name")), F.lit(": "), F.col("piece")).alias("text"), "lang")
 
 
-def transcript(segments: DataFrame, least: float = 60.0) -> DataFrame:
-    """(key, body, words): segments (key, start, text) as marked paragraphs of at least ``least`` seconds, counted from a paragraph's first segment.
+def paragraphs(segments: DataFrame, least: float = 60.0) -> DataFrame:
+    """(key, start, text, words): segments (key, start, text) as paragraphs of at least ``least`` seconds, counted from a paragraph's first segment.
 
-    The fold runs within the array of one recording, whose length a recording bounds.
+    Where two segments start ``least`` seconds apart a paragraph surely ends, so the fold runs within the stretches between
+    such places: sorted windows, which stream and spill, find them, and only a stretch is held in memory.
     """
-    spoken = segments.where(tx.strip(F.col("text")) != "").select("key", "start", tx.strip(F.col("text")).alias("text"))
-    made = spoken.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "text"))).alias("s"), F.sum(tx.word_count(F.col("text"))).alias("words"))
+    spoken = segments.select("key", "start", tx.strip(F.col("text")).alias("text")).where("text <> ''")
+    order = Window.partitionBy("key").orderBy("start", "text")
+    cut = F.coalesce((F.col("start") - F.lag("start").over(order) >= least).cast("int"), F.lit(0))
+    stretch = F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = spoken.withColumn("cut", cut).withColumn("stretch", stretch)
+    made = placed.groupBy("key", "stretch").agg(F.array_sort(F.collect_list(F.struct("start", "text"))).alias("s"))
     para = "struct<start:double,text:string>"
-    start = F.struct(F.array().cast(f"array<{para}>").alias("done"), F.lit(None).cast(para).alias("open"))
+    first = F.struct(F.array().cast(f"array<{para}>").alias("done"), F.lit(None).cast(para).alias("open"))
 
     def step(acc: Column, x: Column) -> Column:
         fresh = F.struct(x["start"].cast("double").alias("start"), x["text"].alias("text"))
         grown = F.struct(acc["open"]["start"].alias("start"), F.concat(acc["open"]["text"], F.lit(" "), x["text"]).alias("text"))
-        first, full = acc["open"].isNull(), x["start"] - acc["open"]["start"] >= least
-        done = F.when(~first & full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
-        return F.struct(done.alias("done"), F.when(first | full, fresh).otherwise(grown).alias("open"))
+        none, full = acc["open"].isNull(), x["start"] - acc["open"]["start"] >= least
+        done = F.when(~none & full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
+        return F.struct(done.alias("done"), F.when(none | full, fresh).otherwise(grown).alias("open"))
+
+    folded = F.aggregate("s", first, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
+    return made.select("key", F.explode(folded).alias("p")).select("key", "p.start", "p.text", tx.word_count(F.col("p.text")).alias("words"))
 
-    folded = F.aggregate("s", start, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
-    body = F.array_join(F.transform(folded, lambda p: F.concat(F.lit("<p>["), tx.clock(p["start"]), F.lit("] "), tx.escape_html(p["text"]), F.lit("</p>"))), "\n")
-    return made.select("key", body.alias("body"), "words")
+
+def transcript(segments: DataFrame, least: float = 60.0) -> DataFrame:
+    """(key, body, words): one document for each recording, its paragraphs marked with their time."""
+    line = F.concat(F.lit("<p>["), tx.clock(F.col("start")), F.lit("] "), tx.escape_html(F.col("text")), F.lit("</p>"))
+    marked = paragraphs(segments, least).select("key", "words", F.struct("start", line.alias("line")).alias("x"))
+    made = marked.groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("x"), F.sum("words").alias("words"))
+    return made.select("key", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("body"), "words")
 
 
 def collect(posts: DataFrame, authors: DataFrame, links: DataFrame, documents: DataFrame, captions: DataFrame, media: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators.chunking import owners, readable
@@ -24,15 +24,24 @@ def find(documents: DataFrame, links: DataFrame, posts: DataFrame, target: str)
 
 
 def page(found: DataFrame, offset: int = 0, size: int = PAGE) -> DataFrame:
-    """(text, next_offset, has_more): ``size`` characters of the documents' sections, articles first."""
+    """(text, next_offset, has_more): ``size`` characters of the documents' sections, articles first.
+
+    Only the places of the sections are ordered in one task; their texts are read where they reach into the page.
+    """
     if offset < 0:
         raise ValueError("the offset must not be negative")
     section = F.concat(F.lit("# "), F.coalesce(tx.given(F.col("title")), F.col("url")), F.lit("\n\nSource: "), F.col("url"), F.lit("\n\n"), tx.prose(F.col("body")))
     order = F.struct((F.col("kind") != "x_article").alias("o"), "url", "doc_id")
-    whole = found.where("body <> ''").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("order"), section.alias("s")))), lambda x: x["s"]), "\n\n").alias("whole"))
+    texts = found.where("body <> ''").select(order.alias("order"), tx.once(section).alias("s"))
     end = offset + size
-    return whole.select(
-        F.substring("whole", offset + 1, size).alias("text"), F.when(F.length("whole") > end, end).alias("next_offset"), (F.length("whole") > end).alias("has_more")
+    size_ = F.length("s") + 2
+    places = texts.select("order", size_.alias("n")).withColumn("at", F.sum("n").over(Window.orderBy("order").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
+    total = places.agg(F.coalesce(F.max(F.col("at") + F.col("n")), F.lit(2)).alias("t")).select((F.col("t") - 2).alias("t"), F.lit(1).alias("one"))
+    shown = places.where((F.col("at") < end) & (F.col("at") + F.col("n") > offset)).join(texts, "order")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]), "\n\n")
+    made = shown.agg(text.alias("whole"), F.coalesce(F.min("at"), F.lit(offset)).alias("first")).withColumn("one", F.lit(1)).join(total, "one")  # two single rows
+    return made.select(
+        F.substr("whole", F.lit(offset + 1) - F.col("first"), F.lit(size)).alias("text"), F.when(F.col("t") > end, end).alias("next_offset"), (F.col("t") > end).alias("has_more")
     )
 
 
@@ -43,10 +52,19 @@ def passage_ids(chunks: DataFrame, urls: DataFrame) -> DataFrame:
 
 
 def details(posts: DataFrame, authors: DataFrame, links: DataFrame, media: DataFrame, captions: DataFrame | None = None) -> DataFrame:
-    """Live posts with their author, links (by url) and media (by position), nested. One post's links and media are bounded by the post."""
+    """Some posts with their author, links (by url) and media (by position), nested: for the reading tool, which asks for one post. For many posts use ``items``."""
     said = None if captions is None else captions.select("media_key", F.when(F.col("error").isNull(), F.col("text")).alias("caption"))
     pictures = media.withColumn("caption", F.lit(None).cast("string")) if said is None else media.join(said, "media_key", "left")
     link = links.groupBy("tweet_id").agg(F.array_sort(F.collect_list(F.struct("url", "domain", "title", "description", "from_card"))).alias("links"))
     picture = pictures.groupBy("tweet_id").agg(F.array_sort(F.collect_list(F.struct("position", "media_key", "kind", "url", "alt_text", "caption", "width", "height", "duration_ms"))).alias("media"))
     who = authors.select("author_id", F.struct("author_id", "screen_name", "name", "verified", "description").alias("author"))
     return posts.join(who, "author_id", "left").join(link, "tweet_id", "left").join(picture, "tweet_id", "left")
+
+
+def items(posts: DataFrame, authors: DataFrame, links: DataFrame, media: DataFrame) -> DataFrame:
+    """(tweet_id, screen_name, item, place, title): a row for each link and picture of each post; no post is gathered."""
+    who = posts.select("tweet_id", "author_id").join(authors.select("author_id", "screen_name"), "author_id", "left").select("tweet_id", "screen_name")
+    parts = links.select("tweet_id", F.lit("link").alias("item"), F.col("url").alias("place"), "title").unionByName(
+        media.select("tweet_id", F.lit("media").alias("item"), F.col("media_key").alias("place"), F.col("alt_text").alias("title"))
+    )
+    return who.join(parts, "tweet_id")

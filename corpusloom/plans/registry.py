@@ -440,24 +440,17 @@ def media_clocks(spark, d):
 
 
 @_query(f"""
-    SELECT p.tweet_id, screen_name, coalesce(l.n, 0) AS links, l.first_url, coalesce(m.n, 0) AS media, m.keys FROM ({_LIVE}) p LEFT JOIN authors USING (author_id)
-    LEFT JOIN (SELECT tweet_id, count(*) AS n, min(url) AS first_url FROM links GROUP BY 1) l USING (tweet_id)
-    LEFT JOIN (SELECT tweet_id, count(*) AS n, string_agg(media_key, ',' ORDER BY position, media_key) AS keys FROM media GROUP BY 1) m USING (tweet_id)""")
-def bookmark_details(spark, d):
-    rows = docs.details(_live(spark, d), *(table(spark, d, n) for n in ("authors", "links", "media")))
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
-    return rows.select(
-        "tweet_id", "author.screen_name", size("links").alias("links"), F.try_element_at("links", F.lit(1))["url"].alias("first_url"),
-        size("media").alias("media"), F.array_join(F.transform("media", lambda m: m["media_key"]), ",").alias("keys"),
-    )
+    SELECT p.tweet_id, screen_name, item, place, title FROM ({_LIVE}) p LEFT JOIN authors USING (author_id)
+    JOIN (SELECT tweet_id, 'link' AS item, url AS place, title FROM links UNION ALL SELECT tweet_id, 'media', media_key, alt_text FROM media) i USING (tweet_id)""")
+def bookmark_items(spark, d):
+    return docs.items(_live(spark, d), *(table(spark, d, n) for n in ("authors", "links", "media")))
 
 
 @_query()
-def session_transcripts(spark, d):
-    """The events of each user read as segments of a recording, as marked paragraphs."""
+def session_paragraphs(spark, d):
+    """The events of each user read as segments of a recording, as paragraphs of a minute or more."""
     rows = table(spark, d, "events").select(F.col("user_id").alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("start"), F.col("event_type").alias("text"))
-    first = rows.groupBy("key").agg(F.min("start").alias("first"))
-    return chunking.transcript(rows.join(first, "key").withColumn("start", F.col("start") - F.col("first")))
+    return chunking.paragraphs(rows)
 
 
 def queries() -> dict[str, Query]:
