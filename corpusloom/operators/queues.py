@@ -53,6 +53,13 @@ def outcome(error: Column, text: Column, empty: str) -> Column:
     return F.when(F.coalesce(error, F.lit("")) != "", "failed").when(F.coalesce(text, F.lit("")) == "", empty).otherwise("ok")
 
 
+def page_states(documents: DataFrame) -> DataFrame:
+    """(doc_id, readable, words, outcome) of every document: one without text has 0 words, and is failed or empty as its error says."""
+    good = (F.col("word_count") >= 60) | ((F.col("kind") == "video") & (F.col("word_count") > 0))
+    state = outcome(F.when(F.coalesce("body", F.lit("")) == "", F.col("error")), F.col("body"), "empty")
+    return documents.select("doc_id", good.alias("readable"), tx.word_count(F.col("text")).cast("bigint").alias("words"), state.alias("outcome"))
+
+
 def enriched(rows: DataFrame, key: str, value: str, enricher) -> DataFrame:
     """(key, text, error) by ``enricher``, a function of one value that may raise; a failure is a row, not a stop."""
 

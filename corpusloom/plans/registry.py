@@ -142,10 +142,17 @@ def page_owners(spark, d):
            CASE WHEN coalesce(error, '') <> '' AND coalesce(body, '') = '' THEN 'failed' WHEN coalesce(body, '') = '' THEN 'empty' ELSE 'ok' END AS outcome
     FROM documents WHERE text IS NOT NULL""")
 def page_states(spark, d):
-    rows = table(spark, d, "documents").where("text IS NOT NULL")
-    good = (F.col("word_count") >= 60) | ((F.col("kind") == "video") & (F.col("word_count") > 0))
-    state = queues.outcome(F.when(F.coalesce("body", F.lit("")) == "", F.col("error")), F.col("body"), "empty")
-    return rows.select("doc_id", good.alias("readable"), tx.word_count(F.col("text")).cast("bigint").alias("words"), state.alias("outcome"))
+    """The states of the documents with text, as its SQL has them; ``page_states_all`` has every document."""
+    return queues.page_states(table(spark, d, "documents").where("text IS NOT NULL"))
+
+
+@_query(rf"""
+    SELECT doc_id, word_count >= 60 OR (kind = 'video' AND word_count > 0) AS readable,
+           coalesce(len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '')), 0) AS words,
+           CASE WHEN coalesce(error, '') <> '' AND coalesce(body, '') = '' THEN 'failed' WHEN coalesce(body, '') = '' THEN 'empty' ELSE 'ok' END AS outcome
+    FROM documents""")
+def page_states_all(spark, d):
+    return queues.page_states(table(spark, d, "documents"))
 
 
 @_query(r"""

@@ -119,6 +119,13 @@ def test_queues(small):
     assert queues.pending_captions(small["posts"], small["media"], small["captions"]).collect() == []
 
 
+def test_every_page_has_a_state(spark):
+    rows = [(1, "link", "a b", "<p>a b</p>", 80, None), (2, "link", None, None, 0, "timeout"), (3, "link", None, None, 0, None), (4, "video", "", "", 0, "gone"), (5, "video", "hi", "hi", 1, "thin")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, kind string, text string, body string, word_count int, error string")
+    got = [tuple(r) for r in queues.page_states(docs).orderBy("doc_id").collect()]
+    assert got == [(1, True, 2, "ok"), (2, False, 0, "failed"), (3, False, 0, "empty"), (4, False, 0, "failed"), (5, True, 1, "ok")]
+
+
 def test_enrichers(spark):
     got = queues.enriched(spark.createDataFrame([(1, "a"), (2, "b")], "k bigint, v string"), "k", "v", lambda v: v.upper() if v != "b" else 1 // 0)
     rows = {r["k"]: (r["text"], r["error"]) for r in got.collect()}
