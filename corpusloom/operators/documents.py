@@ -45,6 +45,15 @@ def page(found: DataFrame, offset: int = 0, size: int = PAGE) -> DataFrame:
     )
 
 
+def pages(documents: DataFrame, size: int = PAGE) -> DataFrame:
+    """(doc_id, offset, page, next_offset, has_more): every page of every text, ``size`` characters each; an empty text has one empty page."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(size))
+    rows = documents.where("text IS NOT NULL").select("doc_id", "text", F.explode(starts).alias("offset"))
+    end = F.col("offset") + size
+    more = F.length("text") > end
+    return rows.select("doc_id", "offset", F.substr("text", F.col("offset") + 1, F.lit(size)).alias("page"), F.when(more, end).alias("next_offset"), more.alias("has_more"))
+
+
 def passage_ids(chunks: DataFrame, urls: DataFrame) -> DataFrame:
     """Of the chunks of some documents, the one with the smallest id for each (ref, position): shared pages once."""
     rows = chunks.where(F.col("source").isin("article", "link", "video")).join(urls.select(F.col("url").alias("ref")).distinct(), "ref", "left_semi")

@@ -171,9 +171,15 @@ def page_prose(spark, d):
 @_query("""
     SELECT doc_id, text[1:12000] AS page, CASE WHEN length(text) > 12000 THEN 12000 END AS next_offset, length(text) > 12000 AS has_more FROM documents WHERE text IS NOT NULL""")
 def document_pages(spark, d):
-    more = F.length("text") > docs.PAGE
-    rows = table(spark, d, "documents").where("text IS NOT NULL")
-    return rows.select("doc_id", F.substring("text", 1, docs.PAGE).alias("page"), F.when(more, docs.PAGE).alias("next_offset"), more.alias("has_more"))
+    """The first page of each text, as its SQL has it; ``document_pages_all`` has every page."""
+    return docs.pages(table(spark, d, "documents")).where("offset = 0").drop("offset")
+
+
+@_query("""
+    SELECT doc_id, o::INT AS "offset", text[o + 1 : o + 12000] AS page, CASE WHEN length(text) > o + 12000 THEN (o + 12000)::INT END AS next_offset, length(text) > o + 12000 AS has_more
+    FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 12000)) AS o FROM documents WHERE text IS NOT NULL)""")
+def document_pages_all(spark, d):
+    return docs.pages(table(spark, d, "documents"))
 
 
 # ---- chunks and the index ----

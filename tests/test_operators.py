@@ -142,6 +142,14 @@ def test_documents(small):
         documents.page(found, -1)
 
 
+def test_every_page_of_a_text(spark):
+    texts = ["", "x" * 10, "é" * 9 + "y" * 12, None, "z" * 11, "💡ab" * 10]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in documents.pages(rows, 10).collect())
+    want = [(i, o, t[o : o + 10], o + 10 if len(t) > o + 10 else None, len(t) > o + 10) for i, t in enumerate(texts) if t is not None for o in range(0, max(len(t), 1), 10)]
+    assert got == want and [len(t) for t in texts if t] == [sum(len(r[2]) for r in got if r[0] == i) for i, t in enumerate(texts) if t]
+
+
 def test_walk_rules():
     assert ingest.stop_reason(False, 0, False, 0, False, 0, None) == "no_first_page"
     assert ingest.stop_reason(True, 5, False, 0, True, 1, None) == "watermark"
