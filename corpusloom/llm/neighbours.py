@@ -3,7 +3,7 @@
 A bounded sample is linked to its nearest neighbours, the graph of these links is cut into balanced parts (recursive
 spectral bisection at the median), and a softmax classifier learns to which parts a vector and its neighbours belong.
 Every vector of the collection is put into its few most probable cells; within a cell all vectors are compared with
-one another, exactly, and the best of its cells make a vector's result. Cells grow in number with the collection, up
+one another, in float32, and the best of its cells make a vector's result. Cells grow in number with the collection, up
 to what the sample can teach; a crowded cell is compared block by block in several tasks.
 
 Similarity is the cosine; equal similarities rank by smaller id; a vector is no neighbour of itself. Null vectors, all
@@ -14,7 +14,7 @@ the one with the smallest hash counts. Other columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +39,14 @@ class Router:
     directions: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
+    shut: tuple[int, ...] = ()  # cells that get no vector, since they would hold too few
 
     def choose(self, x: np.ndarray, choices: int, worth: float = WORTH) -> tuple[np.ndarray, np.ndarray]:
         """The most probable cells of the rows of ``x`` (flat), and how many each row has: the first, and others worth it."""
         z = ((x - self.mean) @ self.directions) @ self.weights + self.bias
         z = np.exp(z - z.max(1, keepdims=True))
         z /= z.sum(1, keepdims=True)
+        z[:, list(self.shut)] = -1
         top = np.argsort(-z, axis=1, kind="stable")[:, :choices]
         good = np.take_along_axis(z, top, 1) >= worth
         good[:, 0] = True
@@ -113,9 +115,12 @@ def learn(x: np.ndarray, cells: int, turns: int = 120) -> Router:
     return Router(mean.astype(np.float32), directions / np.float32(scale), w, b)
 
 
-def _units(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _flat(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, width)
+
+
+def _units(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The usable rows' places, and their vectors with length 1."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, width)
     with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
         norm = np.sqrt((flat.astype(np.float64) ** 2).sum(1))
     good = np.flatnonzero(np.isfinite(norm) & (norm > 0))
@@ -123,43 +128,65 @@ def _units(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(x: np.ndarray) -> list[bytes]:
-    """Rows as half floats, high bytes before low bytes, compressed."""
+    """Rows of float32 without loss, byte by byte of the numbers, compressed; as half floats where these hold the same numbers."""
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=1)
-    halves = x.astype(np.float16).view(np.uint8).reshape(len(x), -1, 2).transpose(0, 2, 1)
-    return [squeeze.compress(row.tobytes()) for row in halves]
+    with np.errstate(over="ignore"):
+        halves = x.astype(np.float16)
+    short = (halves.astype(np.float32) == x).all(1)
+    planes = lambda y: y.view(np.uint8).reshape(len(y), -1, y.itemsize).transpose(0, 2, 1)
+    return [squeeze.compress((h if c else w).tobytes()) for h, w, c in zip(planes(halves), planes(x), short.tolist(), strict=True)]
 
 
 def unpacked(rows: list[bytes], width: int) -> np.ndarray:
     import zstandard
 
     loose = zstandard.ZstdDecompressor()
-    raw = np.frombuffer(b"".join(loose.decompress(r) for r in rows), np.uint8).reshape(len(rows), 2, width)
-    return np.ascontiguousarray(raw.transpose(0, 2, 1)).view(np.float16).reshape(len(rows), width).astype(np.float32)
+    raw = [loose.decompress(r) for r in rows]
+    size, out = np.fromiter(map(len, raw), np.int64, len(raw)), np.empty((len(rows), width), np.float32)
+    for kind in (np.float16, np.float32):
+        at = np.flatnonzero(size == width * np.dtype(kind).itemsize)
+        if len(at):
+            planes = np.frombuffer(b"".join(raw[i] for i in at), np.uint8).reshape(len(at), -1, width)
+            out[at] = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind).reshape(len(at), width)
+    return out
 
 
 def best_within(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, other: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of ``x`` the ids and similarities (in millionths) of its k best in ``other``; -1 where there are fewer."""
+    """For each row of ``x`` the ids and similarities (in millionths) of its k best in ``other``; -1 where there are fewer.
+
+    All rows that are equal in millionths to the last one taken are candidates, so that the smaller ids are found.
+    """
     found, value = np.full((len(ids), k), -1, np.int64), np.zeros((len(ids), k), np.int32)
     take = min(k + 1, len(other_ids))
-    for i in range(0, len(ids), 256):
-        s = x[i : i + 256] @ other.T
-        top = np.argpartition(-s, take - 1, axis=1)[:, :take]
-        score = np.rint(np.take_along_axis(s, top, 1) * 1e6).astype(np.int32)
-        near = other_ids[top]
-        score[near == ids[i : i + 256, None]] = -2_000_000
+
+    def best(near: np.ndarray, score: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        score = np.rint(score * 1e6).astype(np.int32)
+        score[near == own] = -2_000_000
         order = np.lexsort((near, -score), axis=1)[:, :k]
         near, score = np.take_along_axis(near, order, 1), np.take_along_axis(score, order, 1)
         near[score == -2_000_000] = -1
-        found[i : i + 256, : near.shape[1]], value[i : i + 256, : near.shape[1]] = near, score
+        return near, score
+
+    for i in range(0, len(ids), 256):
+        s, own = x[i : i + 256] @ other.T, ids[i : i + 256, None]
+        top = np.argpartition(-s, take - 1, axis=1)[:, :take]
+        score = np.take_along_axis(s, top, 1)
+        near, millionths = best(other_ids[top], score, own)
+        found[i : i + 256, : near.shape[1]], value[i : i + 256, : near.shape[1]] = near, millionths
+        least = (np.rint(score.min(1) * 1e6) - 0.6) / 1e6  # a little below what rounds to the last one's millionths
+        for r in np.flatnonzero((s >= least[:, None].astype(np.float32)).sum(1) > take):
+            more = np.flatnonzero(s[r] >= np.float32(least[r]))
+            near, millionths = best(other_ids[more][None], s[r, more][None], own[r : r + 1])
+            found[i + r, : near.shape[1]], value[i + r, : near.shape[1]] = near[0], millionths[0]
     return found, value
 
 
 def _compare(width: int, k: int):
     def compare(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
-        x = unpacked(table.column("payload").to_pylist(), width)
+        x = _units(unpacked(table.column("payload").to_pylist(), width))[1]
         own, p, q = (table.column(c).to_numpy() for c in ("own", "p", "q"))
         if p[0] == q[0]:
             sides = [(slice(None), slice(None))]
@@ -189,16 +216,18 @@ def nearest(df: DataFrame, key: str, vector: str, *, width: int = 768, k: int =
     count = rows.count()
     taught = rows.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(count, 1)))).limit(sample * 5 // 4)
     got = taught.select("v").toArrow().column(0).combine_chunks()
-    x = np.unique(_units(got, width)[1], axis=0) if len(got) else np.zeros((0, width), np.float32)
+    x = np.unique(_units(_flat(got, width))[1], axis=0) if len(got) else np.zeros((0, width), np.float32)
     cells = max(1, min(count // cell, len(x) // TEACHERS))
-    router = spark.sparkContext.broadcast(learn(x, 1 << (cells.bit_length() - 1)))  # some megabytes, bounded by the sample
+    taught_router = learn(x, 1 << (cells.bit_length() - 1))
+    router = spark.sparkContext.broadcast(taught_router)  # some megabytes, bounded by the sample
 
-    def route(batches, whole=True):
+    def route(batches, router=router, whole=True):
         for batch in batches:
             for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
-                good, unit = _units(part.column(1), width)
+                flat = _flat(part.column(1), width)
+                good, unit = _units(flat)
                 own, count = router.value.choose(unit, choices) if len(good) else (np.zeros(0, np.int32), good)
-                payload = pa.array(packed(unit), pa.binary()) if whole else pa.nulls(len(good), pa.binary())
+                payload = pa.array(packed(flat[good]), pa.binary()) if whole else pa.nulls(len(good), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(good)), payload, int_lists(own, count)], ["id", "payload", "cells"])
 
     # equal vectors become one class, named by its smallest id; the ids that can be anyone's neighbours are its first k + 1
@@ -213,11 +242,16 @@ def nearest(df: DataFrame, key: str, vector: str, *, width: int = 768, k: int =
     repeated = ids.where("rows > 1").select("id", "same")
     again = rows.join(_few(repeated), ["id", "same"], "left_semi").dropDuplicates(["id"])
     standing_rows = rows.join(_few(repeated.select("id")), "id", "left_anti").unionByName(again).join(_few(shut), "id", "left_anti").select("id", "v")
-    routed = standing_rows.select("id", "v").mapInArrow(route, "id bigint, payload binary, cells array<int>")
-    standing = routed.select("id", "payload", F.explode("cells").alias("cell"))
-    # a crowded cell is compared block by block
+    # how many vectors each cell would get: one with too few to make k neighbours is shut, so that its vectors go to their next
+    # cells; a crowded one is compared block by block
     cells_only = standing_rows.mapInArrow(lambda it: route(it, whole=False), "id bigint, payload binary, cells array<int>").select(F.explode("cells").alias("cell"))
-    crowd = cells_only.groupBy("cell").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK)
+    held = {r["cell"]: r["rows"] for r in cells_only.groupBy("cell").agg(F.count("*").alias("rows")).collect()}  # a row for each cell
+    scant = sorted(held, key=lambda c: (held[c], c))[:-1]
+    shut_cells = tuple(c for c in range(len(taught_router.bias)) if held and (c not in held or c in scant and held[c] <= k))
+    last = spark.sparkContext.broadcast(replace(taught_router, shut=shut_cells)) if shut_cells else router
+    routed = standing_rows.select("id", "v").mapInArrow(lambda it: route(it, last), "id bigint, payload binary, cells array<int>")
+    standing = routed.select("id", "payload", F.explode("cells").alias("cell"))
+    crowd = spark.createDataFrame([(c, n) for c, n in held.items() if n > BLOCK], "cell int, rows bigint")
     blocks = F.coalesce(F.ceil(F.col("rows") / BLOCK).cast("int"), F.lit(1))
     placed = standing.join(F.broadcast(crowd), "cell", "left").withColumn("blocks", blocks)  # at most one row for each cell
     placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

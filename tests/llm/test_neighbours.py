@@ -50,6 +50,35 @@ def test_parts_are_balanced():
     assert np.bincount(parts).tolist() == [64] * 8
 
 
+def test_equal_similarities_rank_by_id():
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal(16)
+    x = np.array([v * c for c in np.linspace(0.5, 3, 40)] + list(rng.standard_normal((20, 16))), np.float32)
+    ids = np.concatenate([rng.permutation(40), np.arange(100, 120)])
+    unit = neighbours._units(x)[1]
+    near, _ = neighbours.best_within(ids, unit, ids, unit, 10)
+    assert all(near[r].tolist() == [i for i in range(11) if i != ids[r]][:10] for r in range(40))
+
+
+def test_packing_keeps_every_number():
+    x = np.random.default_rng(5).standard_normal((6, 16)).astype(np.float32)
+    x[1] = np.rint(x[1] * 8) / 8
+    x[2, 0] = 1e30
+    assert (neighbours.unpacked(neighbours.packed(x), 16) == x).all()
+
+
+def test_a_scant_cell_is_filled_up(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((64, 16)).astype(np.float32)
+    x[:3, 0] = 30
+    weights = np.zeros((16, 2), np.float32)
+    weights[0] = [-1, 1]
+    monkeypatch.setattr(neighbours, "learn", lambda *_: neighbours.Router(np.zeros(16, np.float32), np.eye(16, dtype=np.float32), weights, np.array([20, -20], np.float32)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id bigint, embedding array<float>")
+    got = neighbours.nearest(df, "chunk_id", "embedding", width=16).collect()
+    assert len(got) == 64 and all(len(r["near"]) == 10 for r in got)
+
+
 def test_few_rows(spark):
     empty = spark.createDataFrame([], "chunk_id bigint, embedding array<float>")
     assert neighbours.nearest(empty, "chunk_id", "embedding", width=16).collect() == []
