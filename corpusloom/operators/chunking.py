@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusloom.functions import text as tx
 
@@ -109,27 +112,36 @@ def image_chunks(captions: DataFrame, media: DataFrame, posts: DataFrame, author
 def paragraphs(segments: DataFrame, least: float = 60.0) -> DataFrame:
     """(key, start, text, words): segments (key, start, text) as paragraphs of at least ``least`` seconds, counted from a paragraph's first segment.
 
-    Where two segments start ``least`` seconds apart a paragraph surely ends, so the fold runs within the stretches between
-    such places: sorted windows, which stream and spill, find them, and only a stretch is held in memory.
+    Each key's segments are sorted into one partition and streamed; only the open paragraph is carried from batch to batch,
+    so memory doesn't follow the length of a recording.
     """
-    spoken = segments.select("key", "start", tx.strip(F.col("text")).alias("text")).where("text <> ''")
-    order = Window.partitionBy("key").orderBy("start", "text")
-    cut = F.coalesce((F.col("start") - F.lag("start").over(order) >= least).cast("int"), F.lit(0))
-    stretch = F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = spoken.withColumn("cut", cut).withColumn("stretch", stretch)
-    made = placed.groupBy("key", "stretch").agg(F.array_sort(F.collect_list(F.struct("start", "text"))).alias("s"))
-    para = "struct<start:double,text:string>"
-    first = F.struct(F.array().cast(f"array<{para}>").alias("done"), F.lit(None).cast(para).alias("open"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = F.struct(x["start"].cast("double").alias("start"), x["text"].alias("text"))
-        grown = F.struct(acc["open"]["start"].alias("start"), F.concat(acc["open"]["text"], F.lit(" "), x["text"]).alias("text"))
-        none, full = acc["open"].isNull(), x["start"] - acc["open"]["start"] >= least
-        done = F.when(~none & full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
-        return F.struct(done.alias("done"), F.when(none | full, fresh).otherwise(grown).alias("open"))
-
-    folded = F.aggregate("s", first, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
-    return made.select("key", F.explode(folded).alias("p")).select("key", "p.start", "p.text", tx.word_count(F.col("p.text")).alias("words"))
+    spoken = segments.select("key", "start", tx.strip(F.col("text")).alias("text")).where("text <> ''").withColumn("start", F.col("start").cast("double"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = begun = last = None
+        held: list[str] = []
+        schema = None
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], schema.field(c).type) for c in range(3)], ["key", "start", "text"])
+
+        for batch in batches:
+            schema, done = batch.schema, []
+            for k, at, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (k != key or (begun is not None and at - begun >= least) or (last is not None and at - last >= least)):
+                    done.append((key, begun, " ".join(held)))
+                    held = []
+                if not held:
+                    key, begun = k, at
+                held.append(text)
+                last = at
+            yield batch_of(done)
+        if held:
+            yield batch_of([(key, begun, " ".join(held))])
+
+    ordered = spoken.repartition("key").sortWithinPartitions("key", "start", "text")
+    made = ordered.mapInArrow(fold, T.StructType([T.StructField(f.name, f.dataType) for f in ordered.schema.fields]))
+    return made.select("key", "start", "text", tx.word_count(F.col("text")).alias("words"))
 
 
 def transcript(segments: DataFrame, least: float = 60.0) -> DataFrame:

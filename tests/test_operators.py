@@ -70,6 +70,28 @@ def test_transcript(spark):
     assert got == {"a": ("<p>[0:00] one &amp; two three</p>\n<p>[1:01] four</p>", 5), "b": ("<p>[0:05] solo</p>", 1)}
 
 
+def test_paragraphs_gather_no_group(spark, capsys):
+    random.seed(3)
+    rows = [(random.choice([None, "a", "a", "b"]), float(random.randint(0, 900)), f" w{i} ") for i in range(400)] + [("c", 0.0, "x"), ("c", 60.0, "y"), ("c", 119.0, "z"), ("c", 500.0, " ")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        made = chunking.paragraphs(spark.createDataFrame(rows, "key string, start double, text string"))
+        got = sorted((str(r["key"]), r["start"], r["text"], r["words"]) for r in made.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for key in (None, "a", "b", "c"):
+        held = []
+        for start, text in [*sorted((s, t.strip()) for k, s, t in rows if k == key and t.strip()), (1e9, "")]:
+            if held and start - held[0][0] >= 60:
+                want.append((str(key), held[0][0], " ".join(t for _, t in held), len(held)))
+                held = []
+            held.append((start, text))
+    made.explain()
+    plan = capsys.readouterr().out
+    assert got == sorted(want) and "collect_list" not in plan and "Window" not in plan
+
+
 def test_search_filters(spark, small):
     chunks = spark.createDataFrame([(i, t, "post", x, None, 0) for i, (t, x) in enumerate([("1001", "hello world"), ("1002", "second post world"), ("1002", "world"), ("9", "hello gone")])], "id bigint, tweet_id string, source string, text string, ref string, position int")
     vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(4)], "chunk_id bigint, embedding array<float>")
