@@ -129,8 +129,8 @@ def encode_texts(
 ) -> DataFrame:
     """(key, ids) of each row, or (key, n_tokens) with ``counts_only``.
 
-    One row for each row of ``df``: repeated keys stay repeated unless their text is longer than a segment, where the
-    key must be unique. Null and empty texts have no ids; other columns of ``df`` are ignored, whatever their names.
+    One row for each row of ``df``: repeated rows and repeated keys stay repeated, however long their texts are. Null and
+    empty texts have no ids; other columns of ``df`` are ignored, whatever their names.
     """
     path = vocabulary or f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
     out = "n_tokens bigint" if counts_only else "ids array<int>"
@@ -142,25 +142,29 @@ def encode_texts(
     cut = F.expr(f"transform(sequence(0, cast((length(__text) - 1) div {segment} as int)), i -> substring(__text, i * {segment} + 1, {segment}))")
     parts = (
         rows.where(F.length("__text") > segment)
-        .select("__key", F.posexplode(cut).alias("part", "__text"))
-        .repartition(F.col("__key"), F.col("part"))
+        .select("__key", F.xxhash64("__text").alias("of"), F.length("__text").alias("long"), F.posexplode(cut).alias("part", "__text"))
+        .groupBy("__key", "of", "long", "part")
+        .agg(F.first("__text").alias("__text"), F.count("*").alias("copies"))  # equal rows are encoded once
+        .repartition(F.col("__key"), F.col("of"), F.col("part"))
     )
-    encoded = parts.select("__key", "part", "__text", F.col("__text").alias("said")).mapInArrow(
-        _encoder(path, leaf, False), f"__key {kind}, part int, said string, ids array<int>"
+    encoded = parts.select("__key", "of", "long", "copies", "part", "__text", F.col("__text").alias("said")).mapInArrow(
+        _encoder(path, leaf, False), f"__key {kind}, of bigint, long int, copies bigint, part int, said string, ids array<int>"
     )
 
     def tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, sizes = tokenizer(path)
         for batch in batches:
-            lists = [join_all([(p["said"], p["ids"]) for p in ps], enc, sizes) for ps in batch.column(1).to_pylist()]
+            lists = [join_all([(p["said"], p["ids"]) for p in ps], enc, sizes) for ps in batch.column("parts").to_pylist()]
             counts = np.fromiter(map(len, lists), np.int64, len(lists))
             flat = np.fromiter((x for ids in lists for x in ids), np.int32, int(counts.sum()))
             made = pa.array(counts, pa.int64()) if counts_only else int_lists(flat, counts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), made], ["__key", out.split()[0]])
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("copies"), made], ["__key", "copies", out.split()[0]])
 
     joined = (
-        encoded.groupBy("__key")
+        encoded.groupBy("__key", "of", "long", "copies")
         .agg(F.array_sort(F.collect_list(F.struct("part", "said", "ids"))).alias("parts"))
-        .mapInArrow(tree, f"__key {kind}, {out}")
+        .mapInArrow(tree, f"__key {kind}, copies bigint, {out}")
+        .select("__key", out.split()[0], F.explode(F.sequence(F.lit(1), "copies")))
+        .drop("col")
     )
     return done.unionByName(joined).withColumnRenamed("__key", key)

@@ -138,10 +138,11 @@ def match(units: DataFrame, gaps: DataFrame, parts: int) -> tuple[DataFrame, Dat
 def pack(df: DataFrame, key: str, size: str, *, capacity: int = CAPACITY) -> DataFrame:
     """(key, start, size, box): every part of every item with its container; ``start`` is 0 unless the item was divided.
 
-    Sizes that are null or not positive take no part. The key must be unique.
+    Sizes that are null or not positive take no part. A repeated row counts once; of a key with several sizes the largest counts.
     """
     spark = df.sparkSession
     items = df.select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("whole")).where(F.col("whole") > 0)
+    items = items.groupBy("key").agg(F.max("whole").alias("whole"))
     # full containers of divided items; their numbers come after those of the others
     items = stored(items, "items")
     full = items.where(F.col("whole") >= capacity).select("key", F.explode(F.sequence(F.lit(0), F.floor(F.col("whole") / capacity) - 1)).alias("i"))

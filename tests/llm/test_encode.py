@@ -44,5 +44,13 @@ def test_encode_texts(rows):
     assert sorted((r["doc_id"], r["n_tokens"]) for r in counted.collect()) == [(k, len(v)) for k, v in want]
 
 
+def test_repeated_rows_of_long_texts(spark):
+    enc, _ = encode.tokenizer(PATH)
+    texts = ["One text, " * 30, "Another text " * 25]
+    rows = spark.createDataFrame([(1, texts[0]), (1, texts[0]), (1, texts[1]), (2, texts[0])], "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["ids"]) for r in encode.encode_texts(rows, "doc_id", segment=100).collect())
+    assert got == sorted((k, enc.encode_ordinary(t)) for k, t in [(1, texts[0]), (1, texts[0]), (1, texts[1]), (2, texts[0])])
+
+
 def test_empty_table(spark):
     assert encode.encode_texts(spark.createDataFrame([], "doc_id bigint, text string"), "doc_id").collect() == []

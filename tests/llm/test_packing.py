@@ -31,5 +31,11 @@ def test_fill_and_repeat(spark, monkeypatch):
     assert got["box"].nunique() <= 1.03 * np.ceil(sizes.sum() / 2048)
 
 
+def test_a_repeated_row_counts_once(spark):
+    rows = [(1, 5000), (1, 5000), (2, 700), (2, 700), (2, 700), (3, 900), (3, 40)]
+    got = packing.pack(spark.createDataFrame(rows, "id bigint, n bigint"), "id", "n").toPandas()
+    check(got, {1: 5000, 2: 700, 3: 900})
+
+
 def test_meetings_follow_the_stack():
     assert packing._meetings([(0, 0, 2), (1, 1, 1), (2, 3, 0)]) == [(1, 0, 0, 0, 1), (2, 0, 1, 0, 1), (2, 1, 0, 1, 1)]
