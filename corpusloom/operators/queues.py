@@ -22,7 +22,7 @@ def pending_pages(posts: DataFrame, authors: DataFrame, links: DataFrame, docume
     articles = posts.where("article_id IS NOT NULL").join(authors.select("author_id", "screen_name"), "author_id")
     jobs = articles.select(F.concat(F.lit("https://x.com/"), F.col("screen_name"), F.lit("/status/"), F.col("tweet_id")).alias("url"), F.lit("x_article").alias("kind"), "tweet_id")
     live = links.join(posts.select("tweet_id"), "tweet_id", "left_semi")
-    jobs = jobs.unionByName(live.where(~tx.is_binary(F.col("url"))).select("url", F.lit("link").alias("kind"), F.lit(None).cast("string").alias("tweet_id")).distinct())
+    jobs = jobs.unionByName(live.select("url", F.lit("link").alias("kind"), F.lit(None).cast("string").alias("tweet_id")).distinct())
     return jobs.join(done, "url", "left").where(_open(done, retry_failed)).select("url", "kind", "tweet_id")
 
 

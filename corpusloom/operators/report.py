@@ -32,8 +32,8 @@ def media_kinds(posts: DataFrame, media: DataFrame) -> DataFrame:
 
 
 def videos(posts: DataFrame, media: DataFrame, long_s: int = 600) -> DataFrame:
-    """Seconds and bytes of the videos of live posts."""
-    rows = media.join(posts.where("removed_at IS NULL").select("tweet_id"), "tweet_id", "left_semi").where("kind = 'video' AND duration_ms > 0")
+    """Seconds and bytes of the videos and animated pictures of live posts."""
+    rows = media.join(posts.where("removed_at IS NULL").select("tweet_id"), "tweet_id", "left_semi").where("kind IN ('video', 'animated_gif') AND duration_ms > 0")
     seconds = F.col("duration_ms") / 1000.0
     size = lambda rate: F.sum(F.coalesce(rate, F.lit(0)) * seconds / 8)
     made = rows.agg(

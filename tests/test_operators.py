@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import chunking, documents, indexing, queues, retrieval
+from corpusloom.operators import chunking, documents, indexing, queues, report, retrieval
 from corpusloom.streaming import ingest
 
 
@@ -141,6 +141,15 @@ def test_queues(small):
     assert queues.pending_captions(small["posts"], small["media"], small["captions"]).collect() == []
 
 
+def test_links_to_files_and_animated_pictures_count(spark, small):
+    links = spark.createDataFrame([("1001", "https://f.test/a.pdf")], "tweet_id string, url string")
+    jobs = queues.pending_pages(small["posts"], small["authors"], links, small["documents"]).collect()
+    assert [(r["url"], r["kind"]) for r in jobs if r["kind"] == "link"] == [("https://f.test/a.pdf", "link")]
+    media = spark.createDataFrame([("1001", "video", 2000, 8, None), ("1002", "animated_gif", 1000, 8, None), ("1002", "photo", 5000, 8, None)], "tweet_id string, kind string, duration_ms bigint, bitrate bigint, small_bitrate bigint")
+    got = report.videos(small["posts"].withColumn("removed_at", F.lit(None).cast("string")), media).first()
+    assert (got["videos"], got["seconds"], got["best_bytes"]) == (2, 3.0, 3.0)
+
+
 def test_every_page_has_a_state(spark):
     rows = [(1, "link", "a b", "<p>a b</p>", 80, None), (2, "link", None, None, 0, "timeout"), (3, "link", None, None, 0, None), (4, "video", "", "", 0, "gone"), (5, "video", "hi", "hi", 1, "thin")]
     docs = spark.createDataFrame(rows, "doc_id bigint, kind string, text string, body string, word_count int, error string")
