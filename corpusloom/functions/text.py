@@ -84,12 +84,12 @@ def tokens(text: Column) -> Column:
 
 
 def is_foreign(text: Column, lang: Column) -> Column:
-    """Whether a text is worth translating: tagged with a language other than English, or untagged and mostly not in Latin letters."""
+    """Whether a text is worth translating: tagged with a foreign language, or mostly not in Latin letters whatever its tag says."""
     tag = F.lower(F.coalesce(lang, F.lit("")))
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
     latin = F.length(F.regexp_replace(text, "[^A-Za-zÀ-ɏ]", ""))
-    by_tag = (tag != "") & ~tag.isin(*UNTRANSLATED)
-    return F.when(by_tag, ~tag.startswith("en")).otherwise((letters >= 5) & (latin < letters * 0.7))
+    by_tag = (tag != "") & ~tag.startswith("en") & ~tag.isin(*UNTRANSLATED)
+    return by_tag | F.coalesce((letters >= 5) & (latin < letters * 0.7), F.lit(False))
 
 
 def clean_caption(raw: Column) -> Column:
@@ -141,8 +141,12 @@ def as_document(title: Column, text: Column) -> Column:
     return F.concat(F.lit("title: "), F.coalesce(given(title), F.lit("none")), F.lit(" | text: "), text)
 
 
+def query_frame(text: str) -> str:
+    return f"task: search result | query: {text}"
+
+
 def as_query(text: Column) -> Column:
-    return F.concat(F.lit("task: search result | query: "), text)
+    return F.concat(F.lit(query_frame("")), text)
 
 
 def is_number_row(line: Column) -> Column:

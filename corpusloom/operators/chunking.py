@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,26 +16,39 @@ CAP, OVERLAP = 4800, 200
 COLUMNS = ("tweet_id", "source", "ref", "position", "text", "lang")
 
 
+def spans(text: str, cap: int = CAP, overlap: int = OVERLAP) -> list[tuple[int, int]]:
+    """Where the pieces of a text lie: [start, end) pairs of at most ``cap`` characters.
+
+    A piece runs to the last paragraph end within reach. If another paragraph follows, the piece is filled up with its
+    beginning and the next one starts ``overlap`` before that cut, but not before the paragraph; if no character of it
+    fits, the next piece starts with it. A paragraph longer than a piece is cut evenly. Empty paragraphs start no piece.
+    """
+    size = len(text)
+    if size <= cap:
+        return [(0, size)]
+    ends = [m.start() for m in re.finditer("\n\n", text)] + [size]
+    found, start, at = [], 0, 0  # ends[at] closes the paragraph in which the next piece starts
+    while start < size:
+        reach = start + cap
+        fits = bisect_right(ends, reach, at) - 1
+        if fits < at:
+            found.append((start, reach))
+            start = reach - overlap
+        elif ends[at] == start:
+            start, at = start + 2, at + 1
+        elif fits == len(ends) - 1:
+            found.append((start, size))
+            break
+        else:
+            following, at = ends[fits] + 2, fits + 1
+            full = reach > following
+            found.append((start, reach if full else ends[fits]))
+            start = max(following, reach - overlap) if full else following
+    return found
+
+
 def pieces(text: str, cap: int = CAP, overlap: int = OVERLAP) -> list[str]:
-    """Pack paragraphs into pieces of at most ``cap`` characters; a paragraph that doesn't fit fills the piece and goes on with an overlap."""
-    if len(text) <= cap:
-        return [text]
-    out, held = [], ""
-    for para in text.split("\n\n"):
-        together = f"{held}\n\n{para}" if held else para
-        if len(together) <= cap:
-            held = together
-            continue
-        if held and (room := cap - len(held) - 2) > 0:
-            out.append(together[:cap])
-            para = para[max(0, room - overlap) :]
-        elif held:
-            out.append(held)
-        while len(para) > cap:
-            out.append(para[:cap])
-            para = para[cap - overlap :]
-        held = para
-    return [*out, held] if held else out
+    return [text[a:b] for a, b in spans(text, cap, overlap)]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -47,6 +62,40 @@ def split(text: Column) -> Column:
     return F.when(F.length(text) > CAP, _pieces(F.when(F.length(text) > CAP, text))).otherwise(whole)
 
 
+#: Characters of a piece that is sent to a translator.
+TRANSLATED = 1500
+
+
+def translation_spans(text: str, cap: int = TRANSLATED) -> list[tuple[int, int]]:
+    """Where the pieces for a translator lie: whole paragraphs while they fit, a longer one cut every ``cap`` characters; no overlap.
+
+    The rest of a cut paragraph is joined by what follows, if that fits.
+    """
+    found: list[tuple[int, int]] = []
+    start = 0
+    for end in [*(m.start() for m in re.finditer("\n\n", text)), len(text)]:
+        whole = max(0, (end - start - 1) // cap)
+        found += [(start + i * cap, start + (i + 1) * cap) for i in range(whole)]
+        rest = start + whole * cap
+        if found and not whole and end - found[-1][0] <= cap:
+            found[-1] = (found[-1][0], end)
+        else:
+            found.append((rest, end))
+        start = end + 2
+    return found
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _translation_pieces(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [] if t is None else [t[a:b] for a, b in translation_spans(t)])
+
+
+def translation_pieces(text: Column) -> Column:
+    """The pieces of a text for a translator; only a text above the cap goes to Python, null gives none."""
+    whole = F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.array(text))
+    return F.when(F.length(text) > TRANSLATED, _translation_pieces(F.when(F.length(text) > TRANSLATED, text))).otherwise(whole)
+
+
 def flat_pieces(text: Column, cap: int = CAP, overlap: int = OVERLAP) -> Column:
     """The pieces of a text without paragraphs, in closed form: (start, text) structs."""
     step = cap - overlap

@@ -24,7 +24,7 @@ def posts(pages: DataFrame) -> DataFrame:
     rows = entries(pages).where("entry.content.itemContent.itemType = 'TimelineTweet'")
     result = F.col("entry.content.itemContent.tweet_results.result")
     outer = F.when(result["__typename"] == _KINDS[1], result["tweet"]["quoted_status_result"]["result"]).otherwise(result["quoted_status_result"]["result"])
-    rows = rows.select("seq", "instruction", "at", F.col("entry.sortIndex").alias("sort_index"), _unwrapped(result).alias("tweet"), _unwrapped(outer).alias("quoted"))
+    rows = rows.select("seq", "instruction", "at", F.coalesce(tx.given(F.col("entry.sortIndex")), F.lit("0")).alias("sort_index"), _unwrapped(result).alias("tweet"), _unwrapped(outer).alias("quoted"))
     return rows.where("tweet.rest_id IS NOT NULL AND tweet.rest_id <> ''")
 
 
@@ -72,7 +72,7 @@ def bookmarks(rows: DataFrame, seen_at: str) -> DataFrame:
         full_text(tweet).alias("text"), (F.coalesce(tweet["note_tweet"]["note_tweet_results"]["result"]["text"], F.lit("")) != "").cast("int").alias("is_long"),
         legacy["lang"].alias("lang"), tx.created_at(legacy["created_at"]).alias("created_at"),
         *(count(f"{n}_count") for n in ("favorite", "retweet", "reply", "quote", "bookmark")),
-        quoted["rest_id"].alias("quoted_tweet_id"), F.when(quoted.isNotNull(), F.concat(tx.handle(other["screen_name"]), F.lit(": "), full_text(quoted))).alias("quoted_text"),
+        quoted["rest_id"].alias("quoted_tweet_id"), F.when(quoted.isNotNull(), tx.strip(F.concat(tx.handle(other["screen_name"]), F.lit(": "), full_text(quoted)))).alias("quoted_text"),
         F.coalesce(tx.given(article["rest_id"]), article["id"]).alias("article_id"), article["title"].alias("article_title"), article["preview_text"].alias("article_preview"),
         legacy["conversation_id_str"].alias("conversation_id"),
         F.concat(F.lit("https://x.com/"), F.coalesce(tx.given(user["screen_name"]), F.lit("i")), F.lit("/status/"), tweet["rest_id"]).alias("url"),
@@ -173,3 +173,23 @@ def merged_attempts(old: DataFrame, new: DataFrame, key: str, content: list[str]
     pick = lambda c: (F.when(F.col("is_new"), F.col(f"new_{c}")).otherwise(F.col(c)) if c in content else F.when(F.col("is_old"), F.col(c)).otherwise(F.col(f"new_{c}")))
     attempts = F.coalesce("attempts", F.lit(0)) + F.when(F.col("is_new"), 1).otherwise(0)
     return joined.select(key, *((attempts if c == "attempts" else pick(c)).alias(c) for c in old.columns if c != key))
+
+
+def page_records(pages: DataFrame) -> DataFrame:
+    """(seq, entry_count): how many readable posts each page holds, also those with none."""
+    held = posts(pages).groupBy("seq").agg(F.count("*").alias("n"))
+    return pages.select("seq").distinct().join(held, "seq", "left").select("seq", F.coalesce("n", F.lit(0)).cast("bigint").alias("entry_count"))
+
+
+def tallies(pages: DataFrame) -> DataFrame:
+    """One row: pages, and posts, media and links as they come, repeats included; ``distinct_posts`` counts a post once."""
+    rows = posts(pages)
+    none = F.lit(0)
+    size = lambda made: F.greatest(F.coalesce(F.size(made), none), none)
+    owner = F.col("tweet.rest_id")
+    files = sum((size(_media_of(F.col(side), owner, none)) for side in ("tweet", "quoted")), none)
+    targets = sum((size(_links_of(F.col(side), owner)) for side in ("tweet", "quoted")), none)
+    counted = rows.select(owner.alias("tweet_id"), files.alias("media"), targets.alias("links"))
+    total = lambda c: F.coalesce(F.sum(c), none).cast("bigint").alias(c)
+    made = counted.agg(F.count("*").alias("posts"), total("media"), total("links"), F.count_distinct("tweet_id").alias("distinct_posts"))
+    return pages.agg(F.count("*").alias("pages")).withColumn("one", none).join(made.withColumn("one", none), "one").drop("one")  # two single rows
