@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators.chunking import owners, readable
+from corpusloom.session import running
 
 PAGE = 12_000
 
@@ -18,31 +19,40 @@ def find(documents: DataFrame, links: DataFrame, posts: DataFrame, target: str)
         owned = owners(rows, links)
     else:
         owned = owners(good, links).where(F.col("tweet_id") == target)
-        rows = good.join(F.broadcast(owned.select("url").distinct()), "url", "left_semi")  # the pages of one post
+        rows = good.join(owned.select("url"), "url", "left_semi")
     live = owned.join(posts.select("tweet_id"), "tweet_id", "left_semi").select("url")
     return rows.join(live, "url", "left_semi")
 
 
+def info(found: DataFrame) -> DataFrame:
+    """(url, kind, title, word_count) of the documents, articles first, then by url."""
+    return found.select("url", "kind", "title", "word_count").orderBy((F.col("kind") != "x_article"), "url")
+
+
+def sections(found: DataFrame) -> DataFrame:
+    """(article_last, url, doc_id, section): each document as a section under its title, with its source."""
+    head = F.concat(F.lit("# "), F.coalesce(tx.given(F.col("title")), F.col("url")), F.lit("\n\nSource: "), F.col("url"), F.lit("\n\n"))
+    return found.select((F.col("kind") != "x_article").alias("article_last"), "url", "doc_id", tx.once(F.concat(head, F.coalesce(tx.prose(F.col("body")), F.lit("")))).alias("section"))
+
+
 def page(found: DataFrame, offset: int = 0, size: int = PAGE) -> DataFrame:
-    """(text, next_offset, has_more): ``size`` characters of the documents' sections, articles first.
+    """(text, next_offset, has_more): ``size`` characters of the documents' sections, articles first, a blank line between them.
 
-    Only the places of the sections are ordered in one task; their texts are read where they reach into the page.
+    The places of the sections come from running sums over range-sorted tasks; a text is read where it reaches into the page.
     """
     if offset < 0:
         raise ValueError("the offset must not be negative")
-    section = F.concat(F.lit("# "), F.coalesce(tx.given(F.col("title")), F.col("url")), F.lit("\n\nSource: "), F.col("url"), F.lit("\n\n"), tx.prose(F.col("body")))
-    order = F.struct((F.col("kind") != "x_article").alias("o"), "url", "doc_id")
-    texts = found.where("body <> ''").select(order.alias("order"), tx.once(section).alias("s"))
+    order = ("article_last", "url", "doc_id")
+    texts = sections(found)
     end = offset + size
-    size_ = F.length("s") + 2
-    places = texts.select("order", size_.alias("n")).withColumn("at", F.sum("n").over(Window.orderBy("order").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
-    total = places.agg(F.coalesce(F.max(F.col("at") + F.col("n")), F.lit(2)).alias("t")).select((F.col("t") - 2).alias("t"), F.lit(1).alias("one"))
-    shown = places.where((F.col("at") < end) & (F.col("at") + F.col("n") > offset)).join(texts, "order")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]), "\n\n")
-    made = shown.agg(text.alias("whole"), F.coalesce(F.min("at"), F.lit(offset)).alias("first")).withColumn("one", F.lit(1)).join(total, "one")  # two single rows
-    return made.select(
-        F.substr("whole", F.lit(offset + 1) - F.col("first"), F.lit(size)).alias("text"), F.when(F.col("t") > end, end).alias("next_offset"), (F.col("t") > end).alias("has_more")
-    )
+    places = running(texts.select(*order, (F.length("section") + 2).alias("n")), "places", "n", *order)
+    total = places.agg(F.coalesce(F.max(F.col("before") + F.col("n")), F.lit(2)).alias("t")).select((F.col("t") - 2).alias("t"), F.lit(1).alias("one"))
+    shown = places.where((F.col("before") < end) & (F.col("before") + F.col("n") > offset)).join(texts, [*order])
+    # of each section only what lies on the page
+    cut = F.substr(F.concat("section", F.lit("\n\n")), F.greatest(F.lit(offset) - F.col("before"), F.lit(0)).cast("int") + 1, F.least(F.lit(end) - F.greatest("before", F.lit(offset)), F.lit(size)).cast("int"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("before", cut.alias("s")))), lambda x: x["s"]), "")
+    made = shown.agg(text.alias("text")).withColumn("one", F.lit(1)).join(total, "one")  # two single rows; the text has at most ``size`` characters
+    return made.select(F.left("text", F.greatest(F.col("t") - offset, F.lit(0)).cast("int")).alias("text"), F.when(F.col("t") > end, end).alias("next_offset"), (F.col("t") > end).alias("has_more"))
 
 
 def pages(documents: DataFrame, size: int = PAGE) -> DataFrame:
@@ -65,7 +75,7 @@ def details(posts: DataFrame, authors: DataFrame, links: DataFrame, media: DataF
     said = None if captions is None else captions.select("media_key", F.when(F.col("error").isNull(), F.col("text")).alias("caption"))
     pictures = media.withColumn("caption", F.lit(None).cast("string")) if said is None else media.join(said, "media_key", "left")
     link = links.groupBy("tweet_id").agg(F.array_sort(F.collect_list(F.struct("url", "domain", "title", "description", "from_card"))).alias("links"))
-    picture = pictures.groupBy("tweet_id").agg(F.array_sort(F.collect_list(F.struct("position", "media_key", "kind", "url", "alt_text", "caption", "width", "height", "duration_ms"))).alias("media"))
+    picture = pictures.groupBy("tweet_id").agg(F.array_sort(F.collect_list(F.struct("position", "media_key", *(c for c in ("kind", "url", "alt_text", "caption", "width", "height", "duration_ms") if c in pictures.columns)))).alias("media"))
     who = authors.select("author_id", F.struct("author_id", "screen_name", "name", "verified", "description").alias("author"))
     return posts.join(who, "author_id", "left").join(link, "tweet_id", "left").join(picture, "tweet_id", "left")
 

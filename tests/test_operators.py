@@ -7,31 +7,38 @@ from corpusloom.operators import chunking, documents, indexing, queues, report,
 from corpusloom.streaming import ingest
 
 
+REPORT = "https://reports.invented.test/2031"
+
+
 @pytest.fixture(scope="module")
 def small(spark):
+    """Three posts (one quoting, one without an author that announces an article), a long report that two of them have, and a file each."""
     make = spark.createDataFrame
     posts = make(
-        [("1001", "1", "hello world", "en", "2018-10-10T20:19:24+00:00", None, None, None, None), ("1002", "2", "second post", "ja", "2025-03-06T00:00:00+00:00", "@d: quote", None, None, None), ("1003", None, "third", "en", None, None, "77", "Title", "Preview")],
+        [("51", "u1", "tide tables", "en", "2031-04-01T09:00:00+00:00", None, None, None, None), ("52", "u2", "harbour notes", "nl", "2033-08-15T21:30:00+00:00", "@pilot: low water", None, None, None), ("53", None, "buoys", "en", None, None, "a-1", "On buoys", "They float")],
         "tweet_id string, author_id string, text string, lang string, created_at string, quoted_text string, article_id string, article_title string, article_preview string",
-    )
-    authors = make([("1", "alice"), ("2", "bob")], "author_id string, screen_name string")
-    links = make([("1001", "https://a.test/p", "a.test", "Card", "D", None, 1), ("1002", "https://a.test/p", "a.test", None, None, None, 0), ("1002", "https://b.test/q", "b.test", "Other", None, None, 1)], "tweet_id string, url string, domain string, title string, description string, thumb_url string, from_card int")
-    body = "<p>Needle " + "filler " * 2500 + "</p>"
-    docs = make([(1, "https://a.test/p", "link", "1001", "Notes", "Example", body, 2503, "en", None, 1, "2024"), (2, "https://c.test/r", "link", None, None, None, None, 0, None, "late", 2, "2024")], "doc_id bigint, url string, kind string, tweet_id string, title string, site string, body string, word_count int, lang string, error string, attempts int, fetched_at string")
-    media = make([("m1", "1001", "photo", "https://i/1", None, None, 0), ("m2", "1002", "video", "https://v/b", "https://v/s", 92000, 0)], "media_key string, tweet_id string, kind string, url string, small_url string, duration_ms bigint, position bigint")
-    captions = make([("m1", "A cat", None)], "media_key string, text string, error string")
+    ).withColumn("url", F.concat(F.lit("https://posts.invented.test/"), "tweet_id"))
+    authors = make([("u1", "KeelLine"), ("u2", "otto_v")], "author_id string, screen_name string")
+    links = make([("51", REPORT, "reports.invented.test", "Report", None, None, 1), ("52", REPORT, "reports.invented.test", None, None, None, 0), ("52", "https://maps.invented.test/", "maps.invented.test", "", "All maps", None, 1)], "tweet_id string, url string, domain string, title string, description string, thumb_url string, from_card int")
+    body = "".join(f"<p>Gauge {i} read {i % 7} fathoms.</p>" for i in range(600))
+    docs = make([(7, REPORT, "link", "51", "Gauges", "Reports", body, 3000, "en", None, 1, "2031"), (8, "https://gone.invented.test/", "link", None, None, None, None, 0, None, "refused", 2, "2031")], "doc_id bigint, url string, kind string, tweet_id string, title string, site string, body string, word_count int, lang string, error string, attempts int, fetched_at string")
+    media = make([("f1", "51", "photo", "https://files.invented.test/1", None, None, 0), ("f2", "52", "video", "https://files.invented.test/2", "https://files.invented.test/2s", 4400, 2)], "media_key string, tweet_id string, kind string, url string, small_url string, duration_ms bigint, position bigint")
+    captions = make([("f1", "A lighthouse", None)], "media_key string, text string, error string")
     return {"posts": posts, "authors": authors, "links": links, "documents": docs, "media": media, "captions": captions}
 
 
 def test_pieces():
-    assert chunking.pieces("") == [""] and chunking.pieces("short") == ["short"]
-    assert [len(p) for p in chunking.pieces("x" * 14_400)] == [4800, 4800, 4800, 600]
-    parts = chunking.pieces("# Head\n\n" + "y" * 6000)
-    assert len(parts[0]) == 4800 and parts[0].startswith("# Head\n\ny") and "".join([parts[0], parts[1][200:]]) == "# Head\n\n" + "y" * 6000
-    random.seed(1)
-    for _ in range(50):
-        text = "\n\n".join("z" * random.randint(0, 9000) for _ in range(random.randint(1, 6)))
-        assert all(0 < len(p) <= 4800 for p in chunking.pieces(text) if text)
+    assert chunking.pieces("") == [""] and chunking.pieces("brief") == ["brief"]
+    assert chunking.spans("q" * 9_400) == [(0, 4800), (4600, 9400)] and chunking.spans("q" * 9_401)[-1] == (9200, 9401)
+    # three paragraphs of 6, 5 and 4: the second fills the piece up, and its rest starts the next one
+    assert chunking.pieces("aaaaaa\n\nbbbbb\n\ncccc", 10, 1) == ["aaaaaa\n\nbb", "bbbb\n\ncccc"]
+    assert chunking.pieces("aaaaaaaa\n\nbbbbb", 10, 1) == ["aaaaaaaa", "bbbbb"] and chunking.pieces("\n\n\n\nabcdefghij\n\n", 10, 1) == ["abcdefghij"]
+    random.seed(4)
+    for _ in range(300):
+        text = "".join(random.choice(("e", "ff", "\n", "\n\n", "g" * 9)) for _ in range(random.randint(0, 60)))
+        found = chunking.spans(text, 16, 3)
+        assert all(b - a <= 16 for a, b in found) and all(not text[b:c].strip("\n") for (_, b), (c, _) in zip(found, found[1:]))
+        assert {i for i, c in enumerate(text) if c not in "\n"} <= {i for a, b in found for i in range(a, b)}
 
 
 def test_split_column(spark):
@@ -43,12 +50,11 @@ def test_split_column(spark):
 def test_collect(small):
     rows = chunking.collect(small["posts"], small["authors"], small["links"], small["documents"], small["captions"], small["media"]).collect()
     by = lambda tid, source: sorted((r["position"], r["text"]) for r in rows if (r["tweet_id"], r["source"]) == (tid, source))
-    assert by("1001", "post") == [(0, "@alice: hello world")]
-    assert by("1002", "quote") == [(1, "@bob: @d: quote")]
-    assert by("1003", "article") == [(1, "@unknown: Title\n\nPreview")]
-    assert by("1001", "image") == [(0, "@alice: A cat")]
-    page = by("1001", "link")  # the card is covered by the page; the page is shared
-    assert page[0][1].startswith("Example: Notes\n\nNeedle") and len(page) > 1 and [p for p in by("1002", "link") if p[1] != "b.test: Other"] == page
+    assert by("51", "post") == [(0, "@KeelLine: tide tables")] and by("52", "quote") == [(1, "@otto_v: @pilot: low water")]
+    assert by("53", "article") == [(1, "@unknown: On buoys\n\nThey float")] and by("51", "image") == [(0, "@KeelLine: A lighthouse")]
+    page = by("51", "link")  # its card is left out for the page, which both posts have
+    assert page[0][1].startswith("Reports: Gauges\n\nGauge 0 read 0 fathoms.\n\nGauge 1") and len(page) > 3
+    assert by("52", "link") == sorted([*page, (0, "maps.invented.test: All maps")])
 
 
 def test_post_chunks_by_brute_force(spark):
@@ -93,16 +99,19 @@ def test_paragraphs_gather_no_group(spark, capsys):
 
 
 def test_search_filters(spark, small):
-    chunks = spark.createDataFrame([(i, t, "post", x, None, 0) for i, (t, x) in enumerate([("1001", "hello world"), ("1002", "second post world"), ("1002", "world"), ("9", "hello gone")])], "id bigint, tweet_id string, source string, text string, ref string, position int")
-    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(4)], "chunk_id bigint, embedding array<float>")
+    said = [("51", "tide tables"), ("52", "harbour notes on tables"), ("52", "tables"), ("99", "tide of a removed post")]
+    chunks = spark.createDataFrame([(i, t, "post", x, None, None, 0) for i, (t, x) in enumerate(said)], "id bigint, tweet_id string, source string, text string, source_text string, ref string, position int")
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(3)], "chunk_id bigint, embedding array<float>")
     tables = {**small, "chunks": chunks, "vectors": vectors}
     found = lambda q, **f: [r["tweet_id"] for r in retrieval.search(tables, q, [0.0, 1.0], **f).collect()]
-    assert found("hello world") == ["1001", "1002"]
-    assert found("nothing", author="@BOB") == ["1002"] and found("!!!", after="2025-01-01") == ["1002"]
-    assert found("hello", before="2018-10-11") == ["1001"] and found("hello", author="nobody") == []
-    for hostile in ('"', "AND OR NOT", "a*b", "(", "col:x", "'"):
-        found(hostile)
-    assert retrieval.lexical_ranks(chunks, "a ! b").collect() == []
+    assert found("tide tables") == ["51", "52"]
+    assert found("unheard", author="@@OTTO_V") == ["52"] and found("?!", after="2032") == ["52"]
+    assert found("tide", before="2031-04-02") == ["51"] and found("tide", author="nobody") == []
+    for odd in ("'", "NEAR(a b)", "t*", ")", "text:tide", '"tide'):
+        found(odd)
+    assert retrieval.lexical_ranks(chunks, "x ; y").collect() == []
+    alone = retrieval.vector_ranks(vectors, [0.0, 1.0], among=chunks.where("id = 3").selectExpr("id AS chunk_id"))
+    assert [tuple(r) for r in alone.collect()] == [(3, None, 0)]  # a lone candidate is ranked even without a vector
 
 
 def test_rrf_scores(spark):
@@ -129,25 +138,26 @@ def test_translation_and_embedding(spark):
     assert {(r["id"], r["text"], r["source_text"]) for r in made.collect()} == {(1, "hello", "hola"), (2, "hello", None)}
     one = indexing.distinct_within(made.withColumnRenamed("id", "slot")).collect()
     assert [(r["slot"], r["source_text"]) for r in one] == [(1, None)]
-    got = indexing.embed(chunks, lambda texts: [[float(len(t)), 0.0] for t in texts]).collect()
-    assert {r["chunk_id"]: r["embedding"] for r in got} == {1: [4.0, 0.0], 2: [5.0, 0.0]}
+    framed = lambda texts: [[float(len(t.removeprefix("title: none | text: "))), float(len(texts))] for t in texts]
+    got = indexing.embed(chunks, framed, batch=1).collect()
+    assert {r["chunk_id"]: r["embedding"] for r in got} == {1: [4.0, 1.0], 2: [5.0, 1.0]}
 
 
 def test_queues(small):
-    jobs = {(r["url"], r["kind"]) for r in queues.pending_pages(small["posts"], small["authors"], small["links"], small["documents"]).collect()}
-    assert jobs == {("https://b.test/q", "link")}
+    jobs = [(r["url"], r["kind"]) for r in queues.pending_pages(small["posts"], small["authors"], small["links"], small["documents"]).collect()]
+    assert jobs == [("https://maps.invented.test/", "link")]
     videos = queues.pending_videos(small["posts"], small["authors"], small["media"], small["documents"]).collect()
-    assert [(r["url"], r["duration_ms"]) for r in videos] == [("https://x.com/bob/status/1002/video/1", 92000)]
+    assert [(r["url"], r["duration_ms"]) for r in videos] == [("https://x.com/otto_v/status/52/video/3", 4400)]
     assert queues.pending_captions(small["posts"], small["media"], small["captions"]).collect() == []
 
 
 def test_links_to_files_and_animated_pictures_count(spark, small):
-    links = spark.createDataFrame([("1001", "https://f.test/a.pdf")], "tweet_id string, url string")
+    links = spark.createDataFrame([("51", "https://files.invented.test/map.zip")], "tweet_id string, url string")
     jobs = queues.pending_pages(small["posts"], small["authors"], links, small["documents"]).collect()
-    assert [(r["url"], r["kind"]) for r in jobs if r["kind"] == "link"] == [("https://f.test/a.pdf", "link")]
-    media = spark.createDataFrame([("1001", "video", 2000, 8, None), ("1002", "animated_gif", 1000, 8, None), ("1002", "photo", 5000, 8, None)], "tweet_id string, kind string, duration_ms bigint, bitrate bigint, small_bitrate bigint")
+    assert [r["url"] for r in jobs if r["kind"] == "link"] == ["https://files.invented.test/map.zip"]
+    media = spark.createDataFrame([("51", "video", 6000, 16, None), ("52", "animated_gif", 2000, 8, 4), ("52", "photo", 9000, 8, None)], "tweet_id string, kind string, duration_ms bigint, bitrate bigint, small_bitrate bigint")
     got = report.videos(small["posts"].withColumn("removed_at", F.lit(None).cast("string")), media).first()
-    assert (got["videos"], got["seconds"], got["best_bytes"]) == (2, 3.0, 3.0)
+    assert (got["videos"], got["seconds"], got["best_bytes"], got["small_bytes"]) == (2, 8.0, 14.0, 13.0)
 
 
 def test_every_page_has_a_state(spark):
@@ -164,13 +174,15 @@ def test_enrichers(spark):
 
 
 def test_documents(small):
-    found = documents.find(small["documents"], small["links"], small["posts"], "https://www.a.test/p?utm_source=z")
+    found = documents.find(small["documents"], small["links"], small["posts"], "http://reports.invented.test/2031?utm_medium=m".replace("http:", "https:"))
     first = documents.page(found).first()
-    assert first["has_more"] and first["next_offset"] == 12_000 and first["text"].startswith("# Notes\n\nSource: https://a.test/p\n\nNeedle")
-    assert not documents.page(found, 12_000).first()["has_more"]
-    assert documents.find(small["documents"], small["links"], small["posts"], "1002").count() == 1
+    assert first["has_more"] and first["next_offset"] == 12_000 and first["text"].startswith(f"# Gauges\n\nSource: {REPORT}\n\nGauge 0 read")
+    rest = documents.page(found, 12_000).first()
+    assert not rest["has_more"] and rest["next_offset"] is None and rest["text"].endswith("Gauge 599 read 4 fathoms.")
+    assert documents.find(small["documents"], small["links"], small["posts"], "52").count() == 1
+    assert documents.page(found.where("false")).first()["text"] == ""
     with pytest.raises(ValueError):
-        documents.page(found, -1)
+        documents.page(found, -5)
 
 
 def test_every_page_of_a_text(spark):
@@ -194,16 +206,19 @@ def test_stream_is_idempotent(spark, tmp_path):
     import json
 
     from corpusloom.sources.tables import latest_posts
-    from tests_pages import ALICE, BOB, entry, page
+    from tests_pages import entry, page, photo, post, short
 
-    root, out = tmp_path / "raw", str(tmp_path / "posts")
-    (root / "r1").mkdir(parents=True)
-    (root / "r1" / "page-0001.json").write_text(json.dumps(page(entry(ALICE, 3))))
+    root, out = tmp_path / "raw", str(tmp_path / "tables")
+    drop = lambda run, *entries: ((root / run).mkdir(parents=True), (root / run / "page-01.json").write_text(json.dumps(page(*entries))))
     run = lambda at: ingest.ingest(ingest.page_stream(spark, str(root)), out, str(tmp_path / "state"), at).awaitTermination()
-    run("2025-01-01T00:00:00+00:00")
-    (root / "r2").mkdir()
-    (root / "r2" / "page-0001.json").write_text(json.dumps(page(entry(ALICE, 3), entry(BOB, 2))))
-    run("2025-02-01T00:00:00+00:00")
-    posts = {r["tweet_id"]: (r["captured_at"], r["last_seen_at"]) for r in latest_posts(spark.read.parquet(out)).collect()}
-    assert posts == {"1001": ("2025-01-01T00:00:00+00:00", "2025-02-01T00:00:00+00:00"), "1002": ("2025-02-01T00:00:00+00:00",) * 2}
-    assert ingest.watermark(spark.read.parquet(out)) == "1800000000000000003"
+    drop("1", entry(post(1, "first", media=[photo(1)], links=[short("a", "https://a.test/1")]), 6))
+    run("2031-01-01T00:00:00+00:00")
+    drop("2", entry(post(1, "again"), 6), entry(post(2, "second", links=[short("b", "https://b.test/2")]), 7))
+    run("2031-02-01T00:00:00+00:00")
+    posts = {r["tweet_id"]: (r["text"], r["captured_at"][:7], r["last_seen_at"][:7]) for r in latest_posts(spark.read.parquet(f"{out}/bookmarks")).collect()}
+    assert posts == {"701": ("again", "2031-01", "2031-02"), "702": ("second", "2031-02", "2031-02")}
+    made = ingest.tables(spark, out)
+    assert {r["author_id"] for r in made["authors"].collect()} == {"901", "902"}
+    assert made["media"].count() == 0 and [r["url"] for r in made["links"].collect()] == ["https://b.test/2"]  # the second run took them from post 1
+    assert sorted(r["entry_count"] for r in made["raw_pages"].collect()) == [1, 2]
+    assert ingest.stored_mark(spark, out) == "8800000000000000007"
