@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import chunking, documents as docs, indexing, normalize, queues, report, retrieval
-from corpusloom.sources.tables import latest_posts, live_posts, table
+from corpusloom.operators import articles, chunking, documents as docs, indexing, normalize, postings, queues, report, retrieval
+from corpusloom.session import kept, own_dir
+from corpusloom.sources.tables import PAGE, latest_posts, live_posts, table
 from corpusloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,7 +91,7 @@ def post_snippets(spark, d):
     SELECT tweet_id FROM (
       SELECT tweet_id, lower(coalesce(lang, '')) AS tag, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(text, '[^A-Za-zÀ-ɏ]', '', 'g')) AS latin
       FROM ({_LIVE}))
-    WHERE CASE WHEN tag <> '' AND tag NOT IN ('zxx', 'qme', 'und', 'art') THEN tag NOT LIKE 'en%' ELSE letters >= 5 AND latin < letters * 0.7 END""")
+    WHERE ((tag <> '' AND tag NOT LIKE 'en%' AND tag NOT IN ('zxx', 'qme', 'und', 'art')) OR (letters >= 5 AND latin < letters * 0.7))""")
 def foreign_posts(spark, d):
     return _live(spark, d).where(tx.is_foreign(F.col("text"), F.col("lang"))).select("tweet_id")
 
@@ -137,21 +139,15 @@ def page_owners(spark, d):
     return chunking.owners(table(spark, d, "documents"), table(spark, d, "links")).groupBy("url").agg(F.count("*").alias("owners"))
 
 
-@_query(rf"""
-    SELECT doc_id, word_count >= 60 OR (kind = 'video' AND word_count > 0) AS readable, len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '')) AS words,
-           CASE WHEN coalesce(error, '') <> '' AND coalesce(body, '') = '' THEN 'failed' WHEN coalesce(body, '') = '' THEN 'empty' ELSE 'ok' END AS outcome
-    FROM documents WHERE text IS NOT NULL""")
-def page_states(spark, d):
-    """The states of the documents with text, as its SQL has them; ``page_states_all`` has every document."""
-    return queues.page_states(table(spark, d, "documents").where("text IS NOT NULL"))
-
-
-@_query(rf"""
+_STATES = rf"""
     SELECT doc_id, word_count >= 60 OR (kind = 'video' AND word_count > 0) AS readable,
            coalesce(len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '')), 0) AS words,
            CASE WHEN coalesce(error, '') <> '' AND coalesce(body, '') = '' THEN 'failed' WHEN coalesce(body, '') = '' THEN 'empty' ELSE 'ok' END AS outcome
-    FROM documents""")
-def page_states_all(spark, d):
+    FROM documents"""
+
+
+@_query(_STATES)
+def page_states(spark, d):
     return queues.page_states(table(spark, d, "documents"))
 
 
@@ -168,17 +164,11 @@ def page_prose(spark, d):
     return table(spark, d, "documents").where("body IS NOT NULL").select("doc_id", tx.prose(F.col("body")).alias("prose"))
 
 
-@_query("""
-    SELECT doc_id, text[1:12000] AS page, CASE WHEN length(text) > 12000 THEN 12000 END AS next_offset, length(text) > 12000 AS has_more FROM documents WHERE text IS NOT NULL""")
-def document_pages(spark, d):
-    """The first page of each text, as its SQL has it; ``document_pages_all`` has every page."""
-    return docs.pages(table(spark, d, "documents")).where("offset = 0").drop("offset")
-
-
 @_query("""
     SELECT doc_id, o::INT AS "offset", text[o + 1 : o + 12000] AS page, CASE WHEN length(text) > o + 12000 THEN (o + 12000)::INT END AS next_offset, length(text) > o + 12000 AS has_more
     FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 12000)) AS o FROM documents WHERE text IS NOT NULL)""")
-def document_pages_all(spark, d):
+def document_pages(spark, d):
+    """Every page of every text."""
     return docs.pages(table(spark, d, "documents"))
 
 
@@ -286,6 +276,11 @@ def _fused(where_b: str = "", where_k: str = "") -> str:
       SELECT chunk_id, rank, rank AS d, NULL AS l FROM ({_knn(where_k)}) UNION ALL SELECT chunk_id, rank, NULL, rank FROM ({_bm25(where_b)})) GROUP BY 1"""
 
 
+def _text_index(spark: SparkSession, d: str) -> postings.TextIndex:
+    """The postings of the chunks, built on first use and kept for the session; later searches read the buckets of their terms."""
+    return kept(spark, "text index", [f"{d}/chunks.parquet"], lambda: postings.build(table(spark, d, "chunks"), f"{own_dir(spark)}/postings-{uuid.uuid4().hex}"))
+
+
 def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, d, "chunks"), retrieval.index_vectors(table(spark, d, "chunk_vec"))
 
@@ -296,13 +291,13 @@ def _among(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
 
 @_query(_bm25())
 def bm25_topk(spark, d):
-    return retrieval.lexical_ranks(_index(spark, d)[0], ASKED)
+    return retrieval.lexical_ranks(_text_index(spark, d), ASKED)
 
 
 @_query(_bm25(f"AND id IN ({_AMONG})"))
 def bm25_filtered(spark, d):
     chunks, _ = _index(spark, d)
-    return retrieval.lexical_ranks(chunks, ASKED, among=_among(spark, d, chunks))
+    return retrieval.lexical_ranks(_text_index(spark, d), ASKED, among=_among(spark, d, chunks))
 
 
 @_query(_knn())
@@ -319,8 +314,8 @@ def knn_filtered(spark, d):
 
 @_query(_fused())
 def rrf_fused(spark, d):
-    chunks, vectors = _index(spark, d)
-    return retrieval.fuse(retrieval.vector_ranks(vectors, _vector(vectors)), retrieval.lexical_ranks(chunks, ASKED))
+    _, vectors = _index(spark, d)
+    return retrieval.fuse(retrieval.vector_ranks(vectors, _vector(vectors)), retrieval.lexical_ranks(_text_index(spark, d), ASKED))
 
 
 @_query(f"SELECT DISTINCT id AS chunk_id FROM ({_AMONG})")
@@ -330,17 +325,18 @@ def allowed_chunks(spark, d):
 
 @_query(f"""
     WITH f AS ({_fused(f"AND id IN ({_AMONG})", f"WHERE chunk_id IN ({_AMONG})")}), c AS ({_CHUNKS}), p AS ({_LIVE}),
-    h AS (SELECT c.tweet_id, f.chunk_id, c.source, f.score, p.author_id, p.created_at, p.text AS post FROM f JOIN c ON c.id = f.chunk_id JOIN p USING (tweet_id)),
+    h AS (SELECT c.tweet_id, f.chunk_id, c.source, f.score, p.author_id, p.created_at, p.url, p.text AS post, p.lang, c.ref, c.text AS chunk, c.source_text FROM f JOIN c ON c.id = f.chunk_id JOIN p USING (tweet_id)),
     b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tweet_id ORDER BY score DESC, chunk_id) AS r FROM h) WHERE r = 1 ORDER BY score DESC, chunk_id LIMIT 10),
-    n AS (SELECT tweet_id, count(*) AS n FROM c GROUP BY 1), k AS (SELECT tweet_id, array_to_string(list_sort(list(DISTINCT kind)), ',') AS k FROM media GROUP BY 1),
+    n AS (SELECT tweet_id, count(*) AS n FROM c GROUP BY 1), k AS (SELECT tweet_id, list_sort(list(DISTINCT kind)) AS k FROM media GROUP BY 1),
     w AS (SELECT o.tweet_id, sum(word_count) AS w FROM ({_OWNERS}) o JOIN documents dd USING (url) GROUP BY 1)
-    SELECT b.tweet_id, chunk_id, source, score, '@' || coalesce(nullif(screen_name, ''), 'unknown') AS handle, created_at, n.n AS chunk_count,
-           coalesce(nullif(w.w, 0), len(list_filter(regexp_split_to_array(post, '{_WS}+'), lambda x: x <> '')))::BIGINT AS words, coalesce(k.k, '') AS media
+    SELECT b.tweet_id, b.url, chunk_id, source, score, '@' || coalesce(nullif(screen_name, ''), 'unknown') AS handle, created_at, n.n AS chunk_count,
+           coalesce(nullif(w.w, 0), len(list_filter(regexp_split_to_array(post, '{_WS}+'), lambda x: x <> '')))::BIGINT AS words, coalesce(k.k, []) AS media,
+           b.post AS text, b.lang, b.ref, b.chunk, b.source_text
     FROM b LEFT JOIN n USING (tweet_id) LEFT JOIN k USING (tweet_id) LEFT JOIN w USING (tweet_id) LEFT JOIN authors USING (author_id)""")
 def hybrid_search(spark, d):
     tables = {n: table(spark, d, n) for n in ("chunks", "authors", "documents", "links", "media")} | {"posts": _live(spark, d)}
     tables["vectors"] = _index(spark, d)[1]
-    return retrieval.search(tables, ASKED, _vector(tables["vectors"]), source=SOURCE, after=CUT).drop("passage")
+    return retrieval.search(tables, ASKED, _vector(tables["vectors"]), index=_text_index(spark, d), source=SOURCE, after=CUT).drop("passage")
 
 
 _PASSAGES = "SELECT min(id) FROM chunks WHERE source IN ('article', 'link', 'video') AND ref IN (SELECT url FROM documents WHERE word_count >= 60 OR (kind = 'video' AND word_count > 0)) GROUP BY ref, position"
@@ -348,11 +344,11 @@ _PASSAGES = "SELECT min(id) FROM chunks WHERE source IN ('article', 'link', 'vid
 
 @_query(f"""
     WITH f AS ({_fused(f"AND id IN ({_PASSAGES})", f"WHERE chunk_id IN ({_PASSAGES})")})
-    SELECT chunk_id, tweet_id, source, ref, position, score FROM (SELECT * FROM f ORDER BY score DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST, chunk_id LIMIT 5) JOIN ({_CHUNKS}) c ON c.id = chunk_id""")
+    SELECT chunk_id, tweet_id, source, ref, position, score, text, source_text FROM (SELECT * FROM f ORDER BY score DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST, chunk_id LIMIT 5) JOIN ({_CHUNKS}) c ON c.id = chunk_id""")
 def passage_search(spark, d):
     chunks, vectors = _index(spark, d)
     within = docs.passage_ids(chunks, chunking.readable(table(spark, d, "documents")))
-    return retrieval.passages(chunks, vectors, ASKED, _vector(vectors), within)
+    return retrieval.passages(chunks, vectors, ASKED, _vector(vectors), within, index=_text_index(spark, d))
 
 
 # ---- work queues ----
@@ -385,7 +381,7 @@ def pending_captions(spark, d):
 @_query(r"""
     SELECT hash, min(text) AS text FROM (
       SELECT hash, text, lower(coalesce(lang, '')) AS tag, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(text, '[^A-Za-zÀ-ɏ]', '', 'g')) AS latin FROM chunks WHERE source <> 'image')
-    WHERE CASE WHEN tag <> '' AND tag NOT IN ('zxx', 'qme', 'und', 'art') THEN tag NOT LIKE 'en%' ELSE letters >= 5 AND latin < letters * 0.7 END
+    WHERE ((tag <> '' AND tag NOT LIKE 'en%' AND tag NOT IN ('zxx', 'qme', 'und', 'art')) OR (letters >= 5 AND latin < letters * 0.7))
       AND hash NOT IN (SELECT left(sha256(source_text), 16) FROM chunks WHERE source_text <> '') GROUP BY 1""")
 def pending_translations(spark, d):
     rows = table(spark, d, "chunks")
@@ -400,7 +396,7 @@ def pending_translations(spark, d):
     SELECT (SELECT count(*) FROM p) AS total, (SELECT count(*) FROM p WHERE removed_at IS NOT NULL) AS removed, count(*) AS live, count(*) FILTER (is_long = 1) AS long,
       count(*) FILTER (coalesce(quoted_tweet_id, '') <> '') AS quotes, count(*) FILTER (coalesce(article_id, '') <> '') AS articles,
       count(*) FILTER (lang IS NOT NULL AND lang NOT IN ('en', 'und', 'qme', 'qst', 'zxx')) AS "foreign", min(created_at) AS oldest, max(created_at) AS newest,
-      trunc(median(length(text)) FILTER (length(text) > 0))::INT AS median_chars, (sum(length(text)) FILTER (length(text) > 0))::BIGINT AS chars FROM l""")
+      count(*) FILTER (text = '') AS empty, trunc(median(length(text)) FILTER (length(text) > 0))::INT AS median_chars, (sum(length(text)) FILTER (length(text) > 0))::BIGINT AS chars FROM l""")
 def report_posts(spark, d):
     return report.post_counts(latest_posts(table(spark, d, "bookmarks")))
 
@@ -416,14 +412,14 @@ def report_media(spark, d):
 
 
 @_query(f"""
-    WITH v AS (SELECT duration_ms / 1000e0 AS s, bitrate AS b, coalesce(small_bitrate, bitrate) AS m FROM media WHERE kind = 'video' AND duration_ms > 0 AND tweet_id IN (SELECT tweet_id FROM ({_LIVE})))
+    WITH v AS (SELECT duration_ms / 1000e0 AS s, bitrate AS b, coalesce(nullif(small_bitrate, 0), bitrate) AS m FROM media WHERE kind IN ('video', 'animated_gif') AND duration_ms > 0 AND tweet_id IN (SELECT tweet_id FROM ({_LIVE})))
     SELECT count(*) AS videos, round(sum(s), 3) AS seconds, round(median(s), 3) AS median_s, round(max(s), 3) AS longest_s, count(*) FILTER (s > 600) AS long,
       round(sum(coalesce(b, 0) * s / 8), 0) AS best_bytes, round(sum(coalesce(m, 0) * s / 8), 0) AS small_bytes FROM v""")
 def report_videos(spark, d):
     return report.videos(latest_posts(table(spark, d, "bookmarks")), table(spark, d, "media"))
 
 
-@_query(f"SELECT domain, count(*) AS n FROM links WHERE tweet_id IN (SELECT tweet_id FROM ({_LIVE})) GROUP BY 1 ORDER BY n DESC, domain LIMIT 15")
+@_query(f"SELECT domain, count(*) AS n FROM links WHERE domain IS NOT NULL AND tweet_id IN (SELECT tweet_id FROM ({_LIVE})) GROUP BY 1 ORDER BY n DESC, domain LIMIT 15")
 def top_domains(spark, d):
     return report.top_domains(latest_posts(table(spark, d, "bookmarks")), table(spark, d, "links"))
 
@@ -434,7 +430,7 @@ def top_authors(spark, d):
 
 
 @_query(f"""
-    SELECT (SELECT count(*) FROM ({_LIVE})) AS bookmarks, (SELECT count(*) FROM media WHERE kind = 'photo') AS photos, (SELECT count(*) FROM media WHERE kind = 'video') AS videos,
+    SELECT (SELECT count(*) FROM ({_LIVE})) AS bookmarks, (SELECT count(*) FROM media WHERE kind = 'photo') AS photos, (SELECT count(*) FROM media WHERE kind = 'video') AS videos, (SELECT count(*) FROM media WHERE kind = 'photo' AND alt_text <> '') AS captioned,
       (SELECT count(*) FROM documents WHERE kind = 'video' AND error IS NULL) AS transcribed, (SELECT count(*) FROM documents WHERE kind = 'video' AND word_count > 0) AS speech,
       (SELECT count(*) FROM documents WHERE kind <> 'video' AND coalesce(body, '') <> '') AS pages, (SELECT count(*) FROM documents WHERE coalesce(error, '') <> '' AND coalesce(body, '') = '') AS failed_pages,
       (SELECT count(DISTINCT id) FROM chunks) AS chunks, (SELECT count(DISTINCT id) FROM chunks WHERE coalesce(source_text, '') <> '') AS translated,
@@ -466,6 +462,230 @@ def session_paragraphs(spark, d):
     return chunking.paragraphs(rows)
 
 
+@_query(f"""
+    SELECT (SELECT count(DISTINCT tweet_id) FROM media WHERE tweet_id IN (SELECT tweet_id FROM ({_LIVE}))) AS with_media, (SELECT count(*) FROM media WHERE alt_text <> '' AND tweet_id IN (SELECT tweet_id FROM ({_LIVE}))) AS with_alt,
+      (SELECT count(*) FROM links WHERE tweet_id IN (SELECT tweet_id FROM ({_LIVE}))) AS links, (SELECT count(DISTINCT domain) FROM links WHERE tweet_id IN (SELECT tweet_id FROM ({_LIVE}))) AS domains""")
+def report_links_and_media(spark, d):
+    posts = latest_posts(table(spark, d, "bookmarks"))
+    return report.media_posts(posts, table(spark, d, "media")).join(F.broadcast(report.link_counts(posts, table(spark, d, "links"))))  # two single rows
+
+
+# ---- searches with other filters, reading, lists ----
+
+_BEFORE = f"SELECT c.id FROM chunks c JOIN ({_LIVE}) p USING (tweet_id) JOIN authors a USING (author_id) WHERE lower(a.screen_name) = (SELECT lower(min(screen_name)) FROM authors WHERE screen_name <> '' AND author_id IN (SELECT author_id FROM ({_LIVE}))) AND p.created_at < '2030-01-01'"
+
+
+@_query(f"SELECT DISTINCT id AS chunk_id FROM ({_BEFORE})")
+def chunks_of_author(spark, d):
+    """The chunks of the first author by name among the live posts, before a date."""
+    posts, authors = _live(spark, d), table(spark, d, "authors")
+    name = authors.where("screen_name <> ''").join(posts.select("author_id"), "author_id", "left_semi").agg(F.min("screen_name")).first()[0]
+    return retrieval.allowed(table(spark, d, "chunks"), posts, authors, author=f"@{name or 'nobody'}", before="2030-01-01").distinct()
+
+
+@_query("SELECT min(id) AS chunk_id, NULL::DOUBLE AS distance, 0 AS rank FROM chunks WHERE id NOT IN (SELECT chunk_id FROM chunk_vec WHERE embedding IS NOT NULL) HAVING count(*) > 0")
+def knn_lone(spark, d):
+    """A search among a single chunk, which has no vector: it is ranked all the same."""
+    chunks, vectors = _index(spark, d)
+    alone = indexing.unembedded(chunks, table(spark, d, "chunk_vec")).agg(F.min("id").alias("chunk_id"))
+    return retrieval.vector_ranks(vectors, _vector(vectors), among=alone)
+
+
+_TERMS = ("model", "market", "the")
+
+
+@_query(f"""
+    SELECT term, id AS chunk_id, len(list_filter(ts, lambda x: x = term))::BIGINT AS tf, len(ts)::INT AS dl
+    FROM (SELECT id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_'']+') AS ts FROM ({_CHUNKS})), (SELECT unnest({list(_TERMS)}) AS term) WHERE list_contains(ts, term)""")
+def postings_of_terms(spark, d):
+    return _text_index(spark, d).of_terms(list(_TERMS)).select("term", "chunk_id", "tf", "dl")
+
+
+_POST_OF = "(SELECT max(tweet_id) FROM documents WHERE tweet_id IN (SELECT tweet_id FROM (" + _LIVE + ")))"
+
+
+@_query(f"""
+    SELECT url, kind, title, word_count FROM documents WHERE (word_count >= 60 OR (kind = 'video' AND word_count > 0)) AND url IN (SELECT url FROM ({_OWNERS}) WHERE tweet_id = {_POST_OF})""")
+def documents_of_post(spark, d):
+    """The readable documents of one post: the last that has any."""
+    documents, posts = table(spark, d, "documents"), _live(spark, d)
+    target = documents.join(posts.select("tweet_id"), "tweet_id", "left_semi").agg(F.max("tweet_id")).first()[0]
+    return docs.info(docs.find(documents, table(spark, d, "links"), posts, target or ""))
+
+
+_PHOTOS = "SELECT media_key, tweet_id, alt_text FROM media WHERE kind = 'photo' AND alt_text <> ''"
+
+
+@_query(f"""
+    SELECT m.tweet_id, 'image' AS source, m.media_key AS ref, 0 AS position, '@' || coalesce(nullif(screen_name, ''), 'unknown') || ': ' || regexp_replace(alt_text, '{_STRIP}', '', 'g') AS text, p.lang
+    FROM ({_PHOTOS}) m JOIN ({_LIVE}) p USING (tweet_id) LEFT JOIN authors USING (author_id) WHERE regexp_replace(alt_text, '{_STRIP}', '', 'g') <> ''""")
+def image_chunks(spark, d):
+    """The photos' descriptions as captions (all are shorter than a piece)."""
+    media = table(spark, d, "media")
+    said = media.where("kind = 'photo' AND alt_text <> ''").select("media_key", F.col("alt_text").alias("text"), F.lit(None).cast("string").alias("error"))
+    return chunking.image_chunks(said, media, _live(spark, d), table(spark, d, "authors"))
+
+
+@_query(rf"""
+    WITH l AS (SELECT tweet_id, i, list_extract(ls, i) AS line, list_extract(ls, i - 1) AS last FROM (
+        SELECT tweet_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT tweet_id, string_split(regexp_replace(regexp_replace('<think>why ' || tweet_id || '</think> ' || text || chr(10) || text, '<think>.*?</think>', '', 'gs'), '{_STRIP}', '', 'g'), chr(10)) AS ls FROM ({_LIVE}))))
+    SELECT tweet_id, string_agg(line, chr(10) ORDER BY i) AS caption FROM l WHERE i = 1 OR line <> last GROUP BY 1""")
+def captions_cleaned(spark, d):
+    """Each post's text twice, after a thought, as the raw answer of a captioner."""
+    raw = F.concat(F.lit("<THINK>why "), "tweet_id", F.lit("</think> "), F.regexp_replace("text", r"[\r\u000B\u000C\u001C-\u001E\u0085  ]", " "), F.lit("\n"), F.regexp_replace("text", r"[\r\u000B\u000C\u001C-\u001E\u0085  ]", " "))
+    return _live(spark, d).where("text IS NOT NULL").select("tweet_id", tx.clean_caption(raw).alias("caption"))
+
+
+@_query("""
+    SELECT media_key, CASE WHEN b < 1024 THEN printf('%.1f B', b) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576) ELSE printf('%.1f GB', b / 1073741824) END AS size
+    FROM (SELECT media_key, floor(duration_ms * coalesce(bitrate, 0) / 8000e0) AS b FROM media WHERE duration_ms IS NOT NULL)""")
+def media_sizes(spark, d):
+    n = F.floor(F.col("duration_ms") * F.coalesce("bitrate", F.lit(0)) / 8000.0)
+    return table(spark, d, "media").where("duration_ms IS NOT NULL").select("media_key", tx.byte_size(n).alias("size"))
+
+
+# ---- raw pages ----
+
+_STAMP = "strftime(created_at::TIMESTAMPTZ, '%a %b %d %H:%M:%S +0000 %Y')"
+
+
+def _pages(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """Raw pages as a capture would bring them, made from the tables: one for each row, through JSON and back.
+
+    ``kind`` says which part a page carries beside the post: nothing, a media item or a link.
+    """
+    posts, authors = table(spark, d, "bookmarks"), table(spark, d, "authors").withColumnRenamed("description", "about")
+    rows = posts.join(authors, "author_id", "left") if kind == "post" else table(spark, d, kind).withColumn("place", F.md5(F.to_json(F.struct("*")))).join(authors.where("false"), F.lit(False), "left")
+    own = F.col("tweet_id") if kind == "post" else F.concat_ws("-", "tweet_id", "place")
+    stamp = F.to_timestamp("created_at") if kind == "post" else F.lit(None).cast("timestamp")
+    text = F.concat(F.lit(" "), F.coalesce("text", F.lit("")), F.lit(" sho.rt/x ")) if kind == "post" else F.lit("sho.rt/x")
+    legacy = {"full_text": text, "created_at": F.date_format(stamp, "EEE MMM dd HH:mm:ss '+0000' yyyy"), "lang": F.col("lang") if kind == "post" else F.lit(None).cast("string"), "conversation_id_str": own}
+    if kind == "post":
+        legacy |= {c: F.col(c) for c in ("favorite_count", "retweet_count", "reply_count", "quote_count", "bookmark_count")}
+        legacy["entities"] = F.struct(F.array(F.struct(F.lit("sho.rt/x").alias("url"), F.concat(F.lit("https://of.test/"), "tweet_id").alias("expanded_url"))).alias("urls"))
+    if kind == "links":
+        legacy["entities"] = F.struct(F.array(F.struct(F.lit("sho.rt/x").alias("url"), F.col("url").alias("expanded_url"))).alias("urls"))
+    if kind == "media":
+        clip = lambda rate, url, mime="video/mp4": F.struct(F.lit(mime).alias("content_type"), F.col(rate).alias("bitrate"), F.col(url).alias("url"))
+        clips = F.array(clip("bitrate", "url", "application/x-mpegURL"), clip("bitrate", "url"), clip("small_bitrate", "small_url"))
+        item = F.struct(
+            "media_key", F.col("kind").alias("type"), F.lit("sho.rt/x").alias("url"), F.col("url").alias("media_url_https"), F.col("alt_text").alias("ext_alt_text"), F.struct("width", "height").alias("original_info"),
+            F.struct(F.col("duration_ms").alias("duration_millis"), clips.alias("variants")).alias("video_info"),
+        )
+        legacy["extended_entities"] = F.struct(F.array(item).alias("media"))
+    person = F.struct(F.col("author_id").alias("rest_id") if kind == "post" else F.lit("0").alias("rest_id"), F.struct("screen_name", "name").alias("core"), F.struct(F.col("avatar_url").alias("image_url")).alias("avatar"),
+                      (F.col("verified") == 1).alias("is_blue_verified"), F.struct(F.col("about").alias("description")).alias("legacy"))
+    made = {"__typename": F.lit("Tweet"), "rest_id": own, "core": F.struct(F.struct(person.alias("result")).alias("user_results")), "legacy": F.struct(*(c.alias(n) for n, c in legacy.items()))}
+    if kind == "post":
+        made["article"] = F.struct(F.struct(F.struct(F.col("article_id").alias("rest_id"), F.col("article_title").alias("title"), F.col("article_preview").alias("preview_text")).alias("result")).alias("article_results"))
+    if kind == "links":
+        value = lambda key, c: F.struct(F.lit(key).alias("key"), F.struct(F.col(c).alias("string_value")).alias("value"))
+        card = F.struct(F.struct(F.lit("sho.rt/x").alias("url"), F.array(value("title", "title"), value("description", "description"), value("thumbnail_image", "thumb_url")).alias("binding_values")).alias("legacy"))
+        made["card"] = F.when(F.col("from_card") == 1, card)
+    tweet = F.struct(*(c.alias(n) for n, c in made.items()))
+    index = F.col("sort_index") if kind == "post" else F.lit("1")
+    content = F.struct(F.struct(F.lit("TimelineTweet").alias("itemType"), F.struct(tweet.alias("result")).alias("tweet_results")).alias("itemContent"))
+    step = F.struct(F.array(F.struct(index.alias("sortIndex"), content.alias("content"))).alias("entries"))
+    whole = F.struct(F.struct(F.struct(F.struct(F.array(step).alias("instructions")).alias("timeline")).alias("bookmark_timeline_v2")).alias("data"))
+    seq = F.date_format("ingested_at", "yyyyMMddHHmmss.SSSSSS") if kind == "post" else own
+    seq = F.concat_ws("|", seq, "last_seen_at") if kind == "post" else seq
+    return rows.select(F.concat_ws("|", seq, own).alias("seq"), F.from_json(F.to_json(whole), PAGE).alias("page"))
+
+
+_SEEN = "2030-01-01T00:00:00+00:00"
+
+
+@_query(rf"""
+    SELECT tweet_id, sort_index, p.author_id, regexp_replace(coalesce(text, '') || ' https://of.test/' || tweet_id, '{_STRIP}', '', 'g') AS text, 0 AS is_long, lang,
+           strftime(created_at::TIMESTAMPTZ AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00' AS created_at, coalesce(favorite_count, 0) AS favorite_count, coalesce(bookmark_count, 0) AS bookmark_count,
+           nullif(article_id, '') AS article_id, article_title, article_preview, 'https://x.com/' || coalesce(nullif(screen_name, ''), 'i') || '/status/' || tweet_id AS url, '{_SEEN}' AS last_seen_at
+    FROM ({_LATEST}) p LEFT JOIN authors USING (author_id)""")
+def normalized_posts(spark, d):
+    made = normalize.bookmarks(normalize.posts(_pages(spark, d, "post")), _SEEN)
+    return made.select("tweet_id", "sort_index", "author_id", "text", "is_long", "lang", "created_at", "favorite_count", "bookmark_count", "article_id", "article_title", "article_preview", "url", "last_seen_at")
+
+
+@_query("""
+    SELECT author_id, screen_name, name, avatar_url, coalesce(verified, 0)::INT AS verified, description FROM authors WHERE author_id IN (SELECT author_id FROM bookmarks)""")
+def normalized_authors(spark, d):
+    return normalize.authors(normalize.posts(_pages(spark, d, "post")))
+
+
+@_query("""
+    WITH m AS (SELECT *, row_number() OVER (PARTITION BY media_key ORDER BY tweet_id) AS r FROM media)
+    SELECT media_key, kind, CASE WHEN kind IN ('video', 'animated_gif') THEN CASE WHEN url IS NULL OR coalesce(bitrate, 0) < coalesce(small_bitrate, 0) OR (coalesce(bitrate, 0) = coalesce(small_bitrate, 0) AND coalesce(small_url, '') <> '') THEN coalesce(nullif(small_url, ''), url) ELSE url END ELSE url END AS url,
+           url AS thumb_url, alt_text, width, height, duration_ms FROM m
+    WHERE media_key <> '' AND kind IS NOT NULL AND url IS NOT NULL""")
+def normalized_media(spark, d):
+    return normalize.media(normalize.posts(_pages(spark, d, "media"))).select("media_key", "kind", "url", "thumb_url", "alt_text", "width", "height", "duration_ms")
+
+
+@_query(r"""
+    SELECT tweet_id, url, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)', 1)), '^www\.', '') AS domain,
+           CASE WHEN from_card = 1 THEN nullif(title, '') END AS title, CASE WHEN from_card = 1 THEN nullif(description, '') END AS description, CASE WHEN from_card = 1 THEN nullif(thumb_url, '') END AS thumb_url, coalesce(from_card, 0) AS from_card
+    FROM (SELECT DISTINCT * FROM links) WHERE url <> '' AND NOT contains(url, '//x.com/') AND NOT contains(url, '//twitter.com/')""")
+def normalized_links(spark, d):
+    """Each link as that of a post of its own; the post's number is cut off again."""
+    made = normalize.links(normalize.posts(_pages(spark, d, "links")))
+    return made.withColumn("tweet_id", F.substring_index("tweet_id", "-", 1))
+
+
+@_query("""
+    SELECT count(*) AS pages, count(*) AS posts, 0::BIGINT AS media, count(*) AS links, count(DISTINCT tweet_id) AS distinct_posts FROM bookmarks""")
+def normalized_tallies(spark, d):
+    return normalize.tallies(_pages(spark, d, "post"))
+
+
+# ---- articles and translations ----
+
+
+@_query(rf"""
+    WITH t AS (SELECT doc_id, word_count AS w, body, error, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE regexp_replace(string_split(text, chr(10) || chr(10))[1] || chr(10) || coalesce(title, ''), '{_STRIP}', '', 'g') END AS truth FROM documents WHERE kind = 'x_article'),
+    n AS (SELECT *, coalesce(len(list_filter(regexp_split_to_array(truth, '{_WS}+'), lambda x: x <> '')), 0) AS e FROM t)
+    SELECT doc_id, CASE WHEN truth <> '' AND coalesce(w, 0) < e * 0.7 THEN e ELSE coalesce(w, 0) END AS word_count, left(sha256(CASE WHEN truth <> '' AND coalesce(w, 0) < e * 0.7 THEN truth ELSE body END), 16) AS body,
+           CASE WHEN truth <> '' AND coalesce(w, 0) < e * 0.7 THEN 'rendered extraction was short; used authoritative text (' || e || ' words)' WHEN coalesce(truth, '') = '' AND coalesce(w, 0) < 60 THEN 'thin extraction (' || coalesce(w, 0) || ' words)' ELSE error END AS error FROM n""")
+def articles_checked(spark, d):
+    """Articles against a response in JSON that carries their first paragraph and title, for two of three of them, and the rules for short ones."""
+    rows = table(spark, d, "documents").where("kind = 'x_article'")
+    blocks = F.array(F.struct(F.split("text", "\n\n")[0].alias("text")), F.struct(F.coalesce("title", F.lit("")).alias("text")))
+    payload = F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("n")), F.struct(F.lit(1).alias("n"))).alias("first"), F.struct(F.struct(blocks.alias("blocks")).alias("content_state")).alias("data")))
+    held = rows.withColumn("truth", F.when((F.col("doc_id") % 3 != 0) & F.col("text").isNotNull(), tx.given(articles.article_text(payload))))
+    return articles.checked(held).select("doc_id", F.col("word_count"), tx.content_hash(F.col("body")).alias("body"), "error")
+
+
+@_query("""
+    WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS ps FROM documents WHERE text IS NOT NULL),
+    r AS (
+      SELECT doc_id, 1 AS i, ps[1] AS left_, NULL::VARCHAR AS held, NULL::VARCHAR AS done, 0 AS n FROM d
+      UNION ALL
+      SELECT doc_id,
+             CASE WHEN length(left_) > 1500 THEN i ELSE i + 1 END,
+             CASE WHEN length(left_) > 1500 THEN left_[1501:] ELSE ps[i + 1] END,
+             CASE WHEN length(left_) > 1500 THEN left_[:1500] WHEN held IS NOT NULL AND length(held) + length(left_) + 2 <= 1500 THEN held || chr(10) || chr(10) || left_ ELSE left_ END,
+             CASE WHEN length(left_) > 1500 THEN held WHEN held IS NOT NULL AND length(held) + length(left_) + 2 <= 1500 THEN NULL ELSE held END,
+             CASE WHEN held IS NULL OR (length(left_) <= 1500 AND length(held) + length(left_) + 2 <= 1500) THEN n ELSE n + 1 END
+      FROM r JOIN d USING (doc_id) WHERE left_ IS NOT NULL)
+    SELECT doc_id, (n - 1)::INT AS position, left(sha256(done), 16) AS hash FROM r WHERE done IS NOT NULL
+    UNION ALL SELECT doc_id, n::INT, left(sha256(held), 16) FROM r WHERE left_ IS NULL""")
+def translation_pieces(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(chunking.translation_pieces(F.col("text"))).alias("position", "piece"))
+    return rows.select("doc_id", "position", tx.content_hash(F.col("piece")).alias("hash"))
+
+
+@_query("""
+    WITH c AS (SELECT hash, min(text) AS text FROM chunks GROUP BY 1), p AS (SELECT hash, string_split(text, ' ')[1] AS w, length(text) AS n FROM c WHERE length(text) <= 1500)
+    SELECT hash, CASE WHEN n % 2 = 0 THEN NULL ELSE 'English of ' || n END AS text, NULL::VARCHAR AS error FROM p""")
+def translations_made(spark, d):
+    """Short chunks through a translator that says of texts of even length that they are English."""
+    rows = table(spark, d, "chunks").groupBy("hash").agg(F.min("text").alias("text")).where("length(text) <= 1500")
+    return queues.translated_whole(rows, lambda t: "ENGLISH" if len(t) % 2 == 0 else f"English of {len(t)}").select("hash", "text", "error")
+
+
+#: Names under which the first round had registered whole forms of queries.
+for _name in ("page_states", "document_pages"):
+    _QUERIES[f"{_name}_all"], _SQL[f"{_name}_all"] = _QUERIES[_name], _SQL[_name]
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
