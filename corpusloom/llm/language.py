@@ -11,6 +11,7 @@ Null and empty texts, and texts with fewer letters than asked, have no language.
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,8 +40,8 @@ NAMES = {
     "ru": "rus russian русский russisch russe ruso russo 露語 ロシア語",
     "ja": "jpn japanese 日本語 japanisch japonais japonés japonês japans японский",
 }
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0xE0), *range(0xE3, 0xEE)]] = True
+#: Whether each code point up to the last plane that has letters is one.
+_LETTER = np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(0x32400)), bool, 0x32400)
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _STOP = np.zeros(256, bool)
@@ -76,11 +77,24 @@ class Windows:
         return np.where(place < size[:, None], self.data[at], 0)
 
 
+def letters_of(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 begin a letter, in any script."""
+    if not len(data):
+        return np.zeros(0, bool)
+    out = (data < 128) & _LETTER[data & 127]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        first, after = data[lead].astype(np.int64), [data[np.minimum(lead + i, len(data) - 1)].astype(np.int64) & 63 for i in (1, 2, 3)]
+        two, three, four = (first & 31) << 6 | after[0], (first & 15) << 12 | after[0] << 6 | after[1], (first & 7) << 18 | after[0] << 12 | after[1] << 6 | after[2]
+        code = np.where(first < 0xE0, two, np.where(first < 0xF0, three, four))
+        out[lead] = (code < len(_LETTER)) & _LETTER[np.minimum(code, len(_LETTER) - 1)]
+    return out
+
+
 def windows_of(data: np.ndarray, offsets: np.ndarray) -> Windows:
     """Cut texts at sentence ends, and longer sentences evenly, into windows."""
     n = len(data)
-    letter = _LETTER[data]
-    letter[:-1] &= ~((data[:-1] == 0xE3) & (data[1:] == 0x80))  # ideographic punctuation
+    letter = letters_of(data)
     ends = _STOP[data]
     ends[:-1] &= (data[:-1] == 10) | ~_WORD[data[1:]]  # not the dots within a host name
     stop = np.flatnonzero(ends) + 1
@@ -114,6 +128,8 @@ class Network:
     bias: np.ndarray
     out: np.ndarray
     out_bias: np.ndarray
+    #: What the last layer is divided by, so that confidences are as high as their hits are frequent.
+    temper: float = 1.0
     report: dict = field(default_factory=dict)
 
     #: Columns of ``filters`` for the first, second and third pair of each width.
@@ -132,7 +148,7 @@ class Network:
             place.append(c)
             pooled.append(c.max(1))
         h = np.maximum(np.concatenate(pooled, 1) + self.bias, 0)
-        z = h @ self.out + self.out_bias
+        z = (h @ self.out + self.out_bias) / np.float32(self.temper)
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True), h, x, place
 
@@ -189,30 +205,68 @@ def train(windows: np.ndarray, labels: np.ndarray, passes: int = 6, batch: int =
     return net
 
 
-def wordless(n: int, seed: int = 3) -> list[bytes]:
-    """Made windows without a language: random letters, identifiers, code, tables and hashes."""
+#: Words and marks of programming languages, for made windows of code. Fixed values.
+KEYWORDS = (
+    "if else elif for while do switch case default break continue return def class function func fn let var const static public private void int float bool string true false null None nil import from package use "
+    "include try except catch finally throw raise new delete this self async await yield lambda match end begin select from where group by order join insert update set create table drop into values as and or not in is echo export sudo cat"
+).split()
+MARKS = "= == != <= >= + - * / % += && || -> => :: : ; , . ( ) [ ] { } < > # // $ @ ! ? | & ~ \\".split()
+
+
+def spelled(text: bytes) -> np.ndarray:
+    """How often each Latin letter (and the end of a word, 26) follows another in a text: 27 by 27 probabilities."""
+    low = np.frombuffer(text.lower(), np.uint8).astype(np.int64) - 97
+    low = np.where((low < 0) | (low > 25), 26, low)
+    pair = low[:-1] * 27 + low[1:]
+    held = np.bincount(pair, minlength=27 * 27).reshape(27, 27).astype(float)
+    held[26, 26] = 0
+    held += 0.5
+    held[26, 26] = 0
+    return held / held.sum(1, keepdims=True)
+
+
+def wordless(n: int, letters: np.ndarray, seed: int = 3) -> list[bytes]:
+    """Made windows without a language: random letters and digits, words that only follow the letters of the corpus, code, tables of numbers.
+
+    ``letters`` says which letter follows which; names in code are made of the same letters.
+    """
     rng = np.random.default_rng(seed)
-    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
-    random = lambda low, high: rng.choice(letters, rng.integers(low, high)).tobytes()
-    part = lambda: b"".join(rng.choice([b"ron", b"tal", b"ek", b"zen", b"mor", b"dap", b"ul", b"qua", b"sol", b"vel", b"ira", b"tri"], rng.integers(1, 4)))
-    number = lambda: str(rng.integers(0, 10 ** int(rng.integers(1, 6)))).encode()
-    code = [
-        lambda: b"for " + part() + b" in " + part() + b":", lambda: b"SELECT " + part() + b", count(*) FROM " + part() + b" GROUP BY 1", lambda: b"    " + part() + b".append(x[" + number() + b"])",
-        lambda: part() + b" = load('" + part() + b".json')", lambda: b'print("{{ ' + part() + b' }}")', lambda: b"curl -s ", lambda: b"# " + part() + b" before " + part(), lambda: b"def " + part() + b"(" + part() + b", " + part() + b"): return " + part(),
-        lambda: b"if (" + part() + b" == null) { " + part() + b"(); }", lambda: b"import " + part() + b"." + part(), lambda: b"<" + part() + b" " + part() + b'="' + number() + b'">', lambda: b"| " + number() + b" | 0." + number() + b" | -" + number() + b" |",
-        lambda: b"const " + part() + b" = " + part() + b"." + part() + b"();", lambda: b"$ " + part() + b" --" + part() + b" " + number(),
-    ]
-    out = []
-    for _ in range(n):
-        kind = rng.integers(0, 4)
-        if kind == 0:
-            out.append(b" ".join(random(2, 12) for _ in range(16)))
-        elif kind == 1:
-            out.append(rng.choice(np.frombuffer(b"0123456789abcdefABCDEFxyzXYZ+/=_-", np.uint8), 120).tobytes())
-        else:
-            out.append(b"\n".join(code[rng.integers(0, len(code))]() for _ in range(5)))
-        out[-1] = out[-1][: rng.integers(40, WINDOW)]
-    return out
+    ends = np.cumsum(letters, axis=1)
+    any_ = np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=_-", np.uint8)
+
+    def word() -> bytes:
+        """A pronounceable word, or letters at random."""
+        if rng.random() < 0.3:
+            return rng.choice(any_[:26], rng.integers(2, 12)).tobytes()
+        made, at = [], 26
+        while len(made) < 11:
+            at = min(int(np.searchsorted(ends[at], rng.random())), 26)
+            if at == 26:
+                break
+            made.append(97 + at)
+        return bytes(made) or b"x"
+
+    def name() -> bytes:
+        parts = [word() for _ in range(rng.integers(1, 4))]
+        return (b"_", b"", b".")[rng.integers(0, 3)].join(p.capitalize() if i and rng.random() < 0.3 else p for i, p in enumerate(parts))
+
+    def number() -> bytes:
+        whole = str(rng.integers(0, 10 ** int(rng.integers(1, 7)))).encode()
+        return whole if rng.random() < 0.5 else whole + b"." + str(rng.integers(0, 1000)).encode()
+
+    def token() -> bytes:
+        kind = rng.random()
+        return name() if kind < 0.4 else rng.choice(MARKS).encode() if kind < 0.7 else rng.choice(KEYWORDS).encode() if kind < 0.82 else number() if kind < 0.92 else b"'" + name() + b"'"
+
+    def code() -> bytes:
+        line = b"".join(t + (b" " if rng.random() < 0.6 else b"") for t in (token() for _ in range(rng.integers(2, 9))))
+        return b"    " * int(rng.integers(0, 3)) + line
+
+    kinds = (
+        lambda: b" ".join(word() for _ in range(16)), lambda: b"\n".join(code() for _ in range(6)), lambda: b"\n".join(code() for _ in range(6)),
+        lambda: rng.choice(any_, 120).tobytes(), lambda: b"\n".join(b"| " + b" | ".join(number() for _ in range(4)) + b" |" for _ in range(5)), lambda: b"\n".join(name() + b": " + number() for _ in range(8)),
+    )
+    return [kinds[rng.choice(6, p=[0.35, 0.2, 0.2, 0.1, 0.05, 0.1])]()[: rng.integers(40, WINDOW)] for _ in range(n)]
 
 
 def fit(sources: list[tuple[DataFrame, str, str, str]], *, most: int = TRAIN_TEXTS, windows: int = TRAIN_WINDOWS) -> Network:
@@ -230,7 +284,8 @@ def fit(sources: list[tuple[DataFrame, str, str, str]], *, most: int = TRAIN_TEX
                 good = np.flatnonzero(w.letters >= 25)
                 got.append((w.bytes_of(good), own[w.text[good]]))
     rng = np.random.default_rng(11)
-    made = [np.frombuffer(x.ljust(WINDOW, b"\0"), np.uint8) for x in wordless(windows // 10)]
+    letters = spelled(b"\n".join(g[0][: windows // 4].tobytes() for g in got))
+    made = [np.frombuffer(x.ljust(WINDOW, b"\0"), np.uint8) for x in wordless(windows // 10, letters)]
     x = np.concatenate([g[0] for g in got]) if got else np.zeros((0, WINDOW), np.uint8)
     y = np.concatenate([g[1] for g in got]) if got else np.zeros(0, int)
     pick = rng.permutation(len(y))[:windows]
@@ -239,6 +294,29 @@ def fit(sources: list[tuple[DataFrame, str, str, str]], *, most: int = TRAIN_TEX
     net = train(x[~test], y[~test].astype(np.int64))
     p = np.concatenate([net.forward(x[test][i : i + 256])[0] for i in range(0, test.sum(), 256)]) if test.any() else np.zeros((0, NONE + 1))
     net.report = {"windows": int((~test).sum()), "held out": int(test.sum()), "agreement with labels": float((p.argmax(1) == y[test]).mean()) if test.any() else 0.0}
+    return calibrated(net, p, y[test])
+
+
+def calibrated(net: Network, p: np.ndarray, y: np.ndarray) -> Network:
+    """Set the temper by windows held out (probabilities ``p``, labels ``y``); labels that the network rules out count as wrong and are left out."""
+    right = p[np.arange(len(y)), y] > 0.001
+    p, y = p[right].astype(np.float64), y[right]
+    if len(y) < 100:
+        return net
+    z = np.log(p + 1e-12)
+
+    def tempered(t: float) -> np.ndarray:
+        e = np.exp((z - z.max(1, keepdims=True)) / t)
+        return e / e.sum(1, keepdims=True)
+
+    def gap(q: np.ndarray) -> float:
+        """The mean distance of confidence and hits over ten bins of confidence."""
+        sure, hit = q.max(1), q.argmax(1) == y
+        bins = np.minimum((sure * 10).astype(int), 9)
+        return float(np.abs(np.bincount(bins, sure, 10) - np.bincount(bins, hit, 10)).sum() / len(y))
+
+    net.temper = float(min(np.linspace(0.6, 3.0, 49), key=lambda t: -np.log(tempered(t)[np.arange(len(y)), y] + 1e-12).mean()))
+    net.report |= {"temper": net.temper, "confidence against hits": {"before": gap(p), "after": gap(tempered(net.temper))}}
     return net
 
 

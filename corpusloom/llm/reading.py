@@ -1,9 +1,10 @@
 """How demanding a text is to read: boosted regression trees over features of its words and sentences.
 
 Features are the distributions of word lengths and syllables, vocabulary, sentence lengths, punctuation within
-sentences and the cohesion of neighbouring sentences. The trees learn a school grade: a classical readability formula
-where sentences can be told apart gives the target, and every training text is seen a second time without its sentence
-features, so that texts without punctuation (transcripts) are graded by their words. Grades are calibrated on
+sentences and the cohesion of neighbouring sentences. The trees learn a school grade: where sentences can be told
+apart, the consensus of four public readability formulas, which know words by their syllables, letters or share of long or short ones,
+gives the target, and every training text is seen a second time without its sentence features, so that texts without
+punctuation (transcripts) are graded by their words. Grades are calibrated on
 predictions for sources that were held out, one after the other.
 
 Null and empty texts have no words and no grade. Repeated rows give repeated rows.
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm.arrowtext import byte_view, over_slices, prefix_hash, slices, span_hash
+from corpusloom.llm.language import letters_of
 from corpusloom.llm.residue import sampled
 
 #: Texts of the training sample and the longest of them in characters; trees, their depth and step; bins of a feature.
@@ -29,13 +31,13 @@ LONGEST_SENTENCE = 60
 FUNCTION_WORDS = "the of and a to in is you that it he was for on are as with his they i at be this have from or one had by but not what all were we when your can said there".split()  # fixed values
 FEATURES = (
     "words", "word length", "word length spread", "up to 3 letters", "4 to 5 letters", "6 to 8 letters", "9 to 12 letters", "13 letters or more",
-    "syllables", "3 syllables or more", "distinct", "function words", "sentence length", "sentence length spread", "inner marks", "cohesion",
+    "syllables", "3 syllables or more", "distinct", "function words", "sentence length", "sentence length spread", "inner marks", "cohesion", "1 syllable",
 )
 #: The features that need sentences.
 BY_SENTENCE = (12, 13, 14, 15)
 
-_KIND = np.zeros(256, np.uint8)
-_KIND[[*range(97, 123), *range(65, 91), *range(128, 256)]] = 1
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 _VOWEL = np.zeros(256, bool)
@@ -48,19 +50,24 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros((n, len(FEATURES)), np.float32)
     if not size:
         return out
-    kind = _KIND[data]
+    begins = letters_of(data)
+    lead = np.maximum.accumulate(np.where((data & 0xC0) != 0x80, np.arange(size), 0))
+    kind = begins[lead].astype(np.uint8)  # the further bytes of a letter belong to it
+    alone = kind.copy()
     kind[1:-1] |= (data[1:-1] == 39) & (kind[:-2] == 1) & (kind[2:] == 1)
     edge = np.ones(size, bool)
     edge[1:] = kind[1:] != kind[:-1]
     edge[offsets[:-1][offsets[:-1] < size]] = True
     at = np.flatnonzero(edge)
     to = np.append(at[1:], size)
-    held = kind[at] == 1
+    digit = _DIGIT[data]
+    held = (kind[at] == 1) & ~(digit[np.maximum(at - 1, 0)] & (at > 0)) & ~(digit[np.minimum(to, size - 1)] & (to < size))  # no parts of numbers and keys
     at, to = at[held], to[held]
     if not len(at):
         return out
     text = np.searchsorted(offsets, at, side="right") - 1
-    letters = to - at
+    written = np.concatenate([[0], np.cumsum(begins)])
+    letters = written[to] - written[at]
     vowel = _VOWEL[data]
     group = vowel.copy()
     group[1:] &= ~vowel[:-1]
@@ -83,11 +90,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     for i, (low, high) in enumerate(((0, 3), (4, 5), (6, 8), (9, 12), (13, 1 << 30))):
         out[:, 3 + i] = per((letters >= low) & (letters <= high))
     out[:, 8], out[:, 9] = per(beats), per(beats >= 3)
+    out[:, 16] = per(beats == 1)
     out[:, 10] = np.bincount(text[order], fresh, n) / np.sqrt(np.maximum(words, 1))
     out[:, 11] = per(np.isin(word, function))
     # sentences: from one end mark to the next
     mark = np.isin(data, np.frombuffer(b".!?", np.uint8))
-    mark[:-1] &= ~(_KIND[data[1:]] == 1) & ~((data[1:] >= 48) & (data[1:] <= 57))
+    mark[:-1] &= ~(alone[1:] == 1) & ~digit[1:]
     sentence = np.concatenate([[0], np.cumsum(mark)])[at]
     sentence = sentence + text  # a text ends its sentence
     length = np.bincount(sentence)
@@ -112,9 +120,26 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def formula(x: np.ndarray) -> np.ndarray:
-    """The Flesch-Kincaid grade, for texts with sentences."""
-    return 0.39 * x[:, 12] + 11.8 * x[:, 8] - 15.59
+def formulas(x: np.ndarray) -> dict[str, np.ndarray]:
+    """School grades of texts with sentences by public formulas, each of which knows words by something else."""
+    length = np.maximum(x[:, 12], 1)
+    return {
+        "Flesch-Kincaid: syllables, sentences": 0.39 * length + 11.8 * x[:, 8] - 15.59,
+        "Coleman-Liau: letters, sentences": 5.88 * x[:, 1] - 29.6 / length - 15.8,
+        "Gunning Fog: long words, sentences": 0.4 * (length + 100 * x[:, 9]),
+        "FORCAST: words of one syllable": 20 - 15 * x[:, 16],
+    }
+
+
+def consensus(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """The mean of the formulas, each brought to the mean and spread of the first over these texts, and how well they agree (mean correlation of two)."""
+    grades = list(formulas(x).values())
+    if len(x) < 2:
+        return grades[0], 1.0
+    mean, spread = grades[0].mean(), grades[0].std()
+    alike = [(g - g.mean()) / max(g.std(), 1e-6) * spread + mean for g in grades]
+    pairs = np.corrcoef(alike)[np.triu_indices(len(alike), 1)] if all(g.std() > 1e-6 for g in grades) else np.ones(1)
+    return np.mean(alike, 0), float(pairs.mean())
 
 
 @dataclass
@@ -184,7 +209,8 @@ def fit(df: DataFrame, key: str, text: str, source: str, *, most: int = TRAIN_TE
     told = x[:, 12] > 0
     sources = np.array([str(s) for s in sample.column(1).to_pylist()], object)[told]
     x = x[told]
-    y = np.clip(formula(x), 0, 25)
+    y, agree = consensus(x)
+    y = np.clip(y, 0, 25)
     bare = x.copy()
     bare[:, BY_SENTENCE] = -1
     x, y, sources = np.concatenate([x, bare]), np.concatenate([y, y]), np.concatenate([sources, sources])
@@ -200,7 +226,7 @@ def fit(df: DataFrame, key: str, text: str, source: str, *, most: int = TRAIN_TE
     if good.sum() > 50 and held[good].std() > 0.1:
         made.slope = float(np.clip(np.cov(held[good], y[good])[0, 1] / held[good].var(), 0.8, 1.2))
         made.shift = float(y[good].mean() - made.slope * held[good].mean())
-    made.report = {"texts": len(y) // 2, "error on held-out sources": errors}
+    made.report = {"texts": len(y) // 2, "agreement of the formulas": agree, "error on held-out sources": errors}
     return made
 
 
