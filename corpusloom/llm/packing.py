@@ -24,42 +24,33 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.session import stored
+from corpusloom.session import discard, ranked, stored, stored_with
 
 CAPACITY = 2048
 #: Rows that one task sweeps.
 SWEEP = 200_000
 
 
-def _ranked(df: DataFrame, name: str, *order: str) -> DataFrame:
-    """``df`` with ``rank``, its place from 0 in the given order, without a single task: range-sorted, then counted by partition."""
-    count = df.count()
-    sorted_ = df.repartitionByRange(max(1, math.ceil(count / SWEEP)), *order).sortWithinPartitions(*order)
-    at = F.monotonically_increasing_id()
-    rows = stored(sorted_.withColumn("part", F.shiftright(at, 33)).withColumn("local", at.bitwiseAND(F.lit((1 << 33) - 1))), name)
-    counts = sorted((r["part"], r["count"]) for r in rows.groupBy("part").count().collect())  # one row for each partition
-    before = dict(zip((p for p, _ in counts), np.cumsum([0, *(n for _, n in counts)])[:-1].tolist(), strict=True))
-    starts = F.create_map(*(F.lit(x) for p in before.items() for x in p)) if before else F.create_map(F.lit(0), F.lit(0))
-    return rows.withColumn("rank", F.col("local") + F.try_element_at(starts, F.col("part"))).drop("part", "local")
+def bundled(sizes: np.ndarray, most: int) -> np.ndarray:
+    """Where bundles start: neighbours are taken while they hold at most ``most`` together; one search for each bundle."""
+    ends = np.cumsum(sizes)
+    starts, at = [], 0
+    while at < len(sizes):
+        starts.append(at)
+        at = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+    return np.array(starts, np.int64)
 
 
 def _bundles(small: DataFrame, most: int) -> DataFrame:
     """Units (unit, size, items) of neighbouring small items with at most ``most`` in each."""
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, total, made = [], 0, []
         for batch in batches:
-            for row in batch.to_pylist():
-                if total + row["size"] > most and items:
-                    made.append((items[0], total, items))
-                    items, total = [], 0
-                items.append(row["item"])
-                total += row["size"]
-            if made:
-                yield pa.RecordBatch.from_pylist([{"unit": u, "size": s, "items": i} for u, s, i in made], schema=_UNIT)
-                made = []
-        if items:
-            yield pa.RecordBatch.from_pylist([{"unit": items[0], "size": total, "items": items}], schema=_UNIT)
+            sizes = batch.column(1).to_numpy()
+            starts = bundled(sizes, most)
+            items = pa.ListArray.from_arrays(pa.array(np.append(starts, len(sizes)), pa.int32()), batch.column(0))
+            total = np.add.reduceat(sizes, starts) if len(starts) else sizes
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(starts)), pa.array(total, pa.int64()), items], schema=_UNIT)
 
     return small.select("item", "size").mapInArrow(bundle, "unit string, size bigint, items array<string>")
 
@@ -68,6 +59,24 @@ _UNIT = pa.schema([("unit", pa.string()), ("size", pa.int64()), ("items", pa.lis
 _SWEPT = "part int, id string, size bigint, gap boolean, box bigint, room bigint, turn bigint"
 
 
+def matched(gap: np.ndarray) -> np.ndarray:
+    """For each unit of a sweep the place of the gap it takes, -1 for none: of the free gaps before it the last, as brackets match.
+
+    Gaps open and units close. At any height openings and closings take turns, so that a sort by height puts each pair together.
+    """
+    steps = np.where(gap, 1, -1)
+    total = np.cumsum(steps)
+    height = total - np.minimum(np.minimum.accumulate(total), 0)  # a unit that finds nothing leaves the height at 0
+    before = np.concatenate([[0], height[:-1]]) if len(gap) else height
+    level = np.where(gap, height, before)
+    found = np.full(len(gap), -1, np.int64)
+    rows = np.flatnonzero(level > 0)
+    rows = rows[np.lexsort((rows, level[rows]))]
+    pair = np.flatnonzero(gap[rows[:-1]] & ~gap[rows[1:]] & (level[rows[:-1]] == level[rows[1:]]))
+    found[rows[pair + 1]] = rows[pair]
+    return found
+
+
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sweep one range from the largest size down. A row for each unit and each free gap: ``box`` where matched, else its ``turn``.
 
@@ -75,23 +84,29 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     from pyspark import TaskContext
 
-    part = TaskContext.get().partitionId()
-    free: list[tuple[int, int]] = []
-    units: list[tuple[str, int, int | None, int | None]] = []
-    for batch in batches:
-        for uid, size, gap, box in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if gap:
-                free.append((box, size))
-            elif free:
-                units.append((uid, size, *free.pop()))
-            else:
-                units.append((uid, size, None, None))
-    turn = np.cumsum([0, *(b is None for _, _, b, _ in units)])[:-1].tolist()
-    rows = [(part, u, s, False, b, r, None if b is not None else t) for (u, s, b, r), t in zip(units, turn, strict=True)]
-    rows += [(part, None, r, True, b, r, i) for i, (b, r) in enumerate(reversed(free))]
-    schema = pa.schema([("part", pa.int32()), ("id", pa.string()), ("size", pa.int64()), ("gap", pa.bool_()), ("box", pa.int64()), ("room", pa.int64()), ("turn", pa.int64())])
-    for i in range(0, len(rows), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 10_000], strict=True), schema.types, strict=True)], schema=schema)
+    held = list(batches)
+    if not held:
+        return
+    rows = pa.Table.from_batches(held).combine_chunks()
+    ids, size, gap, box = (rows.column(i) for i in range(4))
+    opens, sizes = gap.to_numpy(zero_copy_only=False).astype(bool), size.to_numpy()
+    boxes = box.fill_null(-1).to_numpy()
+    took = matched(opens)
+    units = np.flatnonzero(~opens)
+    free = np.setdiff1d(np.flatnonzero(opens), took[took >= 0], assume_unique=False)[::-1]  # the smallest first
+    of, alone = took[units], took[units] < 0
+    turn = np.concatenate([np.cumsum(alone) - 1, np.arange(len(free))])
+    place = np.concatenate([units, free])
+    room, where_ = np.concatenate([sizes[of], sizes[free]]), np.concatenate([boxes[of], boxes[free]])
+    single, given = np.concatenate([alone, np.ones(len(free), bool)]), np.concatenate([~alone, np.ones(len(free), bool)])
+    made = pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(len(place), TaskContext.get().partitionId(), np.int32)), ids.combine_chunks().take(pa.array(place)) if len(place) else pa.array([], pa.string()), pa.array(sizes[place], pa.int64()),
+            pa.array(opens[place]), pa.array(where_, pa.int64(), mask=~given), pa.array(room, pa.int64(), mask=~given), pa.array(turn, pa.int64(), mask=~single),
+        ],
+        ["part", "id", "size", "gap", "box", "room", "turn"],
+    )
+    yield from (made.slice(i, 20_000) for i in range(0, made.num_rows, 20_000))
 
 
 def _meetings(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
@@ -113,8 +128,8 @@ def _meetings(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, i
     return out
 
 
-def match(units: DataFrame, gaps: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
-    """One round: (id, size, box, room) of matched units, and (id, size) of the others."""
+def match(units: DataFrame, gaps: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round: (id, size, box, room) of matched units, (id, size) of the others, and the stored sweep that both read."""
     both = units.select(F.col("unit").alias("id"), "size", F.lit(False).alias("gap"), F.lit(None).cast("bigint").alias("box")).unionByName(
         gaps.select(F.lit(None).cast("string").alias("id"), F.col("room").alias("size"), F.lit(True).alias("gap"), "box")
     )
@@ -125,14 +140,14 @@ def match(units: DataFrame, gaps: DataFrame, parts: int) -> tuple[DataFrame, Dat
     inside = swept.where("NOT gap AND turn IS NULL").select("id", "size", "box", "room")
     alone = swept.where("NOT gap AND turn IS NOT NULL").select("part", "id", "size", "turn")
     if not met:
-        return inside, alone.select("id", "size")
+        return inside, alone.select("id", "size"), swept
     spark = units.sparkSession
     plan = F.broadcast(spark.createDataFrame(met, "part int, u bigint, gap_part int, g bigint, n bigint"))  # at most two for each range
     called = alone.join(plan, (alone["part"] == plan["part"]) & (alone["turn"] >= plan["u"]) & (alone["turn"] < plan["u"] + plan["n"]), "left")
     called = called.select(alone["id"], alone["size"], "gap_part", (plan["g"] + alone["turn"] - plan["u"]).alias("gap_turn"))
     free = swept.where("gap").select(F.col("part").alias("gap_part"), F.col("turn").alias("gap_turn"), "box", "room")
     across = called.join(free, ["gap_part", "gap_turn"], "left")
-    return inside.unionByName(across.where("box IS NOT NULL").select("id", "size", "box", "room")), across.where("box IS NULL").select("id", "size")
+    return inside.unionByName(across.where("box IS NOT NULL").select("id", "size", "box", "room")), across.where("box IS NULL").select("id", "size"), swept
 
 
 def pack(df: DataFrame, key: str, size: str, *, capacity: int = CAPACITY) -> DataFrame:
@@ -152,45 +167,46 @@ def pack(df: DataFrame, key: str, size: str, *, capacity: int = CAPACITY) -> Dat
     )
     small = rest.where(F.col("size") < capacity // 16)
     parts = max(1, math.ceil(small.count() / SWEEP))
-    bundled = _bundles(small.repartitionByRange(parts, "size", "item").sortWithinPartitions("size", "item"), capacity // 8)
-    units = stored(rest.where(F.col("size") >= capacity // 16).select(F.col("item").alias("unit"), "size", F.array("item").alias("items")).unionByName(bundled), "units")
-    wide = _ranked(units.where(F.col("size") > capacity // 2).select("unit", "size"), "wide", "size", "unit")
+    made = _bundles(small.repartitionByRange(parts, "size", "item").sortWithinPartitions("size", "item"), capacity // 8)
+    units = stored(rest.where(F.col("size") >= capacity // 16).select(F.col("item").alias("unit"), "size", F.array("item").alias("items")).unionByName(made), "units")
+    wide = ranked(units.where(F.col("size") > capacity // 2).select("unit", "size"), "wide", "size", "unit")
     boxes = wide.count()
     placed = [wide.select("unit", F.col("rank").alias("box"))]
     gaps = wide.select(F.col("rank").alias("box"), (capacity - F.col("size")).alias("room")).where("room > 0")
     left = units.where(F.col("size") <= capacity // 2).select("unit", "size")
-    while True:
-        waiting = left.count()
-        if not waiting:
-            break
-        open_ = gaps.count()
-        found, others = match(left, gaps, max(1, math.ceil((waiting + open_) / SWEEP)))
+    waiting, open_ = left.count(), boxes
+    while waiting:
+        found, others, swept = match(left, gaps, max(1, math.ceil((waiting + open_) / SWEEP)))
         found = stored(found, "found")
-        others = stored(others.toDF("unit", "size"), "others")
+        before = (left, gaps)
+        others, of = stored_with(others.toDF("unit", "size"), "others", n=F.count(F.lit(1)), need=F.sum("size"), least=F.min("size"))
         placed.append(found.select(F.col("id").alias("unit"), "box"))
+        n, need, least = of["n"], of["need"], of["least"]
         gaps = gaps.join(found.groupBy("box").agg(F.sum("size").alias("took")), "box", "left").select("box", (F.col("room") - F.coalesce("took", F.lit(0))).alias("room")).where("room > 0")
-        gaps = stored(gaps, "gaps")
-        n, need, least = others.agg(F.count("*"), F.sum("size"), F.min("size")).first()
+        usable = F.when(F.col("room") >= (least or 0), F.col("room"))
+        gaps, of = stored_with(gaps, "gaps", n=F.count(F.lit(1)), room=F.sum(usable))
+        discard(swept, *before)
+        open_ = of["n"]
+        left = others
         if n:
             # what the gaps that take any unit at all can't hold opens containers, for the largest units;
             # if few found a place the gaps are too scattered, and half of the volume gets new ones
-            room = gaps.where(F.col("room") >= least).agg(F.coalesce(F.sum("room"), F.lit(0))).first()[0]
-            fresh = max(0, math.ceil((need - room) / capacity))
+            fresh = max(0, math.ceil((need - (of["room"] or 0)) / capacity))
             if n > 0.8 * waiting:
                 fresh = max(fresh, math.ceil(need / capacity / 2))
             if fresh:
-                order = _ranked(others.withColumn("down", -F.col("size")), "order", "down", "unit")
+                order = ranked(others.withColumn("down", -F.col("size")), "order", "down", "unit")
                 opened = order.where(F.col("rank") < fresh)
                 placed.append(opened.select("unit", (F.col("rank") + boxes).alias("box")))
                 gaps = gaps.unionByName(opened.select((F.col("rank") + boxes).alias("box"), (capacity - F.col("size")).alias("room")))
-                boxes += min(fresh, n)
-                others = order.where(F.col("rank") >= fresh).select("unit", "size")
-        left = others
+                boxes, open_ = boxes + min(fresh, n), open_ + min(fresh, n)
+                left = order.where(F.col("rank") >= fresh).select("unit", "size")
+        waiting = max(0, n - fresh) if n and fresh else n
     in_box = placed[0]
     for more in placed[1:]:
         in_box = in_box.unionByName(more)
     of_items = units.join(in_box, "unit").select(F.explode("items").alias("item"), "box")
     ends = items.where(F.col("whole") % capacity > 0).withColumn("item", F.col("key").cast("string"))
     ends = ends.join(of_items, "item").select("key", (F.col("whole") - F.col("whole") % capacity).alias("start"), (F.col("whole") % capacity).alias("size"), "box")
-    full = _ranked(full, "full", "key", "start").select("key", "start", "size", (F.col("rank") + boxes).alias("box"))
+    full = ranked(full, "full", "key", "start").select("key", "start", "size", (F.col("rank") + boxes).alias("box"))
     return ends.unionByName(full).withColumnRenamed("key", key)

@@ -3,8 +3,8 @@
 Every position of a text has a strength: how natural a cut before it would be (between paragraphs, list items or
 transcript minutes, lines, sentences, words, or none; inside a tag it is worse than none). A sparse table answers
 "the strongest position in this window, the rightmost of equals" in constant time, and the splitter asks it for the
-window of lengths that a piece may have, cuts there, steps back by the overlap and goes on. The table covers a bounded
-stretch of text at a time, so that memory doesn't follow the length of a text.
+window of lengths that a piece may have, cuts there, steps back by the overlap and goes on. Strengths and table cover a
+bounded stretch of text at a time, so that beside the text itself memory doesn't follow its length.
 
 Lengths are Unicode code points. Null has no piece, an empty text one empty piece; a text within the limit is its
 own only piece and never leaves the JVM.
@@ -31,17 +31,38 @@ _PATTERNS = (
     (ITEM, re.compile(r"\n(?=[ \t]*(?:[-*+•]|\d+[.)])[ \t])|(?=<(?:li|tr|dt|dd)\b)|(?=<p>\[\d+:\d\d)|(?<!>)(?=\[\d+:\d\d(?::\d\d)?\] )", re.I)),
     (BLOCK, re.compile(r"\n[ \t]*\n\s*|(?=<(?:p|div|h[1-6]|ul|ol|table|blockquote|pre|section|article)\b)(?!<p>\[\d)", re.I)),
 )
-_TAG = re.compile(r"<[a-zA-Z/!][^<>]{0,2000}>|&#?\w{1,8};")
+_ENTITY = re.compile(r"&#?\w{1,8};")
+_OPENS = re.compile(r"<[a-zA-Z/!]")
+#: Characters around a stretch that are read with it. A run of white space longer than this counts as beginning within them.
+MARGIN = 4096
 
 
-def strengths(text: str) -> np.ndarray:
-    """The strength of a cut before each position of ``text``, and at its end."""
-    s = np.full(len(text) + 1, NONE, np.int8)
+def strengths(text: str, low: int = 0, high: int | None = None) -> np.ndarray:
+    """The strength of a cut before each position from ``low`` to ``high`` (the end), both included.
+
+    Only the stretch and its margins are searched; a tag of any length is told by its angle brackets: from one that opens
+    it to the next of either kind, if that closes.
+    """
+    high = len(text) if high is None else high
+    first, last = max(0, low - MARGIN), min(len(text), high + MARGIN)
+    while first > max(0, low - 2 * MARGIN) and text[first - 1].isspace():
+        first -= 1
+    s = np.full(high - low + 1, NONE, np.int8)
     for level, pattern in _PATTERNS:
-        ends = [m.end() for m in pattern.finditer(text)]
+        ends = np.fromiter((m.end() for m in pattern.finditer(text, first, last)), np.int64)
+        ends = ends[(ends >= low) & (ends <= high)] - low
         s[ends] = np.maximum(s[ends], level)
-    for m in _TAG.finditer(text):
-        s[m.start() + 1 : m.end()] = TAG
+    for m in _ENTITY.finditer(text, max(0, low - 10), last):
+        s[max(m.start() + 1 - low, 0) : max(m.end() - low, 0)] = TAG
+    at = text.rfind("<", 0, low)
+    if at < 0 or (closed := text.find(">", at)) < 0 or closed < low:
+        at = text.find("<", low, high)
+    while 0 <= at < high:
+        following = text.find("<", at + 1)
+        closed = text.find(">", at + 1, following if following >= 0 else len(text))
+        if closed >= 0 and _OPENS.match(text, at):
+            s[max(at + 1 - low, 0) : max(closed + 1 - low, 0)] = TAG
+        at = following
     return s
 
 
@@ -75,11 +96,11 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int | Non
     least = max(overlap + 1, limit // 2 if least is None else least)
     if len(text) <= limit:
         return [(0, len(text))]
-    s, spans, start, table, base = strengths(text), [], 0, None, 0
+    spans, start, table, base = [], 0, None, 0
     while len(text) - start > limit:
         if table is None or start + limit - base >= len(table.values):
             base = start
-            table = RangeMax(s[base : base + STRETCH + limit + 1], limit - least + 1)
+            table = RangeMax(strengths(text, base, min(base + STRETCH + limit, len(text))), limit - least + 1)
         cut = base + table.strongest(start + least - base, start + limit - base)
         spans.append((start, cut))
         start = cut - overlap
