@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.llm.arrowtext import byte_view, over_slices, slices
 from corpusloom.llm.residue import sampled
+from corpusloom.session import ship
 
 WINDOW, EMBED, FILTERS = 128, 8, 16
 #: Texts of the training sample for each table, the longest of them, and windows taken from all.
@@ -369,6 +370,7 @@ def read(data: np.ndarray, offsets: np.ndarray, net: Network, share: float) -> t
 
 def identify(df: DataFrame, text: str, net: Network, keep: list[str], *, share: float = 0.15) -> DataFrame:
     """The kept columns with ``letters``, ``langs`` (largest first) and, for mixed texts, ``segments``."""
+    ship(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(net)  # some 20 kB
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 

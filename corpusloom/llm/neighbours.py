@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
 from corpusloom.llm.arrowtext import int_lists
-from corpusloom.session import stored
+from corpusloom.session import ship, stored
 
 #: Vectors of the training sample; links of each; vectors that a cell should get from its first choices; cells of each vector.
 SAMPLE, LINKS, CELL, CHOICES = 8192, 10, 512, 4
@@ -210,6 +210,7 @@ def _few(df: DataFrame) -> DataFrame:
 def nearest(df: DataFrame, key: str, vector: str, *, width: int = 768, k: int = 10, choices: int = CHOICES, cell: int = CELL, sample: int = SAMPLE) -> DataFrame:
     """(id, near): the ids of the k most similar vectors of every usable vector, best first."""
     spark = df.sparkSession
+    ship(spark)
     most, least = F.array_max("v"), F.array_min("v")
     usable = (F.size(F.array_compact("v")) == width) & (F.size("v") == width) & ~F.isnan(most) & (most < float("inf")) & (least > float("-inf")) & ((most > 0) | (least < 0))
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & usable)

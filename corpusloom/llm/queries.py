@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.llm import encode, language, neardup, neighbours, packing, reading, residue, split
-from corpusloom.session import stored
+from corpusloom.session import kept, stored
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def _cases(spark: SparkSession, folder: str) -> DataFrame:
+    """The cases of residue among the documents, found once for the present files and kept as a table for the session."""
+    make = lambda: stored(residue.cases(_read(spark, folder, "documents")).distinct(), "cases")
+    return kept(spark, "residue cases", [f"{folder}/documents.parquet"], make)
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """The items that the splitter had to cut."""
     found = [
@@ -38,7 +44,7 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with template residue, filler, error text or a demand for scripts in place of content."""
-    return residue.cases(_read(spark, folder, "documents")).distinct()
+    return _cases(spark, folder)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,10 +52,16 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.pairs(neighbours.nearest(_read(spark, folder, "chunk_vec"), "chunk_id", "embedding"))
 
 
+def _network(spark: SparkSession, folder: str) -> language.Network:
+    """The language network of the documents and posts, trained once for the present files."""
+    make = lambda: language.fit([(_read(spark, folder, t), key, "text", "lang") for t, key in (("documents", "doc_id"), ("bookmarks", "tweet_id"))])
+    return kept(spark, "language network", [f"{folder}/{t}.parquet" for t in ("documents", "bookmarks")], make)
+
+
 def _languages(spark: SparkSession, folder: str):
     documents, posts, chunks = (_read(spark, folder, t) for t in ("documents", "bookmarks", "chunks"))
     posts = posts.withColumn("item_key", F.expr("try_cast(tweet_id AS bigint)"))
-    net = language.fit([(documents, "doc_id", "text", "lang"), (posts, "tweet_id", "text", "lang")])
+    net = _network(spark, folder)
     for table, rows in (
         ("documents", documents.withColumn("item_key", F.col("doc_id"))),
         ("bookmarks", posts),
@@ -60,7 +72,7 @@ def _languages(spark: SparkSession, folder: str):
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The languages of texts whose label is missing, wrong or one for several."""
-    bad = residue.cases(_read(spark, folder, "documents"))
+    bad = _cases(spark, folder)
     found = []
     for table, rows in _languages(spark, folder):
         cases = language.wrong(rows, "label").select("item_key", "lang")
@@ -78,7 +90,7 @@ def p4_languages(spark: SparkSession, folder: str) -> DataFrame:
 
 def _near(spark: SparkSession, folder: str, without: DataFrame | None = None):
     documents = _read(spark, folder, "documents")
-    without = residue.cases(documents) if without is None else without
+    without = _cases(spark, folder) if without is None else without
     yield "documents", neardup.similar(documents, "doc_id", "body", least=400, without=without)
     posts = _read(spark, folder, "bookmarks").select(F.expr("try_cast(tweet_id AS bigint)").alias("tweet_id"), "text")
     yield "bookmarks", neardup.similar(posts, "tweet_id", "text", least=160)
@@ -107,22 +119,40 @@ def p7_boxes(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens")
 
 
-def _graded(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document with at least a word: its languages, words, grade and band."""
+def _trees(spark: SparkSession, folder: str, net: language.Network) -> reading.Trees:
+    """The trees of the documents wholly in English, trained once for the present files."""
+
+    def make() -> reading.Trees:
+        english = _read(spark, folder, "documents").where(language.label(F.col("lang")) == "en")
+        known = language.identify(residue.sampled(english, "doc_id", reading.TRAIN_TEXTS), "text", net, ["doc_id", "text", "source"])
+        return reading.fit(known.where((F.size("langs") == 1) & (F.col("langs")[0]["lang"] == "en")), "doc_id", "text", "source")
+
+    return kept(spark, "reading trees", [f"{folder}/documents.parquet"], make)
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How well the containers are filled: their number, the least number that could do, tokens, the share of space in use, and the fullest."""
+    per = p7_boxes(spark, folder).groupBy("box").agg(F.sum("size").alias("held"))
+    made = per.agg(F.count("*").alias("containers"), F.sum("held").alias("tokens"), F.max("held").alias("fullest"))
+    least = F.ceil(F.col("tokens") / packing.CAPACITY)
+    return made.select("containers", least.alias("least"), "tokens", F.round(F.col("tokens") / (F.col("containers") * packing.CAPACITY), 4).alias("share"), "fullest")
+
+
+def _graded(spark: SparkSession, folder: str, least: int = 1) -> DataFrame:
+    """Every document with at least ``least`` words: its languages, words, grade and band."""
     documents = _read(spark, folder, "documents")
-    net = language.fit([(documents, "doc_id", "text", "lang")])
-    english = documents.where(language.label(F.col("lang")) == "en")
-    known = language.identify(residue.sampled(english, "doc_id", reading.TRAIN_TEXTS), "text", net, ["doc_id", "text", "source"])
-    trees = reading.fit(known.where((F.size("langs") == 1) & (F.col("langs")[0]["lang"] == "en")), "doc_id", "text", "source")
+    net = _network(spark, folder)
+    trees = _trees(spark, folder, net)
     words = F.size(F.filter(F.split("text", r"(?U)\s+"), lambda w: w != ""))
-    rows = language.identify(documents.where(F.col("text").isNotNull()).withColumn("words", words), "text", net, ["doc_id", "text", "source", "words"])
+    enough = documents.where(F.col("text").isNotNull()).select("doc_id", "text", "source", F.explode(F.array(words)).alias("words")).where(F.col("words") >= least)
+    rows = language.identify(enough, "text", net, ["doc_id", "text", "source", "words"])
     return reading.grade(rows.withColumn("wholly", F.when(F.size("langs") == 1, F.col("langs")[0]["lang"])), "text", trees, ["doc_id", "source", "words", "wholly"])
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """The band of each document that is wholly in English, no case of residue, and has at least 80 words."""
-    bad = residue.cases(_read(spark, folder, "documents"))
-    rows = _graded(spark, folder).where((F.col("wholly") == "en") & (F.col("words") >= 80))
+    bad = _cases(spark, folder)
+    rows = _graded(spark, folder, 80).where(F.col("wholly") == "en")
     return rows.join(bad, "doc_id", "left_anti").select("doc_id", "band")
 
 
@@ -135,7 +165,7 @@ def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p4_found, p4_languages, p5_found, p5_groups, p6_ids, p7_boxes, p8_found, p8_profile)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p4_found, p4_languages, p5_found, p5_groups, p6_ids, p7_boxes, p7_fill, p8_found, p8_profile)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpusloom.llm.arrowtext import byte_view, over_slices, prefix_hash, slices, span_hash
 from corpusloom.llm.language import letters_of
 from corpusloom.llm.residue import sampled
+from corpusloom.session import ship
 
 #: Texts of the training sample and the longest of them in characters; trees, their depth and step; bins of a feature.
 TRAIN_TEXTS, TRAIN_CHARS, TREES, DEPTH, STEP, BINS = 3000, 20_000, 80, 3, 0.12, 48
@@ -232,6 +233,7 @@ def fit(df: DataFrame, key: str, text: str, source: str, *, most: int = TRAIN_TE
 
 def grade(df: DataFrame, text: str, trees: Trees, keep: list[str]) -> DataFrame:
     """The kept columns with ``grade`` (null without words) and ``band``."""
+    ship(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(trees)  # some 20 kB
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm.arrowtext import over_slices
+from corpusloom.session import ship
 
 LIMIT, OVERLAP = 4800, 200
 #: Positions that one sparse table covers.
@@ -113,6 +114,7 @@ def split_texts(df: DataFrame, key: str, text: str, *, limit: int = LIMIT, overl
     A row without text has no piece; repeated keys give repeated pieces; other columns of ``df`` are ignored.
     """
     cuts("", limit, overlap)
+    ship(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text")).where(F.col("__text").isNotNull())
     whole = rows.where(F.length("__text") <= limit).select(

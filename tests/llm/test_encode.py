@@ -54,3 +54,36 @@ def test_repeated_rows_of_long_texts(spark):
 
 def test_empty_table(spark):
     assert encode.encode_texts(spark.createDataFrame([], "doc_id bigint, text string"), "doc_id").collect() == []
+
+
+def test_text_without_spaces_joins_in_small_windows():
+    enc, tokens = encode.tokenizer(PATH)
+    random.seed(8)
+    asked = []
+
+    class Seen:
+        def encode_ordinary(self, text):
+            asked.append(len(text))
+            return enc.encode_ordinary(text)
+
+    for text in ("".join(random.choice("庭の本を読む人が町で歩いている") for _ in range(4000)), "".join(random.choice("abcdeé'") for _ in range(4000)), "7" * 3000, "=-" * 1500 + "สวัสดีชาวโลก" * 200):
+        half = len(text) // 2
+        parts = [enc.encode_ordinary(text[:half]), enc.encode_ordinary(text[half:])]
+        asked.clear()
+        assert encode.join(*parts, Seen(), tokens) == enc.encode_ordinary(text)
+        assert sum(asked) < len(text) / 2
+        assert encode.encode_tree(text, enc, tokens, 16) == enc.encode_ordinary(text)
+
+
+def test_a_run_that_never_settles():
+    """In a run of one character the tokens behind a seam all shift: the window grows to the end, and the result is right."""
+    enc, tokens = encode.tokenizer(PATH)
+    for n in (100, 1003, 3000):
+        assert encode.encode_tree("x" * n, enc, tokens, 16) == enc.encode_ordinary("x" * n)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aeést'庭町1２=- \n", max_size=200), st.integers(1, 9))
+def test_runs_of_every_kind(text, leaf):
+    enc, tokens = encode.tokenizer(PATH)
+    assert encode.encode_tree(text, enc, tokens, leaf) == enc.encode_ordinary(text)
