@@ -160,12 +160,30 @@ def once(made: Column) -> Column:
 
 
 def prose(body: Column) -> Column:
-    """Markup to text: headings with #, list items with *, tables as | rows; links and images as their text; rows of numbers dropped."""
+    """Markup to text: headings with #, list items with *, tables as | rows, quotes with >, code and emphasis marked; links and images as their text; rows of numbers dropped.
+
+    Marks that a text doesn't hold cost a search, not a replacement.
+    """
     mark = "\u0001"  # stands before a heading's level until all tags are gone
     text = F.regexp_replace(body, r"(?is)<(script|style|head)\b[^>]*>.*?</\1\s*>", "")
     text = F.regexp_replace(text, r"<[hH]([1-6])\b[^>]*>", f"\n\n{mark}$1 ")
     text = F.regexp_replace(text, r"(?i)<br\s*/?>|<tr\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[lL][iI]\b[^>]*>", "\n* ")
+    low = F.lower(body)
+
+    def marked(text: Column, name: str, *steps: tuple[str, str]) -> Column:
+        made = text
+        for pattern, put in steps:
+            made = F.regexp_replace(made, pattern, put)
+        return F.when(low.contains(name), made).otherwise(text)
+
+    text = marked(text, "<pre", (r"(?i)<pre\b[^>]*>\s*(?:<code\b[^>]*>)?", "\n\n```\n"), (r"(?i)(?:</code\s*>)?\s*</pre\s*>", "\n```\n\n"))
+    text = marked(text, "<code", (r"(?i)</?code\b[^>]*>", "`"))
+    text = marked(text, "<blockquote", (r"(?i)<blockquote\b[^>]*>\s*(?:<p\b[^>]*>)?", "\n\n> "))
+    text = marked(text, "</strong", (r"(?i)</?strong\b[^>]*>", "**"))
+    text = marked(text, "</b>", (r"(?i)</?b>", "**"))
+    text = marked(text, "</em", (r"(?i)</?em\b[^>]*>", "*"))
+    text = marked(text, "</i>", (r"(?i)</?i>", "*"))
     cells = F.regexp_replace(text, r"(?i)</t[dh]\s*>\s*<t[dh]\b[^>]*>", " | ")
     cells = F.regexp_replace(F.regexp_replace(cells, r"(?i)<t[dh]\b[^>]*>", "| "), r"(?i)</t[dh]\s*>", " |")
     text = F.when(body.rlike("(?i)<t[dh]"), cells).otherwise(text)

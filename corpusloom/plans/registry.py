@@ -139,6 +139,46 @@ def page_owners(spark, d):
     return chunking.owners(table(spark, d, "documents"), table(spark, d, "links")).groupBy("url").agg(F.count("*").alias("owners"))
 
 
+def _prose(body: str) -> str:
+    """The text of a page by replacements, as the tables' markup needs them."""
+    steps = [(rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>", "") for t in ("script", "style", "head")]
+    steps += [(rf"<[hH]{i}\b[^>]*>", f"\n\n\x01{i} ") for i in range(1, 7)]
+    steps += [(r"(?i)<br\s*/?>|<tr\b[^>]*>", "\n"), (r"<[lL][iI]\b[^>]*>", "\n* "), (r"(?i)<pre\b[^>]*>\s*(?:<code\b[^>]*>)?", "\n\n```\n"), (r"(?i)(?:</code\s*>)?\s*</pre\s*>", "\n```\n\n")]
+    steps += [(r"(?i)</?code\b[^>]*>", "`"), (r"(?i)<blockquote\b[^>]*>\s*(?:<p\b[^>]*>)?", "\n\n> "), (r"(?i)</?(?:strong\b[^>]*|b)>", "**"), (r"(?i)</?(?:em\b[^>]*|i)>", "*")]
+    steps += [(r"(?i)</t[dh]\s*>\s*<t[dh]\b[^>]*>", " | "), (r"(?i)<t[dh]\b[^>]*>", "| "), (r"(?i)</t[dh]\s*>", " |")]
+    steps += [(r"(?i)</?(?:p|div|h[1-6]|ul|ol|table|blockquote|pre|section|article|figure|hr)\b[^>]*>", "\n\n"), (r"</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>|<!--.*?-->", "")]
+    lit = lambda x: "'" + x.replace("'", "''") + "'"
+    made = body
+    for pattern, put in steps:
+        made = f"regexp_replace({made}, {lit(pattern)}, {lit(put)}, 'g')"
+    for i in range(1, 7):
+        made = f"replace({made}, chr(1) || '{i}', '{'#' * i}')"
+    made = f"CASE WHEN contains({body}, '<') THEN {made} ELSE {body} END"
+    for entity, char in (("&nbsp;", " "), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        made = f"replace({made}, {lit(entity)}, {lit(char)})"
+    row = r"regexp_matches(x, '^[ \t\n\x0b\f\r]*\|.*\|[ \t\n\x0b\f\r]*$') AND regexp_replace(x, '[\d\s\x0b\x{85}\p{Z}\p{Nd}|:.,%+\-—–]+', '', 'g') = ''"
+    made = f"array_to_string(list_filter(string_split_regex({made}, '\\r?\\n'), lambda x: NOT ({row})), chr(10))"
+    made = f"regexp_replace({made}, '[ \\t\\f\\r\\x0b\\x{{85}}\\p{{Z}}]+\\n', chr(10), 'g')"
+    return f"regexp_replace(regexp_replace({made}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '{_STRIP}', '', 'g')"
+
+
+def _pieces(source: str) -> str:
+    """(k, a, piece): the pieces of the texts of a source (k, t), one step of the recursion for each."""
+    return f"""
+    SELECT k, a, t[a + 1 : b] AS piece FROM (
+      WITH RECURSIVE p AS (SELECT k, t, string_split(t, chr(10) || chr(10)) AS ps FROM ({source})),
+      d AS (SELECT k, t, length(t) AS n, list_transform(range(1, len(ps) + 1), lambda i: list_sum(list_transform(ps[1:i], lambda x: length(x)))::BIGINT + 2 * (i - 1)) AS ends FROM p),
+      r AS (
+        SELECT k, CASE WHEN n > 4800 THEN 0::BIGINT END AS s, 1::BIGINT AS i, CASE WHEN n <= 4800 THEN 0::BIGINT END AS a, CASE WHEN n <= 4800 THEN n END AS b FROM d
+        UNION ALL
+        SELECT k, CASE WHEN s2 < n THEN s2 END, i2, a2, b2 FROM (
+          SELECT k, n, CASE WHEN far THEN s WHEN nil THEN NULL ELSE s END AS a2, CASE WHEN far THEN s + 4800 WHEN nil THEN NULL WHEN j = len(ends) THEN n WHEN s + 4800 > ends[j] + 2 THEN s + 4800 ELSE ends[j] END AS b2,
+                 CASE WHEN far THEN s + 4600 WHEN nil THEN s + 2 WHEN j = len(ends) THEN n WHEN s + 4800 > ends[j] + 2 THEN greatest(ends[j] + 2, s + 4600) ELSE ends[j] + 2 END AS s2,
+                 CASE WHEN far THEN i WHEN nil THEN i + 1 ELSE j + 1 END AS i2
+          FROM (SELECT r.k, s, i, n, ends, ends[i] - s > 4800 AS far, ends[i] = s AS nil, len(list_filter(ends, lambda x: x <= s + 4800))::BIGINT AS j FROM r JOIN d ON r.k = d.k WHERE s IS NOT NULL)))
+      SELECT r.k, a, b, t FROM r JOIN d ON r.k = d.k WHERE a IS NOT NULL)"""
+
+
 _STATES = rf"""
     SELECT doc_id, word_count >= 60 OR (kind = 'video' AND word_count > 0) AS readable,
            coalesce(len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '')), 0) AS words,
@@ -159,7 +199,7 @@ def number_rows(spark, d):
     return lines.where(tx.is_number_row(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("rows"))
 
 
-@_query()
+@_query(f"SELECT doc_id, {_prose('body')} AS prose FROM documents WHERE body IS NOT NULL")
 def page_prose(spark, d):
     return table(spark, d, "documents").where("body IS NOT NULL").select("doc_id", tx.prose(F.col("body")).alias("prose"))
 
@@ -185,7 +225,8 @@ def flat_pieces(spark, d):
     return rows.select("doc_id", F.col("position").cast("bigint").alias("position"), tx.content_hash(F.col("p.text")).alias("hash"))
 
 
-@_query()
+@_query(f"""
+    SELECT k AS doc_id, (row_number() OVER (PARTITION BY k ORDER BY a) - 1)::INT AS position, length(piece)::INT AS length, left(sha256(piece), 16) AS hash FROM ({_pieces("SELECT doc_id AS k, text AS t FROM documents WHERE text IS NOT NULL")})""")
 def document_pieces(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(chunking.split(F.col("text"))).alias("position", "text"))
     return rows.select("doc_id", "position", F.length("text").alias("length"), tx.content_hash(F.col("text")).alias("hash"))
@@ -200,14 +241,51 @@ def card_chunks(spark, d):
     return chunking.card_chunks(table(spark, d, "links"), _live(spark, d), covered).select("tweet_id", "ref", "text")
 
 
-@_query()
+
+
+def _stripped(text: str) -> str:
+    return f"regexp_replace({text}, '{_STRIP}', '', 'g')"
+
+
+_NAMED = "'@' || coalesce(nullif(screen_name, ''), 'unknown')"
+
+
+def _post_chunks(stub: str) -> str:
+    """Chunks of live posts; an article's stub where ``stub`` holds."""
+    texts = f"""SELECT tweet_id || '|0' AS k, {_stripped("text")} AS t FROM ({_LIVE}) UNION ALL SELECT tweet_id || '|1', {_stripped("quoted_text")} FROM ({_LIVE})
+                UNION ALL SELECT tweet_id || '|2', {_stripped("article_title || chr(10) || chr(10) || coalesce(article_preview, '')")} FROM ({_LIVE}) WHERE article_title <> '' AND {stub}"""
+    return f"""
+    SELECT c.tweet_id, CASE m WHEN '0' THEN 'post' WHEN '1' THEN 'quote' ELSE 'article' END AS source, row_number() OVER (PARTITION BY c.tweet_id ORDER BY m, a) - 1 AS position, {_NAMED} || ': ' || piece AS text, lang
+    FROM (SELECT split_part(k, '|', 1) AS tweet_id, split_part(k, '|', 2) AS m, a, piece FROM ({_pieces(f"SELECT * FROM ({texts}) WHERE t <> ''")})) c JOIN ({_LIVE}) p ON p.tweet_id = c.tweet_id LEFT JOIN authors USING (author_id)"""
+
+
+@_query(_post_chunks("true"))
 def post_chunks(spark, d):
     none = spark.createDataFrame([], "tweet_id string")
     rows = chunking.post_chunks(_live(spark, d), table(spark, d, "authors"), none)
     return rows.select("tweet_id", "source", F.col("position").cast("bigint").alias("position"), "text", "lang")
 
 
-@_query()
+_READABLE = "SELECT * FROM documents WHERE word_count >= 60 OR (kind = 'video' AND word_count > 0)"
+_LIVE_OWNERS = f"SELECT * FROM ({_OWNERS}) WHERE tweet_id IN (SELECT tweet_id FROM ({_LIVE}))"
+_CARDS = "SELECT tweet_id, url, min(domain) AS domain, max(title) AS title, max(description) AS description FROM links GROUP BY 1, 2"
+_SITE = r"coalesce(nullif(site, ''), nullif(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)', 1)), '^www\.', ''), ''), 'link')"
+_WHOLE = f"""
+    SELECT o.tweet_id || '|' || doc_id AS k, url, kind, CASE WHEN kind IN ('x_article', 'video') THEN {_NAMED} ELSE {_SITE} END || ':' || CASE WHEN title <> '' THEN ' ' || title ELSE '' END || chr(10) || chr(10) || prose AS t
+    FROM (SELECT *, {_prose("body")} AS prose FROM ({_READABLE})) g JOIN ({_LIVE_OWNERS}) o USING (url) JOIN (SELECT tweet_id, author_id FROM ({_LIVE})) p ON p.tweet_id = o.tweet_id LEFT JOIN authors USING (author_id) WHERE prose <> ''"""
+
+
+@_query(f"""
+    SELECT tweet_id, source, NULL AS ref, position::INT AS position, left(sha256(text), 16) AS hash FROM ({_post_chunks(f"tweet_id NOT IN (SELECT o.tweet_id FROM ({_OWNERS}) o JOIN ({_READABLE}) g USING (url) WHERE g.kind = 'x_article')")})
+    UNION ALL
+    SELECT tweet_id, 'link', url, 0, left(sha256(coalesce(domain, '') || ': ' || array_to_string(list_filter([title, description], lambda x: x <> ''), ' — ')), 16) FROM ({_CARDS})
+    WHERE tweet_id IN (SELECT tweet_id FROM ({_LIVE})) AND (title <> '' OR description <> '') AND url NOT IN (SELECT url FROM ({_READABLE}) WHERE kind <> 'x_article' AND url IN (SELECT url FROM ({_LIVE_OWNERS})))
+    UNION ALL
+    SELECT split_part(c.k, '|', 1), CASE kind WHEN 'x_article' THEN 'article' WHEN 'video' THEN 'video' ELSE 'link' END, url, (row_number() OVER (PARTITION BY c.k ORDER BY a) - 1)::INT, left(sha256(piece), 16)
+    FROM ({_pieces(f"SELECT k, t FROM ({_WHOLE})")}) c JOIN (SELECT k, url, kind FROM ({_WHOLE})) w ON w.k = c.k
+    UNION ALL
+    SELECT m.tweet_id, 'image', media_key, 0, left(sha256({_NAMED} || ': ' || {_stripped("alt_text")}), 16)
+    FROM (SELECT * FROM media WHERE kind = 'photo') m JOIN ({_LIVE}) p USING (tweet_id) LEFT JOIN authors USING (author_id) WHERE {_stripped("alt_text")} <> ''""")
 def wanted_chunks(spark, d):
     from corpusloom.engine import Engine
 
@@ -455,7 +533,13 @@ def bookmark_items(spark, d):
     return docs.items(_live(spark, d), *(table(spark, d, n) for n in ("authors", "links", "media")))
 
 
-@_query()
+@_query("""
+    WITH RECURSIVE e AS (SELECT user_id AS key, floor(epoch(ts)) AS start, event_type AS text, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_type) AS i FROM events WHERE event_type <> ''),
+    r AS (
+      SELECT key, i, start AS begun, text FROM e WHERE i = 1
+      UNION ALL
+      SELECT e.key, e.i, CASE WHEN e.start - r.begun >= 60 THEN e.start ELSE r.begun END, CASE WHEN e.start - r.begun >= 60 THEN e.text ELSE r.text || ' ' || e.text END FROM r JOIN e ON e.key = r.key AND e.i = r.i + 1)
+    SELECT key, begun AS start, last(text ORDER BY i) AS text, count(*)::INT AS words FROM r GROUP BY key, begun""")
 def session_paragraphs(spark, d):
     """The events of each user read as segments of a recording, as paragraphs of a minute or more."""
     rows = table(spark, d, "events").select(F.col("user_id").alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("start"), F.col("event_type").alias("text"))

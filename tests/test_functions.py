@@ -67,10 +67,15 @@ def test_created_at(spark):
 def test_prose(spark):
     html = "<h2>Head</h2><p>One <a href='x'>link</a> &amp; <b>two</b></p><ul><li>item</li></ul><table><tr><td>1</td><td>2</td></tr><tr><td>a</td><td>2</td></tr></table><script>no()</script>"
     text = values(spark, tx.prose(F.col("x")), [html, "plain | text", None])
-    assert text[0].startswith("## Head\n\nOne link & two") and "* item" in text[0] and "| a | 2 |" in text[0]
+    assert text[0].startswith("## Head\n\nOne link & **two**") and "* item" in text[0] and "| a | 2 |" in text[0]
     assert "| 1 | 2 |" not in text[0] and "no()" not in text[0] and text[1:] == ["plain | text", None]
 
 
+def test_prose_of_quotes_and_code(spark):
+    html = ["<p>a <em>b</em> <I>c</I> <strong class='x'>d</strong></p><blockquote><p>said</p></blockquote><pre><code class='p'>x = 1\ny</code></pre><p>run <code>ls</code></p>", "<blockquote>one</blockquote>", "2 < 3 and <b>4</b>"]
+    assert values(spark, tx.prose(F.col("x")), html) == ["a *b* *c* **d**\n\n> said\n\n```\nx = 1\ny\n```\n\nrun `ls`", "> one", "2 < 3 and **4**"]
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([0.0, 3.0], [4.0, 0.0])], "a array<float>, b array<float>")
     assert df.select(vector.l2(F.col("a"), F.col("b"))).first()[0] == 5.0
