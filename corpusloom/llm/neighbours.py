@@ -3,8 +3,9 @@
 A bounded sample is linked to its nearest neighbours, the graph of these links is cut into balanced parts (recursive
 spectral bisection at the median), and a softmax classifier learns to which parts a vector and its neighbours belong.
 Every vector of the collection is put into its few most probable cells; within a cell all vectors are compared with
-one another, in float32, and the best of its cells make a vector's result. Cells grow in number with the collection, up
-to what the sample can teach; a crowded cell is compared block by block in several tasks.
+one another, in float32, and the best of its cells make a vector's result. Cells grow in number with the collection; beyond
+what one sample can teach, each cell is partitioned again by a sample of its own, on the executors, so that the cost of a
+vector stays level up to some 16 million vectors. A crowded cell is compared block by block in several tasks.
 
 Similarity is the cosine; equal similarities rank by smaller id; a vector is no neighbour of itself. Null vectors, all
 zeros, other lengths and values that aren't finite count nowhere. Equal vectors are searched once and share their
@@ -14,6 +15,8 @@ the one with the smallest hash counts. Other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -29,6 +32,8 @@ SAMPLE, LINKS, CELL, CHOICES = 8192, 10, 512, 4
 WORTH = 0.06
 #: Principal directions that the classifier sees, and the fewest sample vectors that may teach a cell.
 DIRECTIONS, TEACHERS = 96, 32
+#: Principal directions that a classifier of the second level sees: with 256 cells of 128 each their weights have some 30 MB.
+BELOW = 32
 #: Vectors of a crowded cell that one task compares at once, and classes that are broadcast at most.
 BLOCK, BROADCAST_ROWS = 8192, 500_000
 
@@ -41,11 +46,15 @@ class Router:
     bias: np.ndarray
     shut: tuple[int, ...] = ()  # cells that get no vector, since they would hold too few
 
-    def choose(self, x: np.ndarray, choices: int, worth: float = WORTH) -> tuple[np.ndarray, np.ndarray]:
-        """The most probable cells of the rows of ``x`` (flat), and how many each row has: the first, and others worth it."""
+    def odds(self, x: np.ndarray) -> np.ndarray:
+        """The probability of each cell for each row of ``x``."""
         z = ((x - self.mean) @ self.directions) @ self.weights + self.bias
         z = np.exp(z - z.max(1, keepdims=True))
-        z /= z.sum(1, keepdims=True)
+        return z / z.sum(1, keepdims=True)
+
+    def choose(self, x: np.ndarray, choices: int, worth: float = WORTH) -> tuple[np.ndarray, np.ndarray]:
+        """The most probable cells of the rows of ``x`` (flat), and how many each row has: the first, and others worth it."""
+        z = self.odds(x)
         z[:, list(self.shut)] = -1
         top = np.argsort(-z, axis=1, kind="stable")[:, :choices]
         good = np.take_along_axis(z, top, 1) >= worth
@@ -53,6 +62,42 @@ class Router:
         return top[good].astype(np.int32), good.sum(1)
 
 
+@dataclass
+class Levels:
+    """A router whose cells are partitioned again, each by a router of its own; cells are numbered through from ``first`` on."""
+
+    top: Router
+    below: dict[int, Router]
+    first: np.ndarray
+    shut: tuple[int, ...] = ()
+    spare: int = 0  # the cell of a vector whose likely cells are all shut
+
+    def choose(self, x: np.ndarray, choices: int, worth: float = WORTH) -> tuple[np.ndarray, np.ndarray]:
+        cells, count = self.top.choose(x, choices, worth)
+        row = np.repeat(np.arange(len(x)), count)
+        upper = self.top.odds(x)[row, cells]
+        parts = []
+        for c in np.unique(cells):
+            at = np.flatnonzero(cells == c)
+            if c in self.below:
+                z = self.below[c].odds(x[row[at]]) * upper[at, None]
+                take = min(choices, z.shape[1])
+                best = np.argpartition(-z, take - 1, axis=1)[:, :take]
+                parts.append((np.repeat(row[at], take), (self.first[c] + best).ravel(), np.take_along_axis(z, best, 1).ravel()))
+            else:
+                parts.append((row[at], np.full(len(at), self.first[c]), upper[at]))
+        row, cell, odds = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        open_ = ~np.isin(cell, self.shut)
+        row, cell, odds = row[open_], cell[open_], odds[open_]
+        lost = np.setdiff1d(np.arange(len(x)), row)
+        row, cell, odds = np.append(row, lost), np.append(cell, np.full(len(lost), self.spare)), np.append(odds, np.ones(len(lost)))
+        order = np.lexsort((cell, -odds, row))
+        row, cell, odds = row[order], cell[order], odds[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        good = (rank == 0) | ((rank < choices) & (odds >= worth))
+        return cell[good].astype(np.int32), np.bincount(row[good], minlength=len(x))
+
+
 def graph(x: np.ndarray, k: int) -> np.ndarray:
     """The k nearest rows of each row (exact; for the sample only)."""
     out = np.empty((len(x), k), np.int32)
@@ -85,8 +130,8 @@ def balanced_parts(links: np.ndarray, depth: int, turns: int = 60) -> np.ndarray
     return part
 
 
-def learn(x: np.ndarray, cells: int, turns: int = 120) -> Router:
-    """A router to ``cells`` (a power of two) learnt from the rows of ``x``."""
+def learn(x: np.ndarray, cells: int, turns: int = 120, most: int = DIRECTIONS) -> Router:
+    """A router to ``cells`` (a power of two) learnt from the rows of ``x``, seen in at most ``most`` directions."""
     n, width = x.shape
     mean = x.mean(0) if n else np.zeros(width, np.float32)
     if cells < 2:
@@ -95,7 +140,7 @@ def learn(x: np.ndarray, cells: int, turns: int = 120) -> Router:
     part = balanced_parts(links, cells.bit_length() - 1)
     centred = x - mean
     values, vectors = np.linalg.eigh(centred.T @ centred)
-    directions = vectors[:, ::-1][:, : min(DIRECTIONS, width)].astype(np.float32)
+    directions = vectors[:, ::-1][:, : min(most, width)].astype(np.float32)
     f = centred @ directions
     scale = f.std() + 1e-9
     f /= scale
@@ -183,6 +228,35 @@ def best_within(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, other: np
     return found, value
 
 
+def _second_level(rows: DataFrame, top: Router, count: int, cell: int, sample: int, width: int) -> Levels:
+    """Partition each cell of ``top`` again, by a sample of at most twice ``sample`` vectors of its own, cell by cell on the executors."""
+    spark, cells = rows.sparkSession, len(top.bias)
+    held = spark.sparkContext.broadcast(top)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good, unit = _units(_flat(batch.column(1), width))
+            of = held.value.odds(unit).argmax(1) if len(good) else good
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good))], ["cell", "id", "v"])
+
+    order = F.xxhash64("id", F.lit("below"))
+    few = rows.where(F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * sample * cells / max(count, 1))))
+    placed = few.select("id", "v").mapInArrow(first, "cell int, id bigint, v array<float>")
+    placed = placed.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy(order, "id"))).where(F.col("r") <= 2 * sample)
+    share = min(1.0, 2 * sample * cells / max(count, 1))
+
+    def teach(table: pa.Table) -> pa.Table:
+        x = np.unique(_units(_flat(table.column("v").combine_chunks(), width))[1], axis=0)
+        wanted = max(1, min(int(table.num_rows / share) // cell, len(x) // TEACHERS))
+        made = learn(x, 1 << (wanted.bit_length() - 1), most=BELOW) if wanted > 1 else None
+        return pa.table({"cell": pa.array([table.column("cell")[0].as_py()], pa.int32()), "router": pa.array([pickle.dumps(made) if made else None], pa.binary())})
+
+    taught = placed.groupBy("cell").applyInArrow(teach, "cell int, router binary").where("router IS NOT NULL")
+    below = {r["cell"]: pickle.loads(r["router"]) for r in taught.collect()}  # at most a row of bounded size for each cell of the first level
+    sizes = np.array([len(below[c].bias) if c in below else 1 for c in range(cells)])
+    return Levels(top, below, np.cumsum(sizes) - sizes)
+
+
 def _compare(width: int, k: int):
     def compare(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
@@ -219,7 +293,11 @@ def nearest(df: DataFrame, key: str, vector: str, *, width: int = 768, k: int =
     got = taught.select("v").toArrow().column(0).combine_chunks()
     x = np.unique(_units(_flat(got, width))[1], axis=0) if len(got) else np.zeros((0, width), np.float32)
     cells = max(1, min(count // cell, len(x) // TEACHERS))
-    taught_router = learn(x, 1 << (cells.bit_length() - 1))
+    taught_router: Router | Levels = learn(x, 1 << (cells.bit_length() - 1))
+    total = len(taught_router.bias)
+    if count // cell >= 2 * total and total > 1:  # more cells are wanted than one sample can teach
+        taught_router = _second_level(rows, taught_router, count, cell, sample, width)
+        total = int(taught_router.first[-1] + (len(taught_router.below[len(taught_router.first) - 1].bias) if len(taught_router.first) - 1 in taught_router.below else 1))
     router = spark.sparkContext.broadcast(taught_router)  # some megabytes, bounded by the sample
 
     def route(batches, router=router, whole=True):
@@ -248,8 +326,8 @@ def nearest(df: DataFrame, key: str, vector: str, *, width: int = 768, k: int =
     cells_only = standing_rows.mapInArrow(lambda it: route(it, whole=False), "id bigint, payload binary, cells array<int>").select(F.explode("cells").alias("cell"))
     held = {r["cell"]: r["rows"] for r in cells_only.groupBy("cell").agg(F.count("*").alias("rows")).collect()}  # a row for each cell
     scant = sorted(held, key=lambda c: (held[c], c))[:-1]
-    shut_cells = tuple(c for c in range(len(taught_router.bias)) if held and (c not in held or c in scant and held[c] <= k))
-    last = spark.sparkContext.broadcast(replace(taught_router, shut=shut_cells)) if shut_cells else router
+    shut_cells = tuple(c for c in range(total) if held and (c not in held or c in scant and held[c] <= k))
+    last = spark.sparkContext.broadcast(replace(taught_router, shut=shut_cells, **({"spare": max(held, key=lambda c: (held[c], -c))} if isinstance(taught_router, Levels) else {}))) if shut_cells else router
     routed = standing_rows.select("id", "v").mapInArrow(lambda it: route(it, last), "id bigint, payload binary, cells array<int>")
     standing = routed.select("id", "payload", F.explode("cells").alias("cell"))
     crowd = spark.createDataFrame([(c, n) for c, n in held.items() if n > BLOCK], "cell int, rows bigint")

@@ -44,6 +44,32 @@ def test_recall_with_cells(spark):
     assert len(got) == 3000 and right >= 0.9 * 30_000
 
 
+def test_recall_with_two_levels(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(neighbours, "replace", lambda r, **more: seen.append(r) or __import__("dataclasses").replace(r, **more))
+    built = neighbours._second_level
+    monkeypatch.setattr(neighbours, "_second_level", lambda *a: seen.append(built(*a)) or seen[-1])
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((60, 16))
+    rows = [(i, (centres[i % 60] + 0.4 * rng.standard_normal(16)).tolist()) for i in range(5000)]
+    df = spark.createDataFrame(rows, "chunk_id bigint, embedding array<float>")
+    got = {r["id"]: r["near"] for r in neighbours.nearest(df, "chunk_id", "embedding", width=16, cell=80, sample=512).collect()}
+    want = brute(rows)
+    right = sum(len(set(got[i]) & set(want[i])) for i in want)
+    levels = seen[0]
+    assert len(levels.below) == 16 and sum(len(b.bias) for b in levels.below.values()) >= 32
+    assert len(got) == 5000 and all(len(n) == 10 for n in got.values()) and right >= 0.9 * 50_000
+
+
+def test_shut_cells_of_two_levels_get_nothing():
+    x = np.random.default_rng(5).standard_normal((400, 8)).astype(np.float32)
+    top = neighbours.learn(x, 4)
+    below = {c: neighbours.learn(x[top.odds(x).argmax(1) == c], 2) for c in (0, 1, 2)}
+    levels = neighbours.Levels(top, below, np.array([0, 2, 4, 6]), shut=(1, 6), spare=0)
+    cells, count = levels.choose(x, 3)
+    assert count.min() >= 1 and count.max() <= 3 and count.sum() == len(cells) and set(cells) <= {0, 2, 3, 4, 5}
+
+
 def test_parts_are_balanced():
     x = np.random.default_rng(3).standard_normal((512, 8)).astype(np.float32)
     parts = neighbours.balanced_parts(neighbours.graph(x, 6), 3)
