@@ -726,7 +726,7 @@ def normalized_tallies(spark, d):
 @_query(rf"""
     WITH t AS (SELECT doc_id, word_count AS w, body, error, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE regexp_replace(string_split(text, chr(10) || chr(10))[1] || chr(10) || coalesce(title, ''), '{_STRIP}', '', 'g') END AS truth FROM documents WHERE kind = 'x_article'),
     n AS (SELECT *, coalesce(len(list_filter(regexp_split_to_array(truth, '{_WS}+'), lambda x: x <> '')), 0) AS e FROM t)
-    SELECT doc_id, CASE WHEN truth <> '' AND coalesce(w, 0) < e * 0.7 THEN e ELSE coalesce(w, 0) END AS word_count, left(sha256(CASE WHEN truth <> '' AND coalesce(w, 0) < e * 0.7 THEN truth ELSE body END), 16) AS body,
+    SELECT doc_id, (CASE WHEN truth <> '' AND coalesce(w, 0) < e * 0.7 THEN e ELSE coalesce(w, 0) END)::INT AS word_count, left(sha256(CASE WHEN truth <> '' AND coalesce(w, 0) < e * 0.7 THEN truth ELSE body END), 16) AS body,
            CASE WHEN truth <> '' AND coalesce(w, 0) < e * 0.7 THEN 'rendered extraction was short; used authoritative text (' || e || ' words)' WHEN coalesce(truth, '') = '' AND coalesce(w, 0) < 60 THEN 'thin extraction (' || coalesce(w, 0) || ' words)' ELSE error END AS error FROM n""")
 def articles_checked(spark, d):
     """Articles against a response in JSON that carries their first paragraph and title, for two of three of them, and the rules for short ones."""
