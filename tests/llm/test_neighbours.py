@@ -110,3 +110,12 @@ def test_few_rows(spark):
     assert neighbours.nearest(empty, "chunk_id", "embedding", width=16).collect() == []
     one = spark.createDataFrame([(1, [1.0] * 16)], "chunk_id bigint, embedding array<float>")
     assert neighbours.pairs(neighbours.nearest(one, "chunk_id", "embedding", width=16)).collect() == []
+
+
+def test_first_level_stays_coarse_and_sees_enough():
+    assert [neighbours.first_level(w, 256) for w in (0, 1, 236, 511, 512, 2302, 100_000)] == [(1, False), (1, False), (128, False), (256, False), (8, True), (32, True), (256, True)]
+    x = np.random.default_rng(9).standard_normal((8192, 256)).astype(np.float32)
+    router = neighbours.learn(x, 4)
+    z = (x - router.mean) @ router.directions + router.bias
+    odds = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    assert router.directions.shape == (256, 4) and np.allclose(router.odds(x), odds, atol=1e-4)
