@@ -1,8 +1,9 @@
 """Find documents whose page is template residue, filler, an error page or a demand for scripts.
 
 A page is read as blocks (its lines without markup). A regularised linear classifier over hashed word n-grams, length
-and title features and the likelihood of its letters scores every block. It is trained on weak labels in a bounded
-sample of documents: general phrases, response statuses and blocks that say nothing. They spread to the other blocks of
+and title features and the likelihood of its letters scores every block. It is trained on weak labels in all
+documents: general phrases, response statuses and blocks that say nothing. A large table is trained in slices by a hash
+of the key, and the slices' weights are averaged, each by how often its feature occurs there. The labels spread to the other blocks of
 a document that mostly consists of them, and from pass to pass to short pages that the model is sure of, so that it
 learns wordings and languages that no phrase names. The hosts left out of all passes measure each, and choose the penalty.
 
@@ -14,19 +15,20 @@ extractor in error make no case. A document without body and error is none; repe
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm.arrowtext import byte_view, mix, over_slices, prefix_hash, slices, span_hash
 from corpusloom.llm.clean import visible
-from corpusloom.session import ship
+from corpusloom.session import discard, ship, stored
 
-#: Documents of the training sample, the longest of them in characters, and bits of the feature space.
-TRAIN_DOCS, TRAIN_CHARS, BITS = 4000, 20_000, 18
+#: Documents and bytes of one slice in training (a longer document is cut nowhere), and bits of the feature space.
+TRAIN_DOCS, TRAIN_BYTES, BITS = 4000, 16 << 20, 18
 #: Passes of training, and the penalties of which the hosts left out choose one.
 TURNS, PENALTIES = 4, (0.003, 0.01, 0.03)
 #: Log-odds from which a block of a page of at most ``BRIEF`` bytes is residue (in a longer page: from 0 on), and from which a
@@ -49,6 +51,11 @@ STATUS = (
     r"|^\W*(?:http )?[45]\d\d\b|\b(?:error|http) ?[45]\d\d\b|^\W*traceback"
 )
 PHRASES = re.compile("|".join((PLACEHOLDER, FILLER, SCRIPTS, STATUS)), re.I)
+#: What any block with a phrase or a field holds; far quicker to search for.
+HINT = (
+    r"(?i)\{|[$#]\{|<|%|@@|__|\[object|\[insert|\[[a-z]|lorem|ipsum|placeholder|dummy|sample|goes here|script|bad |forbidden|not found|request"
+    r"|internal|unavailable|gateway|[45]\p{Nd}\p{Nd}|traceback|XXXX|undefined|TBD"
+)
 #: A plain field in angle or curly brackets, or a word for a missing value; if they are a quarter of a block's words they count.
 FIELD = re.compile(r"\{[a-z_.0-9]+\}|<[a-z_.]+>|\bXXXX\b|\bundefined\b|\bTBD\b|%[sd]\b")
 #: Text of letters typed at random: so far (in nats for each letter) under the usual likelihood of a block.
@@ -266,31 +273,44 @@ def _host(url: str | None) -> str:
     return (url or "").split("//")[-1].split("/")[0]
 
 
+def pair_counts(part: pa.RecordBatch) -> np.ndarray:
+    told, counted = letter_pairs(byte_view(part.column(0))[0])
+    return np.bincount(told[counted], minlength=1 << 16).astype(np.float64)
+
+
 def usual(b: Blocks) -> float:
     """The median likelihood of the blocks that hold words."""
     known = b.pairs[(b.end - b.start >= SHORT) & (b.words >= 4)]
     return float(np.median(known)) if len(known) else 0.0
 
 
-def learn(sample: pa.Table) -> Model:
-    """The model from a sample (__text, __url, __error) of pages. A fifth of the hosts takes part in no pass; they measure each and choose the penalty."""
+def phrased(data: np.ndarray, b: Blocks) -> list[bool]:
+    """Whether each block holds a phrase, or consists of fields."""
+    held = pa.LargeStringArray.from_buffers(len(b.start), pa.py_buffer(np.append(b.start, len(data)).astype(np.int64)), pa.py_buffer(data))
+    hits, likely = [False] * len(b.start), pc.match_substring_regex(held, HINT).to_numpy(zero_copy_only=False)
+    for i in np.flatnonzero(likely).tolist():
+        block = held[i].as_py()
+        hits[i] = bool(PHRASES.search(block)) or len(FIELD.findall(block)) * 4 > len(block.split())
+    return hits
+
+
+def learn(sample: pa.Table, letters: np.ndarray | None = None) -> Model:
+    """The model from pages (__text, __url, __error). A fifth of the hosts takes part in no pass; they measure each and choose the penalty.
+
+    ``letters``: their likelihood in the whole corpus, above or below what is usual, if these are not all of its pages.
+    """
     n, report = sample.num_rows, {"documents": sample.num_rows, "passes": []}
     parts = [p for batch in sample.combine_chunks().to_batches() for p in slices(batch, "__text")]
-    counts = np.zeros(1 << 16)
-    for part in parts:
-        told, counted = letter_pairs(byte_view(part.column(0))[0])
-        counts += np.bincount(told[counted], minlength=1 << 16)
-    letters, made, hits = likelihood(counts), [], []
-    first = [blocks_of(*byte_view(part.column(0)), letters) for part in parts]
-    rich = len(np.unique(np.concatenate([p.feature for p in first]))) >= RICH
-    letters = letters - np.float32(np.median([usual(p) for p in first])) if rich else np.zeros_like(letters)
+    made, hits = [], []
+    if letters is None:
+        letters = likelihood(sum((pair_counts(part) for part in parts), np.zeros(1 << 16)))
+        first = [blocks_of(*byte_view(part.column(0)), letters) for part in parts]
+        rich = len(np.unique(np.concatenate([p.feature for p in first]))) >= RICH
+        letters = letters - np.float32(np.median([usual(p) for p in first])) if rich else np.zeros_like(letters)
     for part in parts:
         data, offsets = byte_view(part.column(0))
         made.append(blocks_of(data, offsets, letters))
-        raw = data.tobytes()
-        for i, j in zip(made[-1].start.tolist(), made[-1].end.tolist(), strict=True):
-            block = raw[i:j].decode()
-            hits.append(bool(PHRASES.search(block)) or len(FIELD.findall(block)) * 4 > len(block.split()))
+        hits += phrased(data, made[-1])
         made[-1].doc += sum(p.docs for p in made[:-1])
         made[-1].docs = part.num_rows
     b = Blocks(*(np.concatenate([getattr(p, f.name) for p in made]) for f in fields(Blocks) if f.name != "docs"), n)
@@ -318,20 +338,111 @@ def learn(sample: pa.Table) -> Model:
         _, penalty, weights, dense, z, own = min(fits, key=lambda f: f[:2])
         found = called(b, n, z, own)
         right = int((found & weak & judged).sum())
-        report["passes"].append({"precision": right / max(1, int((found & judged).sum())), "recall": right / max(1, int((weak & judged).sum())), "documents": int(judged.sum())})
+        report["passes"].append({"right": right, "found": int((found & judged).sum()), "weak": int((weak & judged).sum()), "precision": right / max(1, int((found & judged).sum())), "recall": right / max(1, int((weak & judged).sum())), "documents": int(judged.sum())})
         sure = shares(b, n, z > SURE)
         case, clear = case | (sure & ~clear), clear & ~found
     beyond = found & ~weak
-    return Model(weights, dense, letters, report | {"penalty": penalty, "weak cases": int(weak.sum()), "cases": int(found.sum()), "beyond the phrases": float(beyond.sum() / max(1, found.sum()))})
-
-
-def fit(df: DataFrame, key: str = "doc_id", *, most: int = TRAIN_DOCS, longest: int = TRAIN_CHARS) -> Model:
-    """Train on at most ``most`` documents of at most ``longest`` characters, the first by a hash of the key."""
-    few = sampled(df, key, most).where(F.coalesce(F.length("body"), F.lit(0)) <= longest)
-    sample = _pages(few, key).select("__text", "__url", "__error").toArrow().sort_by([("__text", "ascending"), ("__url", "ascending")])  # the same order in every run
-    if not sample.num_rows:
-        return Model(np.zeros(1 << BITS, np.float32), np.zeros(DENSE, np.float32), likelihood(np.zeros(1 << 16)), {"documents": 0})
-    return learn(sample)
+    counts = np.bincount(b.feature, minlength=1 << BITS) * (weights != 0)
+    return Model(weights, dense, letters, report | {"counts": counts.astype(np.float32), "penalty": penalty, "weak cases": int(weak.sum()), "cases": int(found.sum()), "beyond the phrases": float(beyond.sum() / max(1, found.sum()))})
+
+
+def _summed(df: DataFrame, f: Callable[[pa.Table], np.ndarray], group: int = 32) -> np.ndarray:
+    """The sum over all slices of what ``f`` makes of each: summed on the executors in two steps, in the same order in every run."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held)
+            return pa.RecordBatch.from_arrays([whole.column("__slice")[:1].combine_chunks(), pa.array([f(whole.drop_columns(["__slice"])).tobytes()], pa.binary())], ["slice", "sums"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            of = batch.column(batch.schema.get_field_index("__slice")).to_numpy()
+            edges = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for a, z in zip(edges, edges[1:]):
+                if held and z > a and held[-1].column("__slice")[0].as_py() != of[a]:
+                    yield made(held)
+                    held = []
+                if z > a:
+                    held.append(batch.slice(a, z - a))
+        if held:
+            yield made(held)
+
+    def add(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("slice").to_numpy(), kind="stable")
+        total = sum(np.frombuffer(table.column("sums")[int(i)].as_py(), np.float32).astype(np.float64) for i in order)
+        return pa.table({"part": pa.array([int(table.column("slice").to_numpy().min())]), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    sums = df.mapInArrow(each, "slice bigint, sums binary").groupBy(F.pmod("slice", F.lit(group))).applyInArrow(add, "part bigint, sums binary")
+    rows = sorted((r["part"], r["sums"]) for r in sums.collect())  # at most ``group`` rows of bounded size
+    return np.sum([np.frombuffer(r[1], np.float64) for r in rows], axis=0)
+
+
+def _parts(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    return (p for batch in table.combine_chunks().to_batches() for p in slices(batch, "__text"))
+
+
+#: Steps (in nats) of the table of blocks' likelihoods, of which the median is taken, and their number.
+STEP, STEPS = 0.001, 20_000
+
+
+def _mixed(pages: DataFrame) -> Model:
+    """The model from all slices of ``pages``."""
+    held = pages.sparkSession.sparkContext.broadcast
+    counts = _summed(pages, lambda t: sum((pair_counts(p) for p in _parts(t)), np.zeros(1 << 16)).astype(np.float32))
+    letters = likelihood(counts)
+    known = held(letters)
+
+    def spread(table: pa.Table) -> np.ndarray:
+        total, seen = np.zeros(STEPS), np.zeros(1 << BITS)
+        for part in _parts(table):
+            b = blocks_of(*byte_view(part.column(0)), known.value)
+            worded = b.pairs[(b.end - b.start >= SHORT) & (b.words >= 4)]
+            total += np.bincount(np.clip(-worded / STEP, 0, STEPS - 1).astype(int), minlength=STEPS)
+            seen[b.feature] = 1
+        return np.concatenate([total, seen]).astype(np.float32)
+
+    total, seen = np.split(_summed(pages, spread), [STEPS])
+    total = np.cumsum(total)
+    known = held(letters + np.float32(STEP * (0.5 + np.searchsorted(total, total[-1] / 2))) if np.count_nonzero(seen) >= RICH else np.zeros_like(letters))
+
+    def taught(table: pa.Table) -> np.ndarray:
+        m = learn(table, known.value)
+        n, told = m.report["counts"], table.num_rows * (m.dense != 0)
+        figures = [m.report[c] for c in ("documents", "weak cases", "cases")] + [m.report["beyond the phrases"] * m.report["cases"]]
+        measured = [p[c] for p in m.report["passes"] for c in ("right", "found", "weak")]
+        return np.concatenate([n * m.weights, n, told * m.dense, told, figures, measured]).astype(np.float32)
+
+    all_ = _summed(pages, taught)
+    w, n, d, told, figures, measured = np.split(all_, np.cumsum([1 << BITS, 1 << BITS, DENSE, DENSE, 4]))
+    passes = [{"precision": float(r / max(1, f)), "recall": float(r / max(1, k))} for r, f, k in measured.reshape(-1, 3)]
+    report = {"documents": int(figures[0]), "passes": passes, "weak cases": int(figures[1]), "cases": int(figures[2]), "beyond the phrases": float(figures[3] / max(1, figures[2]))}
+    return Model((w / np.maximum(n, 1)).astype(np.float32), (d / np.maximum(told, 1)).astype(np.float32), known.value, report)
+
+
+def fit(df: DataFrame, key: str = "doc_id", *, most: int = TRAIN_DOCS, longest: int = TRAIN_BYTES) -> Model:
+    """Train on all documents, in slices of about ``most`` documents and ``longest`` bytes by a hash of the key."""
+    model, made = _fitted(df, key, most, longest)
+    if made is not None:
+        discard(made)
+    return model
+
+
+def _fitted(df: DataFrame, key: str, most: int = TRAIN_DOCS, longest: int = TRAIN_BYTES) -> tuple[Model, DataFrame | None]:
+    """The model, and the stored pages it was trained on if they are several slices."""
+    ship(df.sparkSession)
+    size = F.coalesce(F.octet_length("body"), F.lit(0)) + F.coalesce(F.octet_length("error"), F.lit(0))
+    count, held = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    parts = max(1, -(-count // most), -(-held // longest))
+    order = [("__text", "ascending"), ("__url", "ascending")]  # the same order in every run
+    pages = _pages(df, key)
+    if parts == 1:
+        sample = pages.select("__text", "__url", "__error").toArrow().sort_by(order)
+        if not sample.num_rows:
+            return Model(np.zeros(1 << BITS, np.float32), np.zeros(DENSE, np.float32), likelihood(np.zeros(1 << 16)), {"documents": 0}), None
+        return learn(sample), None
+    cut = pages.repartition(parts, F.xxhash64("__key")).withColumn("__slice", F.spark_partition_id().cast("bigint"))
+    made = stored(cut.sortWithinPartitions("__text", "__url").select("__text", "__url", "__error", "__slice", "__key"), "pages")
+    return _mixed(made.drop("__key")), made
 
 
 def hash_blocks(b: Blocks) -> np.ndarray:
@@ -352,20 +463,29 @@ def judge(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
 
 def find(df: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     """The keys of the documents that are cases."""
-    ship(df.sparkSession)
-    kind = df.schema[key].dataType.simpleString()
+    return _found(_pages(df, key), model, key)
+
+
+def _found(pages: DataFrame, model: Model, key: str) -> DataFrame:
+    ship(pages.sparkSession)
+    kind = pages.schema["__key"].dataType.simpleString()
     halves = Model(model.weights.astype(np.float16), model.dense, model.letters.astype(np.float16), {})
-    held = df.sparkSession.sparkContext.broadcast(halves)  # less than a megabyte, whatever the corpus
+    held = pages.sparkSession.sparkContext.broadcast(halves)  # less than a megabyte, whatever the corpus
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = held.value
         whole = Model(h.weights.astype(np.float32), h.dense, h.letters.astype(np.float32), {})
         yield from over_slices(lambda part: part.select([0]).filter(pa.array(judge(*byte_view(part.column(1)), whole))), "__text")(batches)
 
-    rows = _pages(df, key).select("__key", "__text")
+    rows = pages.select("__key", "__text")
     return rows.mapInArrow(score, f"__key {kind}").withColumnRenamed("__key", key)
 
 
 def cases(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Fit on a bounded sample of ``df`` and find the cases in all of it."""
-    return find(df, fit(df, key), key)
+    """Fit on all of ``df`` and find the cases in it."""
+    model, made = _fitted(df, key)
+    if made is None:
+        return find(df, model, key)
+    found = stored(_found(made, model, key), "residue")
+    discard(made)
+    return found

@@ -46,6 +46,24 @@ def test_residue(spark):
     assert residue.cases(df.where("false")).collect() == []
 
 
+def test_residue_learns_from_all_documents(spark):
+    real = "A long walk through the garden and the market of the village.\n\n" * 400
+    df = spark.createDataFrame([*pages(), (900, "https://h1.test/long", "x", real, None)], "doc_id bigint, url string, title string, body string, error string")
+    model = residue.fit(df, most=80)
+    assert model.report["documents"] == 301 and model.report["weak cases"] == 60
+    assert {r["doc_id"] for r in residue.find(df, model).collect()} == {*range(240, 300)}
+    again = residue.fit(df, most=80)
+    assert (again.weights == model.weights).all() and (again.dense == model.dense).all()
+
+
+def test_quick_search_loses_no_phrase():
+    texts = ["{{ name }}", "${x} $[a", "Error 404", "HTTP 503 x", "Please enable JavaScript", "lorem", "%(a.b)s", "@@x@@", "__A_B__", "[YOUR NAME]", "<field> {a.b}", "Bad Gateway", "Traceback (most", "XXXX", "undefined", "TBD", "plain words", "Text goes here", "４０４ 404 x"]
+    data = np.frombuffer("\n".join(texts).encode(), np.uint8)
+    b = residue.blocks_of(data, np.array([0, len(data)]), np.zeros(1 << 16))
+    want = [bool(residue.PHRASES.search(t)) or len(residue.FIELD.findall(t)) * 4 > len(t.split()) for t in texts]
+    assert residue.phrased(data, b) == want and sum(want) >= 14
+
+
 def test_labels(spark):
     named = [("en", "en"), ("en_GB", "en"), ("German", "de"), ("pt-br", "pt"), ("rus", "ru"), ("Español", "es"), ("zxx", None), ("", None), (None, None), ("af", None), ("ENG", "en")]
     df = spark.createDataFrame([(a,) for a, _ in named], "l string")
