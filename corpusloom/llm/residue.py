@@ -51,13 +51,11 @@ STATUS = (
     r"|^\W*(?:http )?[45]\d\d\b|\b(?:error|http) ?[45]\d\d\b|^\W*traceback"
 )
 PHRASES = re.compile("|".join((PLACEHOLDER, FILLER, SCRIPTS, STATUS)), re.I)
-#: What any block with a phrase or a field holds; far quicker to search for.
-HINT = (
-    r"(?i)\{|[$#]\{|<|%|@@|__|\[object|\[insert|\[[a-z]|lorem|ipsum|placeholder|dummy|sample|goes here|script|bad |forbidden|not found|request"
-    r"|internal|unavailable|gateway|[45]\p{Nd}\p{Nd}|traceback|XXXX|undefined|TBD"
-)
 #: A plain field in angle or curly brackets, or a word for a missing value; if they are a quarter of a block's words they count.
 FIELD = re.compile(r"\{[a-z_.0-9]+\}|<[a-z_.]+>|\bXXXX\b|\bundefined\b|\bTBD\b|%[sd]\b")
+#: What any block with a phrase or a field holds, far quicker to search for: the same patterns as Arrow reads them, wider where
+#: the two differ (edges of words, digits and letters of other scripts, the two letters i without or with a dot that only Python folds).
+HINT = "(?i)[\u0130\u0131]|" + re.sub(r"\\b", "", f"{PHRASES.pattern}|{FIELD.pattern}").replace(r"\W*", "[^a-z0-9_]*").replace(r"\d", r"\p{Nd}").replace(r"\w+", "[^@]+")
 #: Text of letters typed at random: so far (in nats for each letter) under the usual likelihood of a block.
 UNLIKELY = 1.0
 #: Different words and pairs of words that a sample must have for its letters to say anything.
@@ -74,6 +72,9 @@ _LATIN = np.zeros(256, bool)
 _LATIN[[*range(65, 91), *range(97, 123)]] = True
 _WIDE = np.zeros(256, bool)
 _WIDE[0xE3:0xEA] = True
+_FLAT = np.where(_CLASS == 1, _LOWER, np.uint8(32))
+#: The pair of two blanks.
+_BLANKS = 32 * 256 + 32
 
 
 @dataclass
@@ -95,11 +96,15 @@ class Blocks:
     docs: int
 
 
-def letter_pairs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte the pair that it makes with the next one (other than letters and digits are blanks), and whether it isn't two blanks."""
-    low = np.where(_CLASS[data] == 1, _LOWER[data], 32).astype(np.int64)
-    after = np.append(low[1:], 32)
-    return low * 256 + after, (low != 32) | (after != 32)
+def _mapped(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """``table[data]`` for bytes, in a fraction of the time."""
+    return np.frombuffer(data.tobytes().translate(table.astype(np.uint8).tobytes()), table.dtype)
+
+
+def letter_pairs(data: np.ndarray) -> np.ndarray:
+    """For each byte the pair that it makes with the next one (other than letters and digits are blanks)."""
+    low = np.append(_mapped(data, _FLAT), np.uint8(32)).astype(np.intp)
+    return low[:-1] * 256 + low[1:]
 
 
 def likelihood(pairs: np.ndarray) -> np.ndarray:
@@ -114,51 +119,73 @@ def blocks_of(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray, bits:
     ``letters`` is the likelihood of pairs of letters above or below what is usual: four words and more of Latin letters in
     an unlikely order are ``odd``, like keys hit at random.
     """
-    n, mask = len(data), np.uint64((1 << bits) - 1)
-    low, kind = _LOWER[data], _CLASS[data]
-    lines = np.flatnonzero(data == 10)
+    mask = np.uint64((1 << bits) - 1)
+    start, end, kind, at, to, block = _cut(data, offsets)
     begin = offsets[:-1][offsets[:-1] < offsets[1:]]
-    start = np.unique(np.concatenate([begin, lines + 1]))
-    start = start[start < n]
-    end = np.append(start[1:], n)
     doc = np.searchsorted(offsets, start, side="right") - 1
     title = np.zeros(len(start), bool)
     title[np.searchsorted(start, begin)] = True
-    edge = np.ones(n, bool)
-    edge[1:] = kind[1:] != kind[:-1]
-    edge[start] = True
-    at = np.flatnonzero(edge)
-    to = np.append(at[1:], n)
-    held = kind[at] != 0
-    at, to = at[held], to[held]
-    prefix = prefix_hash(low)
+    prefix = prefix_hash(_mapped(data, _LOWER))
     word = span_hash(prefix, at, to)
-    block = np.searchsorted(start, at, side="right") - 1
     pair = np.flatnonzero(block[1:] == block[:-1])
     two = mix(word[pair] * _A + word[pair + 1])
-    wide = np.flatnonzero(_WIDE[data])
+    wide = np.flatnonzero(_mapped(data, _WIDE))
     inside = np.searchsorted(start, wide, side="right") - 1
     three = span_hash(prefix, wide, np.minimum(wide + 9, end[inside])) if len(wide) else np.zeros(0, np.uint64)
     # a word said twice is a feature of its own
     twice = pair[word[pair] == word[pair + 1]]
-    feature = np.concatenate([word, two, three, mix(np.full(len(twice), 3, np.uint64) * _B)])
-    owner = np.concatenate([block, block[pair], inside, block[twice]])
-    told, counted = letter_pairs(data)
-    sums = lambda x: np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])[end] - np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])[start]
-    likely = sums(np.where(counted, letters[told], 0)) / np.maximum(sums(counted), 1)
-    latin = sums(_LATIN[data])
-    share, words = np.maximum(end - start - sums(kind == 0), 1), np.bincount(block, minlength=len(start))
-    feature = np.where(title[owner], mix(feature ^ _TITLE), feature) & mask
-    order = np.argsort(owner, kind="stable")
+    runs = ((word, block), (two, block[pair]), (three, inside), (mix(np.full(len(twice), 3, np.uint64) * _B), block[twice]))
+    held = [np.bincount(owner, minlength=len(start)) for _, owner in runs]
+    count, words = sum(held), held[0]
+    feature, free = np.empty(count.sum(), np.int32), np.cumsum(count) - count
+    for (hashes, owner), n in zip(runs, held):  # the features of a block stand together, run after run
+        titled = np.flatnonzero(title[owner])
+        hashes[titled] = mix(hashes[titled] ^ _TITLE)
+        feature[np.arange(len(owner)) + (free - (np.cumsum(n) - n))[owner]] = hashes & mask
+        free += n
+    likely = _likely(data, start, letters)
+    latin, share = _tally(_mapped(data, _LATIN), start), np.maximum(end - start - _tally(kind == 0, start), 1)
     pipes = np.bincount(np.searchsorted(start, np.flatnonzero(data == 124), side="right") - 1, minlength=len(start))
-    first = data[start] if n else np.zeros(0, np.uint8)
-    return Blocks(start, end, doc, title, pipes, first, likely, (words >= 4) & (latin > 0.9 * share) & (likely < -UNLIKELY), words, np.bincount(block[twice], minlength=len(start)), feature[order].astype(np.int32), np.bincount(owner, minlength=len(start)), len(offsets) - 1)
+    first = data[start] if len(data) else np.zeros(0, np.uint8)
+    return Blocks(start, end, doc, title, pipes, first, likely, (words >= 4) & (latin > 0.9 * share) & (likely < -UNLIKELY), words, held[3], feature, count, len(offsets) - 1)
+
+
+def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The blocks of documents (start, end), the class of each byte, and the words (start, end, block)."""
+    n, kind = len(data), _mapped(data, _CLASS)
+    begin = offsets[:-1][offsets[:-1] < offsets[1:]]
+    start = np.unique(np.concatenate([begin, np.flatnonzero(data == 10) + 1]))
+    start = start[start < n]
+    end = np.append(start[1:], n)
+    edge = np.ones(n, bool)
+    edge[1:] = kind[1:] != kind[:-1]
+    edge[start] = True
+    at = np.flatnonzero(edge)
+    to = np.append(at[1:], n)
+    held = kind[at] != 0
+    at, to = at[held], to[held]
+    return start, end, kind, at, to, np.repeat(np.arange(len(start)), np.diff(np.searchsorted(at, start), append=len(at)))
+
+
+def _tally(marks: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """How many bytes of each block are marked."""
+    return np.diff(np.searchsorted(np.flatnonzero(marks), np.append(start, len(marks))))
+
+
+def _likely(data: np.ndarray, start: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """The mean of ``letters`` over the pairs of each block that aren't two blanks."""
+    told, worth = letter_pairs(data), letters.astype(np.float64)
+    worth[_BLANKS] = 0
+    counted = np.diff(np.append(start, len(data))) - _tally(told == _BLANKS, start)
+    return (np.add.reduceat(worth[told], start) if len(start) else np.zeros(0)) / np.maximum(counted, 1)
 
 
 def _sums(values: np.ndarray, count: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    ends = np.cumsum(count)
-    return total[ends] - total[ends - count]
+    """The sums of runs of ``count`` values each."""
+    total, held = np.zeros(len(count)), np.flatnonzero(count)
+    if len(held):
+        total[held] = np.add.reduceat(values, (np.cumsum(count) - count)[held])
+    return total
 
 
 #: Width of the dense part: 16 length buckets of the block, 16 of the document, no title, letters in unlikely order.
@@ -177,49 +204,59 @@ def _dense(b: Blocks, n_docs: int) -> np.ndarray:
 
 def scores(b: Blocks, n_docs: int, weights: np.ndarray, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The log-odds of each block, and what its own words say; its document's title counts a little for every block."""
-    own = _sums(weights[b.feature], b.count) / np.sqrt(np.maximum(b.count, 1))
+    own = _sums(weights.astype(np.float64)[b.feature], b.count) / np.sqrt(np.maximum(b.count, 1))
     said = np.zeros(n_docs)
     said[b.doc[b.title]] = own[b.title]
     columns = _dense(b, n_docs)
     return own + np.where(b.title, 0, said[b.doc]) + np.where(columns >= 0, dense[columns], 0).sum(1), own
 
 
-def train(b: Blocks, n_docs: int, label: np.ndarray, rounds: int = 32, penalty: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Fit hashed and dense weights to the blocks with label 0 or 1 (-1: unused) by Adam on the logistic loss; ``penalty`` pulls the weights towards 0 in each round, the few dense ones a tenth of it."""
-    dense = np.zeros(DENSE, np.float32)
+def train(b: Blocks, n_docs: int, label: np.ndarray, penalties: tuple[float, ...], rounds: int = 32) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Fit hashed and dense weights to the blocks with label 0 or 1 (-1: unused) by Adam on the logistic loss, once for each penalty, which pulls the weights towards 0 in each round, the few dense ones a tenth of it."""
     used, titles = np.flatnonzero((label >= 0) & ~b.title), np.flatnonzero(b.title)
     if not len(used):
-        return np.zeros(1 << BITS, np.float32), dense
-    y, doc = label[used].astype(np.float32), b.doc[used]
+        return [(np.zeros(1 << BITS, np.float32), np.zeros(DENSE, np.float32)) for _ in penalties]
+    y, doc, titled = label[used].astype(np.float32), b.doc[used], b.doc[titles]
     share = max(float(y.mean()), 1e-3)
     cost = np.where(y > 0, min(3.0, ((1 - share) / share) ** 0.5), 1.0) / len(used)
     begin = np.cumsum(b.count) - b.count
     rows = np.concatenate([used, titles])
     count = b.count[rows]
     owner = np.repeat(np.arange(len(rows)), count)
-    feature = b.feature[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[rows], count)]
-    known, feature = np.unique(feature, return_inverse=True)  # only the features that occur have weights to learn
-    weights = np.zeros(len(known), np.float32)
+    feature = b.feature[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[rows], count)].astype(np.int64)
+    # rows sum their features as they stand, features their rows in an order of their own: both without scattered writes
+    order = np.sort(feature << 32 | owner)
+    sorted_, by = order >> 32, order & 0xFFFFFFFF
+    of = np.flatnonzero(np.diff(sorted_, prepend=-1))
+    known, often = sorted_[of], np.diff(of, append=len(sorted_))  # only the features that occur have weights to learn
+    place = np.zeros(1 << BITS, np.int64)
+    place[known] = np.arange(len(known))
+    feature, buffer = place[feature], np.empty(len(feature))
     scale = 1 / np.sqrt(np.maximum(count, 1))
-    columns = _dense(b, n_docs)[used]
-    held = columns >= 0
-    moments = [np.zeros_like(x) for x in (weights, weights, dense, dense)]
-    for step in range(1, rounds + 1):
-        own = np.bincount(owner, weights[feature], len(rows)) * scale
-        said = np.bincount(b.doc[titles], own[len(used) :], n_docs)
-        z = own[: len(used)] + said[doc] + np.where(held, dense[columns], 0).sum(1)
-        g = cost * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        per = np.concatenate([g, np.bincount(doc, g, n_docs)[b.doc[titles]]]) * scale
-        gw = np.bincount(feature, per[owner], len(weights))
-        gd = np.bincount(columns[held], np.repeat(g, columns.shape[1])[held.ravel()], DENSE)
-        for x, grad, m, v, pull in ((weights, gw, *moments[:2], penalty), (dense, gd, *moments[2:], penalty / 10)):
-            m += 0.1 * (grad - m)
-            v += 0.01 * (grad * grad - v)
-            x *= np.float32(1 - pull)
-            x -= (0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-    whole = np.zeros(1 << BITS, np.float32)
-    whole[known] = weights
-    return whole, dense
+    columns = [c % (DENSE + 1) for c in _dense(b, n_docs)[used].T]  # what a block lacks is the last one, which stays 0
+    fits = []
+    for penalty in penalties:
+        weights, dense = np.zeros(len(known), np.float32), np.zeros(DENSE + 1, np.float32)
+        moments = [np.zeros_like(x) for x in (weights, weights, dense, dense)]
+        for step in range(1, rounds + 1):
+            own = _sums(np.take(weights.astype(np.float64), feature, out=buffer, mode="clip"), count) * scale
+            said = np.zeros(n_docs)
+            said[titled] = own[len(used) :]
+            z = own[: len(used)] + said[doc] + sum(dense[c] for c in columns)
+            g = cost * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+            per = np.concatenate([g, np.bincount(doc, g, n_docs)[titled]]) * scale
+            gw = _sums(np.take(per, by, out=buffer, mode="clip"), often)
+            gd = sum(np.bincount(c, g, DENSE + 1) for c in columns)
+            gd[DENSE] = 0
+            for x, grad, m, v, pull in ((weights, gw, *moments[:2], penalty), (dense, gd, *moments[2:], penalty / 10)):
+                m += 0.1 * (grad - m)
+                v += 0.01 * (grad * grad - v)
+                x *= np.float32(1 - pull)
+                x -= (0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+        whole = np.zeros(1 << BITS, np.float32)
+        whole[known] = weights
+        fits.append((whole, dense[:DENSE]))
+    return fits
 
 
 def shares(b: Blocks, n_docs: int, residue: np.ndarray) -> np.ndarray:
@@ -274,8 +311,9 @@ def _host(url: str | None) -> str:
 
 
 def pair_counts(part: pa.RecordBatch) -> np.ndarray:
-    told, counted = letter_pairs(byte_view(part.column(0))[0])
-    return np.bincount(told[counted], minlength=1 << 16).astype(np.float64)
+    counts = np.bincount(letter_pairs(byte_view(part.column(0))[0]), minlength=1 << 16).astype(np.float64)
+    counts[_BLANKS] = 0
+    return counts
 
 
 def usual(b: Blocks) -> float:
@@ -329,8 +367,8 @@ def learn(sample: pa.Table, letters: np.ndarray | None = None) -> Model:
         label[(label == 1) & (size < SHORT) & ~hit] = -1
         label[test[b.doc]] = -1
         fits = []
-        for p in PENALTIES if turn == 0 else (penalty,):
-            weights, dense = train(b, n, label, penalty=p)
+        tried = PENALTIES if turn == 0 else (penalty,)
+        for p, (weights, dense) in zip(tried, train(b, n, label, tried)):
             z, own = scores(b, n, weights, dense)
             seen = judged[b.doc] & ~b.title & (size >= SHORT)
             loss = np.logaddexp(0, np.where(weak[b.doc], -z, z))[seen]
@@ -346,8 +384,12 @@ def learn(sample: pa.Table, letters: np.ndarray | None = None) -> Model:
     return Model(weights, dense, letters, report | {"counts": counts.astype(np.float32), "penalty": penalty, "weak cases": int(weak.sum()), "cases": int(found.sum()), "beyond the phrases": float(beyond.sum() / max(1, found.sum()))})
 
 
-def _summed(df: DataFrame, f: Callable[[pa.Table], np.ndarray], group: int = 32) -> np.ndarray:
-    """The sum over all slices of what ``f`` makes of each: summed on the executors in two steps, in the same order in every run."""
+#: How many sums a task adds at a time, and how many the driver gets at most.
+FAN, LAST = 16, 8
+
+
+def _summed(df: DataFrame, f: Callable[[pa.Table], np.ndarray], parts: int) -> np.ndarray:
+    """The sum over all ``parts`` slices of what ``f`` makes of each: summed on the executors in as many steps as it takes, in the same order in every run."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -367,14 +409,20 @@ def _summed(df: DataFrame, f: Callable[[pa.Table], np.ndarray], group: int = 32)
         if held:
             yield made(held)
 
-    def add(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("slice").to_numpy(), kind="stable")
-        total = sum(np.frombuffer(table.column("sums")[int(i)].as_py(), np.float32).astype(np.float64) for i in order)
-        return pa.table({"part": pa.array([int(table.column("slice").to_numpy().min())]), "sums": pa.array([total.tobytes()], pa.binary())})
+    def added(kind: type) -> Callable[[pa.Table], pa.Table]:
+        def add(table: pa.Table) -> pa.Table:
+            of = table.column("slice").to_numpy()
+            total = sum(np.frombuffer(table.column("sums")[int(i)].as_py(), kind).astype(np.float64) for i in np.argsort(of, kind="stable"))
+            return pa.table({"slice": pa.array([int(of.min())]), "sums": pa.array([total.tobytes()], pa.binary())})
+
+        return add
 
-    sums = df.mapInArrow(each, "slice bigint, sums binary").groupBy(F.pmod("slice", F.lit(group))).applyInArrow(add, "part bigint, sums binary")
-    rows = sorted((r["part"], r["sums"]) for r in sums.collect())  # at most ``group`` rows of bounded size
-    return np.sum([np.frombuffer(r[1], np.float64) for r in rows], axis=0)
+    sums, kind = df.mapInArrow(each, "slice bigint, sums binary"), np.float32
+    while parts > LAST:
+        parts = -(-parts // FAN)
+        sums, kind = sums.groupBy(F.pmod("slice", F.lit(parts))).applyInArrow(added(kind), "slice bigint, sums binary"), np.float64
+    rows = sorted((r["slice"], r["sums"]) for r in sums.collect())  # at most ``LAST`` rows of bounded size
+    return sum(np.frombuffer(r[1], kind).astype(np.float64) for r in rows)
 
 
 def _parts(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -385,23 +433,25 @@ def _parts(table: pa.Table) -> Iterator[pa.RecordBatch]:
 STEP, STEPS = 0.001, 20_000
 
 
-def _mixed(pages: DataFrame) -> Model:
-    """The model from all slices of ``pages``."""
+def _mixed(pages: DataFrame, parts: int) -> Model:
+    """The model from all ``parts`` slices of ``pages``."""
     held = pages.sparkSession.sparkContext.broadcast
-    counts = _summed(pages, lambda t: sum((pair_counts(p) for p in _parts(t)), np.zeros(1 << 16)).astype(np.float32))
+    counts = _summed(pages, lambda t: sum((pair_counts(p) for p in _parts(t)), np.zeros(1 << 16)).astype(np.float32), parts)
     letters = likelihood(counts)
     known = held(letters)
 
     def spread(table: pa.Table) -> np.ndarray:
         total, seen = np.zeros(STEPS), np.zeros(1 << BITS)
         for part in _parts(table):
-            b = blocks_of(*byte_view(part.column(0)), known.value)
-            worded = b.pairs[(b.end - b.start >= SHORT) & (b.words >= 4)]
-            total += np.bincount(np.clip(-worded / STEP, 0, STEPS - 1).astype(int), minlength=STEPS)
-            seen[b.feature] = 1
+            data, offsets = byte_view(part.column(0))
+            if np.count_nonzero(seen) < RICH:  # one rich slice makes the whole rich: no more features need to be told apart
+                seen[blocks_of(data, offsets, known.value).feature] = 1
+            start, end, _, _, _, block = _cut(data, offsets)
+            held = (end - start >= SHORT) & (np.bincount(block, minlength=len(start)) >= 4)
+            total += np.bincount(np.clip(-_likely(data, start, known.value)[held] / STEP, 0, STEPS - 1).astype(int), minlength=STEPS)
         return np.concatenate([total, seen]).astype(np.float32)
 
-    total, seen = np.split(_summed(pages, spread), [STEPS])
+    total, seen = np.split(_summed(pages, spread, parts), [STEPS])
     total = np.cumsum(total)
     known = held(letters + np.float32(STEP * (0.5 + np.searchsorted(total, total[-1] / 2))) if np.count_nonzero(seen) >= RICH else np.zeros_like(letters))
 
@@ -412,7 +462,7 @@ def _mixed(pages: DataFrame) -> Model:
         measured = [p[c] for p in m.report["passes"] for c in ("right", "found", "weak")]
         return np.concatenate([n * m.weights, n, told * m.dense, told, figures, measured]).astype(np.float32)
 
-    all_ = _summed(pages, taught)
+    all_ = _summed(pages, taught, parts)
     w, n, d, told, figures, measured = np.split(all_, np.cumsum([1 << BITS, 1 << BITS, DENSE, DENSE, 4]))
     passes = [{"precision": float(r / max(1, f)), "recall": float(r / max(1, k))} for r, f, k in measured.reshape(-1, 3)]
     report = {"documents": int(figures[0]), "passes": passes, "weak cases": int(figures[1]), "cases": int(figures[2]), "beyond the phrases": float(figures[3] / max(1, figures[2]))}
@@ -442,7 +492,7 @@ def _fitted(df: DataFrame, key: str, most: int = TRAIN_DOCS, longest: int = TRAI
         return learn(sample), None
     cut = pages.repartition(parts, F.xxhash64("__key")).withColumn("__slice", F.spark_partition_id().cast("bigint"))
     made = stored(cut.sortWithinPartitions("__text", "__url").select("__text", "__url", "__error", "__slice", "__key"), "pages")
-    return _mixed(made.drop("__key")), made
+    return _mixed(made.drop("__key"), parts), made
 
 
 def hash_blocks(b: Blocks) -> np.ndarray:

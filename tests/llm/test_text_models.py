@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from corpusloom.llm import language, reading, residue
 from corpusloom.llm.arrowtext import byte_view, prefix_hash, slices, span_hash
@@ -64,6 +65,59 @@ def test_quick_search_loses_no_phrase():
     assert residue.phrased(data, b) == want and sum(want) >= 14
 
 
+def test_quick_search_passes_plain_blocks():
+    texts = ["In 1450 and 2400 people came", "a < b, 5 % of {x: 1} [a]", "The script of the play is internal", "A gateway to the park was not far, found by request", "dummy and sample", "x__y 450"]
+    assert not any(pc.match_substring_regex(pa.array(texts), residue.HINT).to_pylist())
+
+
+def told(texts):
+    ends = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    return residue.blocks_of(np.frombuffer("".join(texts).encode(), np.uint8), ends, np.zeros(1 << 16))
+
+
+def test_blocks_hold_the_features_of_their_words():
+    b = told(["Big title\none two two\n\n", "", "\n!!\nüben 中文字 x|y", "Big\none two two"])
+    ends = np.cumsum(b.count)
+    held = [sorted(b.feature[e - c : e].tolist()) for e, c in zip(ends, b.count)]
+    assert b.doc.tolist() == [0, 0, 0, 2, 2, 2, 3, 3] and b.title.tolist() == [True, False, False, True, False, False, True, False]
+    assert b.count.tolist() == [3, 6, 0, 0, 1, 12, 1, 6] and b.words.tolist() == [2, 3, 0, 0, 1, 5, 1, 3] and b.repeats.tolist() == [0, 1, 0, 0, 0, 0, 0, 1]
+    assert held[1] == held[7] and held[6][0] in held[0] and told(["x\nBig"]).feature[-1] not in held[6] and b.pipes.tolist() == [0, 0, 0, 0, 0, 1, 0, 0]
+    empty = told(["", ""])
+    assert len(empty.start) == len(empty.feature) == len(empty.pairs) == 0 and empty.docs == 2
+
+
+def test_sums_of_many_slices_reach_the_driver_as_few(spark):
+    rows = spark.createDataFrame([(i * i, i // 3) for i in range(900)], "v bigint, __slice bigint").repartition(7, "__slice").sortWithinPartitions("__slice", "v")
+    made = lambda t: np.array([t.num_rows, t.column("v").to_numpy().sum() / 2], np.float32)
+    for parts in (2, 9, 300):
+        df = rows.where(f"__slice < {parts}")
+        assert residue._summed(df, made, parts).tolist() == [3 * parts, sum(i * i for i in range(3 * parts)) / 2]
+
+
+def test_training_sums_rows_and_features_in_full():
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(40)]
+    b = told([f"{' '.join(rng.choice(words, 3))}\n{' '.join(rng.choice(words, 30))}\n--\n{' '.join(rng.choice(words, 9))}\n" for _ in range(30)])
+    label, penalties = np.where(b.doc % 5 == 4, -1, b.doc % 2), (0.01, 0.03)
+    columns, scale, rows = residue._dense(b, 30), 1 / np.sqrt(np.maximum(b.count, 1)), np.repeat(np.arange(len(b.start)), b.count)
+    used = np.flatnonzero((label >= 0) & ~b.title)
+    title = np.flatnonzero(b.title)[b.doc[used]]
+    cost = np.where(label[used] > 0, ((1 - label[used].mean()) / label[used].mean()) ** 0.5, 1.0) / len(used)
+    for penalty, (weights, dense) in zip(penalties, residue.train(b, 30, label, penalties)):
+        w = np.zeros((1 << residue.BITS) + residue.DENSE)
+        m, v = np.zeros_like(w), np.zeros_like(w)
+        pull = np.where(np.arange(len(w)) < 1 << residue.BITS, penalty, penalty / 10)
+        for step in range(1, 33):
+            own = np.bincount(rows, w[b.feature], len(b.start)) * scale
+            d = np.append(w[1 << residue.BITS :], 0)
+            g = cost * (1 / (1 + np.exp(-(own[used] + own[title] + d[columns[used]].sum(1)))) - label[used])
+            per = (np.bincount(used, g, len(b.start)) + np.bincount(title, g, len(b.start))) * scale
+            grad = np.append(np.bincount(b.feature, per[rows], 1 << residue.BITS), np.bincount(columns[used].ravel() % (residue.DENSE + 1), np.repeat(g, 4), residue.DENSE + 1)[:-1])
+            m, v = m + 0.1 * (grad - m), v + 0.01 * (grad * grad - v)
+            w = w * (1 - pull) - 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
+        assert np.abs(w - np.append(weights, dense)).max() < 1e-3 and np.abs(w).max() > 0.1
+
+
 def test_labels(spark):
     named = [("en", "en"), ("en_GB", "en"), ("German", "de"), ("pt-br", "pt"), ("rus", "ru"), ("Español", "es"), ("zxx", None), ("", None), (None, None), ("af", None), ("ENG", "en")]
     df = spark.createDataFrame([(a,) for a, _ in named], "l string")
